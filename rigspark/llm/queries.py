@@ -10,7 +10,10 @@ from . import url_filter
 from .byte_bpe import bpe_decode, bpe_encode
 from .chat_format import canonical_turns, format_chats, read_back
 from .decontamination import find_contamination, hit_words
+from .html_extract import extract_main_text
 from .ngram_join import ngram_jaccard_join
+from .packing import pack_tokens
+from .quality_classifier import score_quality, train_quality
 from .quality_rules import quality_rules
 from .substring_dedup import repeated_spans
 
@@ -70,6 +73,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tokens(_table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
@@ -84,5 +100,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_chat_format, op7_decontamination, op8_url_filter, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_chat_format, op4_quality_classifier, op5_token_packing, op6_html_extract, op7_decontamination, op8_url_filter, op9_substring_dedup, op10_quality_rules)}
 ORACLES = {"op3_chat_format": OP3_SQL, "op8_url_filter": url_filter.ORACLE}
