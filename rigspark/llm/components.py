@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .spill import stored
@@ -11,7 +11,7 @@ from .spill import stored
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -33,10 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     mark = None
     while True:
-        now = stored(_small_star(_large_star(now)), "star")
-        new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if new == mark:
+        seen = Observation()
+        now = stored(_small_star(_large_star(now)).observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "star")
+        if seen.get == mark:
             break
-        mark = new
+        mark = seen.get
     stars = now.select(F.col("a").alias("n"), F.col("b").alias("label"))
     return nodes.join(stars, F.col("node") == F.col("n"), "left").select("node", F.coalesce("label", "node").alias("label"))

@@ -37,14 +37,14 @@ from pyspark.sql import types as T
 
 from .components import components
 from .signature_tree import Join, Linked, Sets, build
-from .spill import stored
+from .spill import discard, release, stored, stored_at
 from .words import BLANKS, LANES, U64, grams, mix, slices, text_buffers
 
 COMMON = 63
 RANK_BITS = 6
-CHUNK_GRAMS = 1 << 20
+CHUNK_GRAMS = 3 << 18
 CHUNK_DOCS = 60_000
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 10 << 20
 DOC_SHARD_BYTES = 16 << 20
 BLOCK = 512
 
@@ -183,9 +183,9 @@ def _answer(bits: int, shards: int):
             for who, which, own, marks in zip(*(r.column(c).to_pylist() for c in ("ids", "sizes", "tokens", "marks")), strict=True):
                 names, own, marks = np.frombuffer(who, np.int64), _from48(own), _from48(marks)
                 ids.append(names)
-                spots += [np.frombuffer(which, np.uint16).astype(np.int64) + base, np.full(len(marks), -1)]
+                spots += [np.frombuffer(which, np.uint16).astype(np.int32) + np.int32(base), np.full(len(marks), -1, np.int32)]
                 tokens += [own, marks]
-                weights += [np.ones(len(own), np.int64), np.full(len(marks), COMMON)]
+                weights += [np.ones(len(own), np.int32), np.full(len(marks), COMMON, np.int32)]
                 base += len(names)
         ids, spots, tokens, weights = (np.concatenate(x) for x in (ids, spots, tokens, weights))
         if len(tokens):
@@ -267,93 +267,124 @@ def _sets(group: dict[str, list]) -> Sets:
     return Sets([np.sort(np.frombuffer(x, np.uint64)) for x in group["tokens"]], group["n"])
 
 
-def _links(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    if pairs:
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _join_blocks(num: int, den: int):
-    """Links inside each (label, block) of sets."""
+    """For each set that is linked inside its (label, block): the smallest rep of its class there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _groups(batches, ["label", "block"]):
             reps, count = group["rep"], len(group["rep"])
             if count > 1:
-                sets = _sets(group)
-                join = Join(sets, Linked(count), num, den)
-                join.within(build(sets, np.arange(count)))
-                yield from _links([(reps[x], reps[y]) for x, y in join.found])
+                sets, linked = _sets(group), Linked(count)
+                Join(sets, linked, num, den).within(build(sets, np.arange(count)))
+                roots = [linked.root(i) for i in range(count)]  # reps are sorted, so the smallest index has the smallest rep
+                moved = [i for i in range(count) if roots[i] != i]
+                if moved:
+                    yield _pairs([reps[i] for i in moved], [reps[roots[i]] for i in moved])
 
     return run
 
 
 def _join_sides(num: int, den: int):
-    """Links between the two sides of each (label, block, other); sets of one known class are not compared."""
+    """Linked classes of the two sides of each (label, block, other); sets of one class are not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _groups(batches, ["label", "block", "other"]):
-            side, reps = np.array(group["side"]), group["rep"]
+            side, known = np.array(group["side"]), group["known"]
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
-            sets, linked, first = _sets(group), Linked(len(reps)), {}
-            for i, known in enumerate(group["known"]):
-                linked.join(i, first.setdefault(known, i))
+            sets, linked, first = _sets(group), Linked(len(side)), {}
+            for i, k in enumerate(known):
+                linked.join(i, first.setdefault(k, i))
             join = Join(sets, linked, num, den)
             join.between(build(sets, left), build(sets, right))
-            yield from _links([(reps[x], reps[y]) for x, y in join.found])
+            if join.found:
+                yield _pairs([known[x] for x, _ in join.found], [known[y] for _, y in join.found])
 
     return run
 
 
-_EDGES = "a long, b long"
+_PAIRS = "a long, b long"
 
 
-def _blocked(df: DataFrame, block: int) -> DataFrame:
-    """Rows with a block of their label: labels beyond ``block`` rows are dealt by a hash over several."""
-    counts = df.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    return df.join(counts, "label").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def _joined_in_blocks(sets: DataFrame, members: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Classes (a: rep, b: its class) of ``members(rep, label)``, inside blocks of at most about ``block`` of a label."""
+    counts = members.groupBy("label").agg(F.count("*").alias("c")).where("c > 1").select("label", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    dealt = members.join(counts, "label").select("rep", "label", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    rows = sets.join(dealt, "rep").select("label", "block", "rep", "n", "tokens")
+    return rows.repartition("label", "block").sortWithinPartitions("label", "block", "rep").mapInArrow(_join_blocks(num, den), _PAIRS)
 
 
-def _linked_in_blocks(df: DataFrame, num: int, den: int) -> DataFrame:
-    dealt = df.select("label", "block", "rep", "n", "tokens").repartition("label", "block").sortWithinPartitions("label", "block", "rep")
-    return dealt.mapInArrow(_join_blocks(num, den), _EDGES)
+def _moved(now: DataFrame, to: DataFrame) -> DataFrame:
+    """``now(rep, label, known)`` with classes replaced by what ``to(a, b)`` says of them."""
+    return now.join(to, F.col("known") == F.col("a"), "left").select("rep", "label", F.coalesce("b", "known").alias("known"))
 
 
-def _classes(reps: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """``(rep, component)`` for the sets ``reps(rep, n, tokens, keys)`` that have any candidate."""
+def _classes(reps: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """``(rep, component)`` for the reps that share a prefix n-gram with another.
+
+    ``reps(rep, keys)`` are the distinct sets' ids and prefixes, ``sets(rep, n, tokens)`` hold their tokens.
+    """
     keys = reps.select("rep", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("rep").alias("m"), F.count("*").alias("c")).where("c > 1").select("key", "m")
-    labels = stored(components(keys.join(least, "key").select(F.col("rep").alias("a"), F.col("m").alias("b")).distinct()), "labels")
-    sets = reps.select("rep", "n", "tokens").join(labels.select(F.col("node").alias("rep"), "label"), "rep")
-    dealt = _blocked(sets, block)
-    links = stored(_linked_in_blocks(dealt, num, den), "links")
-    sized = labels.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") > block).select("label")
-    large = labels.join(sized, "label").select(F.col("node").alias("rep"), "label")
-    while not large.isEmpty():
-        known = components(links).withColumnRenamed("label", "known")
-        now = stored(large.join(known, large.rep == known.node, "left").select("rep", "label", F.coalesce("known", "rep").alias("known")), "known")
+    edges = keys.join(least, "key").where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b"))
+    labels = stored(components(edges).select(F.col("node").alias("rep"), "label"), "labels")
+    first = stored(_joined_in_blocks(sets, labels, num, den, block), "blocks")
+    large = labels.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") > block).select("label")
+    now = stored(_moved(labels.join(large, "label").select("rep", "label", F.col("rep").alias("known")), first), "known")
+    found = labels.select("rep").join(first, F.col("rep") == F.col("a"), "left").select("rep", F.coalesce("b", "rep").alias("component"))
+    if now.isEmpty():
+        return found
+    while True:
         delegates = now.where("rep = known").select("rep", "label")
-        more = stored(_linked_in_blocks(_blocked(sets.drop("label").join(delegates, "rep"), block), num, den), "delegates")
+        most = delegates.groupBy("label").count().agg(F.max("count")).first()[0]
+        if most == 1:
+            break
+        more = stored(_joined_in_blocks(sets, delegates, num, den, block), "delegates")
         if more.isEmpty():
-            more = stored(_across(sets.drop("label"), now, num, den, block), "across")
-            links = links.unionAll(more)
             break
-        links = links.unionAll(more)
-    return components(links).select(F.col("node").alias("rep"), F.col("label").alias("component"))
+        now = stored(_moved(now, more), "known")
+        if most <= block:
+            break
+    if most > 1:
+        links = stored(_across(sets, now, num, den, block), "across")
+        if not links.isEmpty():
+            now = _moved(now, components(links).select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return found.join(now.select(F.col("rep").alias("r"), "known"), F.col("rep") == F.col("r"), "left").select("rep", F.coalesce("known", "component").alias("component"))
 
 
 def _across(sets: DataFrame, now: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Links from what is outside its label's largest class to everything of the label."""
+    """Linked classes: what is outside its label's largest class, in blocks, against everything of the label."""
     classes = now.groupBy("label", "known").agg(F.count("*").alias("c"))
-    main = classes.groupBy("label").agg(F.max_by("known", F.struct("c", F.negate("known"))).alias("main"), F.sum("c").alias("c"))
-    main = main.withColumn("others", F.ceil(F.col("c") / block).cast("int")).drop("c")
+    main = classes.groupBy("label").agg(F.max_by("known", F.struct("c", F.negate("known"))).alias("main"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1")
+    main = main.select("label", "main", F.ceil(F.col("c") / block).cast("int").alias("others"))
     rest = now.join(main, "label").where("known <> main")
     blocks = rest.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     left = rest.join(blocks, "label").select("label", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(0).alias("side"), "rep", "known")
     right = now.join(main, "label").join(blocks, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep"), F.col("others")).cast("int").alias("other"), F.lit(1).alias("side"), "rep", "known")
-    both = left.unionAll(right).join(sets, "rep")
-    return both.repartition("label", "block", "other").sortWithinPartitions("label", "block", "other", "side", "rep").mapInArrow(_join_sides(num, den), _EDGES)
+    rows = sets.join(left.unionAll(right), "rep")
+    return rows.repartition("label", "block", "other").sortWithinPartitions("label", "block", "other", "side", "rep").mapInArrow(_join_sides(num, den), _PAIRS)
+
+
+def _set_table(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """A row of ``_SETS`` for each document, in the shared folder; the shuffles that made it are free to go."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(16, max(0, (int(total) // BUCKET_BYTES).bit_length()))
+    shards = max(1, int(total) // DOC_SHARD_BYTES)
+    answers, path = _answers(rows, n, bits, shards)
+    release(rows.sparkSession)
+    found = stored(answers.groupBy("shard").applyInArrow(_gather(num, den), _SETS), "sets")
+    discard(rows.sparkSession, path)
+    return found
+
+
+def _answers(rows: DataFrame, n: int, bits: int, shards: int) -> tuple[DataFrame, str]:
+    dealt = rows.where("doc_id is not null").mapInArrow(_deal(n, bits, shards), _PACKED)
+    return stored_at(dealt.groupBy("kind", "shard").applyInArrow(_bucket_or_pass(_answer(bits, shards)), _PACKED), "answers")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, similarity: tuple[int, int] = (75, 100), block: int = BLOCK) -> DataFrame:
@@ -369,15 +400,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     num, den = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(16, max(0, (int(total) // BUCKET_BYTES).bit_length()))
-    shards = max(1, int(total) // DOC_SHARD_BYTES)
-    dealt = rows.where("doc_id is not null").mapInArrow(_deal(n, bits, shards), _PACKED)
-    answers = dealt.groupBy("kind", "shard").applyInArrow(_bucket_or_pass(_answer(bits, shards)), _PACKED)
-    found = stored(answers.groupBy("shard").applyInArrow(_gather(num, den), _SETS), "sets")
-    copies = found.where("tokens is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("keys").alias("keys"))
-    reps = stored(copies, "reps")
-    classes = stored(_classes(reps, num, den, block), "classes")
+    found = _set_table(rows, n, num, den)
+    release(docs.sparkSession)
+    reps = stored(found.where("tokens is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "reps")
+    sets = found.where("tokens is not null").select(F.col("doc_id").alias("rep"), "n", "tokens")
+    classes = stored(_classes(reps, sets, num, den, block), "classes")
     named = reps.select("d1", "d2", "n", "rep").join(classes, "rep", "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("component", "rep").alias("c"))
     out = found.select("doc_id", "n", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en")), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
