@@ -8,6 +8,11 @@ leaves the entries of its neighbours where they are: an entry whose pair has
 changed since is skipped when it comes up.  A pre-token of n bytes costs
 O(n log n), whatever its length.
 
+All short pre-tokens of a slice of text that are new to the worker share one
+queue: a bucket then holds positions in many of them, and a step merges the
+leftmost one in each.  As pre-tokens do not touch, each goes through the same
+merges in the same order as by itself.
+
 The vocabulary is a public file of fixed size that the driver reads and
 broadcasts; it is never trained or copied here.
 """
@@ -26,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the pre-token cache of a Python worker; it starts anew when full.
-CACHE = 1 << 17
-#: Longest pre-token in bytes that the cache keeps.
-CACHED_BYTES = 64
-#: Texts beyond so many characters are cut into pre-tokens one at a time.
-STREAMED = 1 << 20
+#: Entries of a Python worker's pre-token cache; beyond, only those of the latest slice stay.
+CACHE = 150_000
+#: Bytes of text encoded at a time.
+SLICE = 5 << 19
+#: Pre-tokens of more bytes have a queue of their own, and are not kept.
+SHORT = 256
 WORD = 256
 
 
@@ -40,39 +45,57 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
+class RankBits:
+    """Which ranks are waiting: a bit for each, and a bit for each word of them that is not zero."""
+
+    def __init__(self) -> None:
+        self.words: dict[int, int] = {}
+        self.top = 0
+
+    def set(self, rank: int) -> None:
+        word, bit = divmod(rank, WORD)
+        self.words[word] = self.words.get(word, 0) | 1 << bit
+        self.top |= 1 << word
+
+    def first(self) -> int:
+        """The lowest rank; -1 if there is none."""
+        if not self.top:
+            return -1
+        word = (self.top & -self.top).bit_length() - 1
+        bits = self.words[word]
+        return word * WORD + (bits & -bits).bit_length() - 1
+
+    def clear(self, rank: int) -> None:
+        word, bit = divmod(rank, WORD)
+        self.words[word] ^= 1 << bit
+        if not self.words[word]:
+            self.top ^= 1 << word
+
+
 class RankQueue:
     """Positions by rank; ``pop`` gives the lowest rank's leftmost position."""
 
     def __init__(self) -> None:
         self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.top = 0
+        self.bits = RankBits()
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
-            word, bit = divmod(rank, WORD)
             self.buckets[rank] = [position]
-            self.words[word] = self.words.get(word, 0) | 1 << bit
-            self.top |= 1 << word
+            self.bits.set(rank)
         else:
             heappush(bucket, position)
 
     def pop(self) -> tuple[int, int] | None:
-        if not self.top:
+        rank = self.bits.first()
+        if rank < 0:
             return None
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        bit = (bits & -bits).bit_length() - 1
-        rank = word * WORD + bit
         bucket = self.buckets[rank]
         position = heappop(bucket)
         if not bucket:
             del self.buckets[rank]
-            bits ^= 1 << bit
-            self.words[word] = bits
-            if not bits:
-                self.top ^= 1 << word
+            self.bits.clear(rank)
         return rank, position
 
 
@@ -86,6 +109,97 @@ class ByteBpe:
         self.pieces = [b""] * size
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
+        self.keys: np.ndarray | None = None
+
+    def _pairs(self) -> None:
+        """The table of mergeable id pairs; made when the first text is encoded."""
+        ranks = self.ranks
+        self.bytes = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
+        merges = {}
+        for piece, rank in ranks.items():
+            for k in range(1, len(piece)):
+                left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+                if left is not None and right is not None:
+                    merges[left << 32 | right] = rank
+        keys = np.fromiter(merges, np.int64, len(merges))
+        order = np.argsort(keys)
+        self.keys, self.merged = keys[order], np.fromiter(merges.values(), np.int32, len(merges))[order]
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge rank of each pair of ids, -1 for none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], -1)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens, each as packed little-endian 32-bit integers, by one rank queue."""
+        if self.keys is None:
+            self._pairs()
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        ids = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        # one more place, n, stands for no neighbour
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        after[ends - 1], before[ends - sizes] = n, n
+        pair = np.full(n + 1, -1, np.int32)
+        inner = np.flatnonzero(after[:n] < n)
+        pair[inner] = self.pair_ranks(ids[inner], ids[inner + 1])
+        ids = np.append(ids, ids.dtype.type(0))
+        alive = np.ones(n + 1, bool)
+        waiting = inner[pair[inner] >= 0]
+        waiting = waiting[np.argsort(pair[waiting], kind="stable")]
+        ranks = pair[waiting]
+        cuts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1], True]) if len(ranks) else np.zeros(0, np.int64)
+        buckets, bits = {}, RankBits()
+        positions = waiting.tolist()
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rank = int(ranks[a])
+            buckets[rank] = positions[a:b]
+            bits.set(rank)
+        while (rank := bits.first()) >= 0:
+            at = np.array(buckets.pop(rank))
+            at = at[(pair[at] == rank) & alive[at]]
+            if len(at) > 1:
+                at.sort()
+                of = word[at]
+                leftmost = np.r_[True, of[1:] != of[:-1]]
+                later = at[~leftmost]
+                at = at[leftmost]
+            else:
+                later = at[:0]
+            if len(later):
+                buckets[rank] = later.tolist()
+            else:
+                bits.clear(rank)
+            if not len(at):
+                continue
+            gone = after[at]
+            end = after[gone]
+            alive[gone] = False
+            after[at] = end
+            before[end] = at
+            ids[at] = rank
+            left = before[at]
+            spots, lefts, rights = np.concatenate([at, left]), np.concatenate([at, left]), np.concatenate([end, at])
+            real = (lefts < n) & (rights < n)
+            pair[at] = -1
+            spots = spots[real]
+            new = self.pair_ranks(ids[lefts[real]], ids[rights[real]])
+            pair[spots] = new
+            some = new >= 0
+            for r, i in zip(new[some].tolist(), spots[some].tolist(), strict=True):
+                bucket = buckets.get(r)
+                if bucket is None:
+                    buckets[r] = [i]
+                    bits.set(r)
+                else:
+                    bucket.append(i)
+        left = np.flatnonzero(alive[:n])
+        packed = ids[left].astype("<i4").tobytes()
+        stops = (np.searchsorted(left, ends) * 4).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -125,20 +239,29 @@ class ByteBpe:
             i = after[i]
         return out
 
-    def packed(self, word: str) -> bytes:
-        """Ids of one pre-token as little-endian 32-bit integers."""
-        data = word.encode()
-        ids = np.array(self.merge(data), "<i4").tobytes()
-        if len(data) <= CACHED_BYTES:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[word] = ids
-        return ids
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        split = [self.split.findall(t) for t in texts]
+        seen = {w for words in split for w in words}
+        cache = self.cache
+        new = [w for w in seen if w not in cache]
+        raw = [w.encode() for w in new]
+        short = [k for k, w in enumerate(raw) if len(w) <= SHORT]
+        if short:
+            for k, ids in zip(short, self.merge_all([raw[k] for k in short]), strict=True):
+                cache[new[k]] = ids
+        long = [new[k] for k, w in enumerate(raw) if len(w) > SHORT]
+        for w in long:
+            cache[w] = np.array(self.merge(w.encode()), "<i4").tobytes()
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<i4") for words in split]
+        for w in long:
+            del cache[w]
+        if len(cache) > CACHE:
+            self.cache = {w: cache[w] for w in seen if w in cache}
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        words = self.split.findall(text) if len(text) <= STREAMED else (m[0] for m in self.split.finditer(text))
-        get, packed = self.cache.get, self.packed
-        return np.frombuffer(b"".join([get(w) or packed(w) for w in words]), "<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
@@ -161,7 +284,7 @@ def _rows(lists: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32), pa.int32()))
 
 
-def _sliced(batch: pa.RecordBatch, of: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _sliced(batch: pa.RecordBatch, of: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose column ``of`` holds about ``most`` bytes."""
     start, held = 0, 0
     sizes = pc.fill_null(pc.binary_length(batch.column(of)), 0).to_pylist()
@@ -189,7 +312,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
         bpe = coder(raw.value, pattern)
         for whole in batches:
             for batch in _sliced(whole, 1):
-                ids = [bpe.encode(x or "") for x in batch.column(1).to_pylist()]
+                ids = bpe.encode_all([x or "" for x in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), _rows(ids)], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -142,8 +142,9 @@ def pack_tokens(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str =
         packer = Packer(TaskContext.get().partitionId(), length, pad)
         for whole in batches:
             for batch in _sliced(whole, 1):
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    yield from packer.add(doc_id, np.concatenate([bpe.encode(text or ""), tail]))
+                ids = bpe.encode_all([x or "" for x in batch.column(1).to_pylist()])
+                for doc_id, own in zip(batch.column(0).to_pylist(), ids, strict=True):
+                    yield from packer.add(doc_id, np.concatenate([own, tail]))
         yield from packer.flush()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _ROW)
