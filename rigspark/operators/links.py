@@ -50,7 +50,7 @@ def reachable(links: DataFrame, root: int = 0) -> DataFrame:
              UNION ALL
              SELECT DISTINCT e.b, h.steps + 1 FROM hop h JOIN {edges} e ON e.a = h.sensor WHERE h.steps < {sensors})
            SELECT sensor, min(steps) AS steps FROM hop GROUP BY sensor""",
-        root=F.lit(root), edges=both.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")), sensors=F.lit(32),
+        root=root, edges=both.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")), sensors=32,
     )
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import vectors as v
 from .parameters import SegmentationParameters
 
-P = v.vec()
 DEFAULT = SegmentationParameters()
 
 
@@ -24,15 +23,15 @@ def drop_invalid(points: DataFrame) -> DataFrame:
 
 
 def drop_zero_range(points: DataFrame) -> DataFrame:
-    return points.where(v.norm2(P) > 0)
+    return points.where(v.norm2(v.vec()) > 0)
 
 
 def range_cut(points: DataFrame, below: float) -> DataFrame:
-    return points.where(v.norm(P) < below)
+    return points.where(v.norm(v.vec()) < below)
 
 
 def max_range(points: DataFrame, most: float) -> DataFrame:
-    return points.where(v.norm2(P) <= most * most)
+    return points.where(v.norm2(v.vec()) <= most * most)
 
 
 def ring_only(points: DataFrame, ring: int) -> DataFrame:
@@ -47,7 +46,7 @@ def far_points(points: DataFrame, beyond: float = 1000.0) -> DataFrame:
 def ordered(points: DataFrame) -> DataFrame:
     """Valid points with azimuth, place in their ring by (azimuth, point_idx), and gap to the point before."""
     w = Window.partitionBy("scan", "ring").orderBy("az", "point_idx")
-    out = drop_invalid(points).withColumn("az", v.azimuth(P))
+    out = drop_invalid(points).withColumn("az", v.azimuth(v.vec()))
     return out.withColumn("in_ring", F.row_number().over(w) - 1).withColumn("daz", F.col("az") - F.lag("az").over(w))
 
 
@@ -75,7 +74,7 @@ def spacing_in_file_order(points: DataFrame) -> DataFrame:
     """The histogram over neighbours in file order, without the search for a power of two."""
     w = Window.partitionBy("scan", "ring").orderBy("point_idx")
     step = F.abs(F.col("az") - F.lag("az").over(w))
-    rows = drop_zero_range(points).withColumn("az", v.azimuth(P)).select("scan", step.alias("step"))
+    rows = drop_zero_range(points).withColumn("az", v.azimuth(v.vec())).select("scan", step.alias("step"))
     return rows.select("scan", F.floor(2 * math.pi / F.when(F.col("step") > 0, F.col("step")) + 0.5).alias("per_rotation")).where("per_rotation >= 1 and per_rotation < 1000000").groupBy("scan", "per_rotation").agg(F.count("*").alias("n"))
 
 
@@ -150,7 +149,7 @@ def stage1_segments(points: DataFrame, per_rotation: int, par: SegmentationParam
         ends[f"a{c}"] = F.min_by(c, "in_ring").over(w)
         ends[f"b{c}"] = F.max_by(c, "in_ring").over(w)
     rows = cells.drop("az", "daz").withColumns(ends)
-    chord, off = v.sub(v.vec("b"), v.vec("a")), v.sub(P, v.vec("a"))
+    chord, off = v.sub(v.vec("b"), v.vec("a")), v.sub(v.vec(), v.vec("a"))
     along = v.dot(off, chord)
     rows = rows.withColumn("bend", v.norm2(off) - along * along / F.when(v.norm2(chord) > 0, v.norm2(chord)))
     n = F.count("*")
