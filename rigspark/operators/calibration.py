@@ -1,7 +1,9 @@
-"""Poses of rigidly mounted lidars from boards that several of them see.
+"""Poses of rigidly mounted lidars and cameras from boards that several of them see.
 
-``points(snapshot, sensor, x, y, z)`` are board points in sensor frames;
-sensor 0 is the reference.  The residuals of a snapshot depend on the sensors'
+``points(snapshot, sensor, x, y, z)`` are board points in lidar frames; for
+cameras, which come after the lidars, they are corners in the board's frame
+with the pixels ``u, v`` where they are seen.  Sensor 0, a lidar, is the
+reference.  The residuals of a snapshot depend on the sensors'
 poses and on its own board's pose only, so each snapshot is reduced to its
 share of the sensors' normal equations (the board eliminated by its Schur
 complement) where its points are.  The shares are summed by partition; the
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions import poses
 from . import links, scans
-from .residuals import REGULAR_R, REGULAR_T, SIGMA_M
+from .cameras import Intrinsics, boards_in_cameras, reprojection_and_jacobian
+from .residuals import REGULAR_R, REGULAR_T, SIGMA_M, SIGMA_PX
 
 
 @dataclass
@@ -87,14 +90,17 @@ def seed_boards(planes: DataFrame, sensors: np.ndarray) -> dict[int, np.ndarray]
     return out
 
 
-def seed_outliers(planes: DataFrame, sensors: np.ndarray, boards: dict[int, np.ndarray], most: float = 0.5, cos_least: float = 0.984807753012208) -> set[int]:
+def seed_outliers(planes: DataFrame, sensors: np.ndarray, boards: dict[int, np.ndarray], most: float = 0.5, cos_least: float = 0.984807753012208, centred: bool = True) -> set[int]:
     """Snapshots in which some sensor's plane is away from the board by more than a distance or an angle."""
     bad = set()
     for row in planes.collect():  # one row for each snapshot and sensor
         pose, board = sensors[row["sensor"]], boards[row["snapshot"]]
         turn = poses.matrix(pose[:3])
         n, p = turn @ [row["nx"], row["ny"], row["nz"]], turn @ [row["px"], row["py"], row["pz"]] + pose[3:]
-        if np.linalg.norm(p - board[3:]) > most or abs(n @ poses.matrix(board[:3])[:, 2]) < cos_least:
+        off = p - board[3:]
+        if not centred:  # the board's frame begins at a corner
+            off = (off @ poses.matrix(board[:3])[:, 2]) * n
+        if np.linalg.norm(off) > most or abs(n @ poses.matrix(board[:3])[:, 2]) < cos_least:
             bad.add(row["snapshot"])
     return bad
 
@@ -124,7 +130,7 @@ def residuals_and_jacobian(p: np.ndarray, sensor: np.ndarray, board: np.ndarray,
     return error / SIGMA_M, by_sensor / SIGMA_M, by_board / SIGMA_M
 
 
-def _reduced(group: pd.DataFrame, sensors: np.ndarray, board: np.ndarray, by_range: bool, damping: float):
+def _reduced(group: pd.DataFrame, sensors: np.ndarray, board: np.ndarray, lenses: Intrinsics, by_range: bool, damping: float):
     """A snapshot's reduced normal equations, its cost, and what gives the board's step from the sensors'."""
     width = 6 * len(sensors)
     hss, hsb, gs = np.zeros((width, width)), np.zeros((width, 6)), np.zeros(width)
@@ -132,7 +138,11 @@ def _reduced(group: pd.DataFrame, sensors: np.ndarray, board: np.ndarray, by_ran
     hbb, gb = np.diag(weights**2), weights**2 * board
     cost = float((weights * board) @ (weights * board))
     for s, own in group.groupby("sensor"):
-        e, a, b = residuals_and_jacobian(own[["x", "y", "z"]].to_numpy(), sensors[s], board, by_range)
+        p = own[["x", "y", "z"]].to_numpy()
+        if s in lenses:
+            e, a, b = reprojection_and_jacobian(p, own[["u", "v"]].to_numpy(), sensors[s], board, lenses[s], SIGMA_PX)
+        else:
+            e, a, b = residuals_and_jacobian(p, sensors[s], board, by_range)
         at = slice(6 * s, 6 * s + 6)
         hss[at, at] += a.T @ a
         hsb[at] += a.T @ b
@@ -146,7 +156,7 @@ def _reduced(group: pd.DataFrame, sensors: np.ndarray, board: np.ndarray, by_ran
     return hss - hsb @ back[:, 1:], gs - hsb @ back[:, 0], cost, back
 
 
-def _step(points: DataFrame, sensors: np.ndarray, boards: dict[int, np.ndarray], by_range: bool, damping: float):
+def _step(points: DataFrame, sensors: np.ndarray, boards: dict[int, np.ndarray], lenses: Intrinsics, by_range: bool, damping: float):
     """Summed normal equations and cost, and the boards' back-substitutions."""
     sent = points.sparkSession.sparkContext.broadcast((sensors, boards))
     width = 6 * len(sensors)
@@ -158,7 +168,7 @@ def _step(points: DataFrame, sensors: np.ndarray, boards: dict[int, np.ndarray],
         poses_, boards_ = sent.value
         h, g, cost, rows = np.zeros((width, width)), np.zeros(width), 0.0, []
         for k, group in pd.concat(held).groupby("snapshot"):
-            dh, dg, dc, back = _reduced(group, poses_, boards_[k], by_range, damping)
+            dh, dg, dc, back = _reduced(group, poses_, boards_[k], lenses, by_range, damping)
             h, g, cost = h + dh, g + dg, cost + dc
             rows.append((int(k), back.ravel().tolist(), 0.0))
         yield pd.DataFrame([(-1, [*h.ravel(), *g], cost), *rows], columns=["snapshot", "numbers", "cost"])
@@ -173,51 +183,62 @@ def _step(points: DataFrame, sensors: np.ndarray, boards: dict[int, np.ndarray],
     return h[6:, 6:], g[6:], cost, backs
 
 
-def solve(points: DataFrame, sensors: np.ndarray, boards: dict[int, np.ndarray], *, rounds: int = 20, tolerance: float = 1e-8) -> Solution:
+def solve(points: DataFrame, sensors: np.ndarray, boards: dict[int, np.ndarray], lenses: Intrinsics | None = None, *, rounds: int = 20, tolerance: float = 1e-8) -> Solution:
     """Levenberg-Marquardt, first by distances to planes, then by ranges along rays."""
     held = points.where(F.col("snapshot").isin(list(boards))).repartition("snapshot").persist()
-    damping, iterations = 1e-6, 0
+    damping, iterations, lenses = 1e-6, 0, lenses or {}
     try:
         n = held.count()
         for by_range in (False, True):
-            h, g, cost, backs = _step(held, sensors, boards, by_range, damping)
+            h, g, cost, backs = _step(held, sensors, boards, lenses, by_range, damping)
             for _ in range(rounds):
                 iterations += 1
                 move = np.concatenate([np.zeros(6), -np.linalg.solve(h, g)])
                 new_sensors = sensors + move.reshape(-1, 6)
                 new_boards = {k: b - backs[k][:, 0] - backs[k][:, 1:] @ move for k, b in boards.items()}
-                trial = _step(held, new_sensors, new_boards, by_range, damping)
+                trial = _step(held, new_sensors, new_boards, lenses, by_range, damping)
                 if trial[2] > cost:
                     damping = max(damping, 1e-9) * 10
                     if damping > 1e6:
                         break
-                    h, g, cost, backs = _step(held, sensors, boards, by_range, damping)
+                    h, g, cost, backs = _step(held, sensors, boards, lenses, by_range, damping)
                     continue
                 gain = cost - trial[2]
                 sensors, boards, damping = new_sensors, new_boards, damping / 10
                 h, g, cost, backs = trial
                 if gain <= tolerance * max(cost, 1e-12) or cost < 1e-16 * n:
                     break
-        h = _step(held, sensors, boards, True, 0.0)[0]
+        h = _step(held, sensors, boards, lenses, True, 0.0)[0]
     finally:
         held.unpersist()
     return Solution(sensors, boards, np.linalg.inv(h), float(np.sqrt(cost / n)), iterations)
 
 
-def calibrate(points: DataFrame) -> Solution:
-    """Seed, rejection of snapshots that do not fit it, and solve."""
-    planes = board_planes(points).persist()
+def calibrate(points: DataFrame, lenses: Intrinsics | None = None) -> Solution:
+    """Seed, rejection of snapshots that do not fit it, and solve; ``lenses`` are the cameras' intrinsics by sensor."""
+    seen_by_camera = F.col("sensor").isin(list(lenses or {}))
+    planes = board_planes(points.where(~seen_by_camera) if lenses else points)
+    cameras = boards_in_cameras(points.where(seen_by_camera), lenses).persist() if lenses else None
+    if cameras is not None:
+        planes = planes.unionByName(cameras.select(planes.columns))
+    planes = planes.persist()
     try:
         seen = links.selected_snapshots(planes.select("snapshot", "sensor"))
         planes_used = planes.join(seen.select("snapshot"), "snapshot", "left_semi")
         count = int(planes_used.agg(F.max("sensor")).first()[0]) + 1
         sensors = seed_sensors(links.pair_sums(planes_used).collect(), count)  # one row for each pair of sensors
         boards = seed_boards(planes_used, sensors)
-        for k in seed_outliers(planes_used, sensors, boards):
+        if cameras is not None:  # a camera also sees how the board is turned
+            for row in cameras.orderBy("sensor").collect():  # one row for each snapshot and camera
+                if row["snapshot"] in boards:
+                    boards[row["snapshot"]] = poses.compose(sensors[row["sensor"]], np.array([row[k + c] for k in "rt" for c in "xyz"]))
+        for k in seed_outliers(planes_used, sensors, boards, centred=cameras is None):
             del boards[k]
     finally:
         planes.unpersist()
-    return solve(points, sensors, boards)
+        if cameras is not None:
+            cameras.unpersist()
+    return solve(points, sensors, boards, lenses)
 
 
 def transform_covariance(solution: Solution, sensor0: int, sensor1: int, at: np.ndarray) -> np.ndarray:

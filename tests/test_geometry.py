@@ -67,3 +67,27 @@ def test_unreached_sensor_is_named(spark):
     rows = rig_points(spark).where("sensor <> 2 or snapshot = 0")
     with pytest.raises(ValueError, match=r"\[2\]"):
         calibration.calibrate(rows)
+
+
+def test_board_pose_and_camera_jacobian():
+    from rigspark.operators import cameras
+
+    sensors, rows = synthetic.camera_rig()
+    own = rows[(rows.snapshot == 1) & (rows.sensor == 2)]
+    flat, seen, lens = own[["x", "y", "z"]].to_numpy(), own[["u", "v"]].to_numpy(), synthetic.LENSES[2]
+    found = cameras.board_pose(flat, seen, lens)
+    assert np.abs(cameras.project(flat @ poses.matrix(found[:3]).T + found[3:], lens) - seen).max() < 1e-6
+    a, b, h = sensors[2] + 0.01, poses.compose(sensors[2], found), 1e-6
+    _, ja, jb = cameras.reprojection_and_jacobian(flat, seen, a, b, lens, 0.15)
+    for k in range(6):
+        d = h * np.eye(6)[k]
+        na = (cameras.reprojection_and_jacobian(flat, seen, a + d, b, lens, 0.15)[0] - cameras.reprojection_and_jacobian(flat, seen, a - d, b, lens, 0.15)[0]) / (2 * h)
+        nb = (cameras.reprojection_and_jacobian(flat, seen, a, b + d, lens, 0.15)[0] - cameras.reprojection_and_jacobian(flat, seen, a, b - d, lens, 0.15)[0]) / (2 * h)
+        assert np.allclose(na, ja[:, k], rtol=1e-4, atol=1e-2) and np.allclose(nb, jb[:, k], rtol=1e-4, atol=1e-2)
+
+
+def test_cameras_calibrate_with_lidars(spark):
+    truth, rows = synthetic.camera_rig()
+    table = spark.createDataFrame(rows, "snapshot int, sensor int, x double, y double, z double, u double, v double")
+    found = calibration.calibrate(table, synthetic.LENSES)
+    assert np.abs(found.sensors - truth).max() < 1e-5
