@@ -13,29 +13,34 @@ from rigspark.llm.decontamination import decontaminate
 from rigspark.llm.ngram_join import ngram_jaccard_join
 from rigspark.llm.quality_rules import keep_quality
 from rigspark.llm.queries import token_digests
-from rigspark.llm.spill import stored
+from rigspark.llm.spill import sized_batches, stored
 from rigspark.llm.substring_dedup import drop_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sized_batches(spark)
     return keep_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the smallest id."""
+    sized_batches(spark)
     first = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sized_batches(spark)
     return drop_repeats(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sized_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sized_batches(spark)
     return token_digests(docs)
 
 

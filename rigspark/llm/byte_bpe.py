@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a Python worker's pre-token cache; beyond, only those of the latest slice stay.
-CACHE = 150_000
+CACHE = 200_000
 #: Bytes of text encoded at a time.
-SLICE = 5 << 19
+SLICE = 1 << 22
 #: Pre-tokens of more bytes have a queue of their own, and are not kept.
 SHORT = 256
 WORD = 256
@@ -242,9 +242,9 @@ class ByteBpe:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [self.split.findall(t) for t in texts]
-        seen = {w for words in split for w in words}
+        seen = set().union(*split)
         cache = self.cache
-        new = [w for w in seen if w not in cache]
+        new = list(seen - cache.keys())
         raw = [w.encode() for w in new]
         short = [k for k, w in enumerate(raw) if len(w) <= SHORT]
         if short:
@@ -297,12 +297,13 @@ def _sliced(batch: pa.RecordBatch, of: int, most: int = SLICE) -> Iterator[pa.Re
         yield batch.slice(start)
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, decoded: bool = False) -> DataFrame:
     """``(doc_id, ids array<int>)`` of each row: every match of ``pattern`` by itself, no special tokens.
 
     ``vocabulary`` is the path of a rank file.  A null or empty text has no
     ids.  Rows that repeat, and null ids, keep a row each; other columns are
-    ignored.
+    ignored.  With ``decoded``, the ids are also decoded again by the same
+    task, as in ``bpe_decode``.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
@@ -313,11 +314,12 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
         for whole in batches:
             for batch in _sliced(whole, 1):
                 ids = bpe.encode_all([x or "" for x in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), _rows(ids)], names=["doc_id", "ids"])
+                back = [pa.array(map(bpe.decode, ids), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), _rows(ids), *back], names=["doc_id", "ids", "decoded"][: 2 + decoded])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .spill import stored
+from .spill import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, label)`` for every node of ``edges(a, b)``: the smallest node that it reaches.
 
     Self-links only make their node appear.  Every round is a fixed number of
@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         seen = Observation()
-        now = stored(_small_star(_large_star(now)).observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "star")
+        now = scratch.stored(_small_star(_large_star(now)).observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "star")
         if seen.get == mark:
             break
         mark = seen.get

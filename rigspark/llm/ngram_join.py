@@ -37,12 +37,12 @@ from pyspark.sql import types as T
 
 from .components import components
 from .signature_tree import Join, Linked, Sets, build
-from .spill import discard, release, stored, stored_at
+from .spill import Scratch, release, stored
 from .words import BLANKS, LANES, U64, grams, mix, slices, text_buffers
 
 COMMON = 63
 RANK_BITS = 6
-CHUNK_GRAMS = 3 << 18
+CHUNK_GRAMS = 1 << 19
 CHUNK_DOCS = 60_000
 BUCKET_BYTES = 10 << 20
 DOC_SHARD_BYTES = 16 << 20
@@ -97,6 +97,20 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
+def _packed_ids(ids: np.ndarray) -> bytes:
+    """Ids as 32-bit distances from the smallest where they fit, else whole; the first byte says which."""
+    low = ids.min() if len(ids) else 0
+    if len(ids) and int(ids.max()) - int(low) < 1 << 32:
+        return b"\1" + low.tobytes() + (ids - low).astype(np.uint32).tobytes()
+    return b"\0" + ids.tobytes()
+
+
+def _unpacked_ids(x: bytes) -> np.ndarray:
+    if x[:1] == b"\1":
+        return np.frombuffer(x, np.uint32, offset=9).astype(np.int64) + np.frombuffer(x[1:9], np.int64)
+    return np.frombuffer(x[1:], np.int64)
+
+
 def _low48(x: np.ndarray) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -138,7 +152,7 @@ def _deal(n: int, bits: int, shards: int):
         ends = np.cumsum(held)
         for shard, at in _fold(_doc_shard(ids, shards), np.arange(len(ids))):
             own = np.concatenate([heavy[ends[i] - held[i] : ends[i]] for i in at]) if held[at].any() else heavy[:0]
-            rows.append((shard, 1, ids[at].tobytes(), np.stack([sizes[at], held[at]]).astype(np.int64).tobytes(), own.tobytes(), digest[:, at].tobytes()))
+            rows.append((shard, 1, _packed_ids(ids[at]), np.stack([sizes[at], held[at]]).astype(np.int64).tobytes(), own.tobytes(), digest[:, at].tobytes()))
         hashes, docs = hashes[~common], docs[~common]
         bucket = (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
         marks = {b: x for b, x in _fold((marked >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(marked), np.int64), marked)}
@@ -148,7 +162,7 @@ def _deal(n: int, bits: int, shards: int):
                 names = ids[names]
             else:
                 names = ids
-            rows.append((b, 0, names.tobytes(), who.astype(np.uint16).tobytes(), _low48(tokens), _low48(marks.pop(b, tokens[:0]))))
+            rows.append((b, 0, _packed_ids(names), who.astype(np.uint16).tobytes(), _low48(tokens), _low48(marks.pop(b, tokens[:0]))))
         rows += [(b, 0, b"", b"", b"", _low48(x)) for b, x in marks.items()]
         for i in range(0, len(rows), 256):
             yield _packed(rows[i : i + 256])
@@ -163,7 +177,7 @@ def _deal(n: int, bits: int, shards: int):
                     ids, hashes, docs, held, grams_held = [], [], [], 0, 0
                 ids.append(names[lo : lo + count])
                 hashes.append(found & keep)
-                docs.append(rows + held)
+                docs.append((rows + held).astype(np.int32))
                 held += count
                 grams_held += len(found)
         if held:
@@ -181,7 +195,7 @@ def _answer(bits: int, shards: int):
         top = U64(bucket << (64 - bits)) if bits else U64(0)
         for r in table.to_batches():
             for who, which, own, marks in zip(*(r.column(c).to_pylist() for c in ("ids", "sizes", "tokens", "marks")), strict=True):
-                names, own, marks = np.frombuffer(who, np.int64), _from48(own), _from48(marks)
+                names, own, marks = _unpacked_ids(who), _from48(own), _from48(marks)
                 ids.append(names)
                 spots += [np.frombuffer(which, np.uint16).astype(np.int32) + np.int32(base), np.full(len(marks), -1, np.int32)]
                 tokens += [own, marks]
@@ -199,7 +213,7 @@ def _answer(bits: int, shards: int):
             for shard, who, own in _fold(_doc_shard(owners, shards), owners, ranked):
                 names, order = np.unique(who, return_inverse=True)
                 own = own[np.argsort(order, kind="stable")]
-                rows.append((shard, 0, names.tobytes(), np.bincount(order).astype(np.int64).tobytes(), own.tobytes(), b""))
+                rows.append((shard, 0, _packed_ids(names), np.bincount(order).astype(np.int64).tobytes(), own.tobytes(), b""))
         return pa.Table.from_batches([_packed(rows)])
 
     return run
@@ -218,7 +232,7 @@ def _gather(num: int, den: int):
         heads, owners, tokens = [], [], []
         for r in table.to_batches():
             for kind, who, sizes, own, marks in zip(*(r.column(c).to_pylist() for c in ("kind", "ids", "sizes", "tokens", "marks")), strict=True):
-                names, sizes = np.frombuffer(who, np.int64), np.frombuffer(sizes, np.int64)
+                names, sizes = _unpacked_ids(who), np.frombuffer(sizes, np.int64)
                 if kind:
                     heads.append(np.concatenate([names[None], sizes.reshape(2, -1)[:1], np.frombuffer(marks, np.int64).reshape(2, -1)]))
                     sizes = sizes.reshape(2, -1)[1]
@@ -324,7 +338,7 @@ def _moved(now: DataFrame, to: DataFrame) -> DataFrame:
     return now.join(to, F.col("known") == F.col("a"), "left").select("rep", "label", F.coalesce("b", "known").alias("known"))
 
 
-def _classes(reps: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+def _classes(reps: DataFrame, sets: DataFrame, num: int, den: int, block: int, scratch: Scratch) -> DataFrame:
     """``(rep, component)`` for the reps that share a prefix n-gram with another.
 
     ``reps(rep, keys)`` are the distinct sets' ids and prefixes, ``sets(rep, n, tokens)`` hold their tokens.
@@ -332,10 +346,10 @@ def _classes(reps: DataFrame, sets: DataFrame, num: int, den: int, block: int) -
     keys = reps.select("rep", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("rep").alias("m"), F.count("*").alias("c")).where("c > 1").select("key", "m")
     edges = keys.join(least, "key").where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b"))
-    labels = stored(components(edges).select(F.col("node").alias("rep"), "label"), "labels")
-    first = stored(_joined_in_blocks(sets, labels, num, den, block), "blocks")
+    labels = scratch.stored(components(edges, scratch).select(F.col("node").alias("rep"), "label"), "labels")
+    first = scratch.stored(_joined_in_blocks(sets, labels, num, den, block), "blocks")
     large = labels.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") > block).select("label")
-    now = stored(_moved(labels.join(large, "label").select("rep", "label", F.col("rep").alias("known")), first), "known")
+    now = scratch.stored(_moved(labels.join(large, "label").select("rep", "label", F.col("rep").alias("known")), first), "known")
     found = labels.select("rep").join(first, F.col("rep") == F.col("a"), "left").select("rep", F.coalesce("b", "rep").alias("component"))
     if now.isEmpty():
         return found
@@ -344,16 +358,16 @@ def _classes(reps: DataFrame, sets: DataFrame, num: int, den: int, block: int) -
         most = delegates.groupBy("label").count().agg(F.max("count")).first()[0]
         if most == 1:
             break
-        more = stored(_joined_in_blocks(sets, delegates, num, den, block), "delegates")
+        more = scratch.stored(_joined_in_blocks(sets, delegates, num, den, block), "delegates")
         if more.isEmpty():
             break
-        now = stored(_moved(now, more), "known")
+        now = scratch.stored(_moved(now, more), "known")
         if most <= block:
             break
     if most > 1:
-        links = stored(_across(sets, now, num, den, block), "across")
+        links = scratch.stored(_across(sets, now, num, den, block), "across")
         if not links.isEmpty():
-            now = _moved(now, components(links).select(F.col("node").alias("a"), F.col("label").alias("b")))
+            now = _moved(now, components(links, scratch).select(F.col("node").alias("a"), F.col("label").alias("b")))
     return found.join(now.select(F.col("rep").alias("r"), "known"), F.col("rep") == F.col("r"), "left").select("rep", F.coalesce("known", "component").alias("component"))
 
 
@@ -370,21 +384,21 @@ def _across(sets: DataFrame, now: DataFrame, num: int, den: int, block: int) ->
     return rows.repartition("label", "block", "other").sortWithinPartitions("label", "block", "other", "side", "rep").mapInArrow(_join_sides(num, den), _PAIRS)
 
 
-def _set_table(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _set_table(rows: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """A row of ``_SETS`` for each document, in the shared folder; the shuffles that made it are free to go."""
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(16, max(0, (int(total) // BUCKET_BYTES).bit_length()))
     shards = max(1, int(total) // DOC_SHARD_BYTES)
-    answers, path = _answers(rows, n, bits, shards)
+    answers = _answers(rows, n, bits, shards, scratch)
     release(rows.sparkSession)
-    found = stored(answers.groupBy("shard").applyInArrow(_gather(num, den), _SETS), "sets")
-    discard(rows.sparkSession, path)
+    found = scratch.stored(answers.groupBy("shard").applyInArrow(_gather(num, den), _SETS), "sets")
+    scratch.drop("answers")
     return found
 
 
-def _answers(rows: DataFrame, n: int, bits: int, shards: int) -> tuple[DataFrame, str]:
+def _answers(rows: DataFrame, n: int, bits: int, shards: int, scratch: Scratch) -> DataFrame:
     dealt = rows.where("doc_id is not null").mapInArrow(_deal(n, bits, shards), _PACKED)
-    return stored_at(dealt.groupBy("kind", "shard").applyInArrow(_bucket_or_pass(_answer(bits, shards)), _PACKED), "answers")
+    return scratch.stored(dealt.groupBy("kind", "shard").applyInArrow(_bucket_or_pass(_answer(bits, shards)), _PACKED), "answers")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, similarity: tuple[int, int] = (75, 100), block: int = BLOCK) -> DataFrame:
@@ -400,14 +414,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     num, den = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = _set_table(rows, n, num, den)
+    scratch = Scratch(docs.sparkSession)
+    found = _set_table(rows, n, num, den, scratch)
     release(docs.sparkSession)
-    reps = stored(found.where("tokens is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "reps")
+    reps = scratch.stored(found.where("tokens is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "reps")
     sets = found.where("tokens is not null").select(F.col("doc_id").alias("rep"), "n", "tokens")
-    classes = stored(_classes(reps, sets, num, den, block), "classes")
+    classes = _classes(reps, sets, num, den, block, scratch)
     named = reps.select("d1", "d2", "n", "rep").join(classes, "rep", "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("component", "rep").alias("c"))
     out = found.select("doc_id", "n", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en")), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    out = stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id")), "components")
+    scratch.drop()
+    release(docs.sparkSession)
     lost = rows.where("doc_id is null").mapInArrow(_sizes_only(n), "doc_id long, n_shingles long, component_id long")
     return out.unionAll(lost)
 

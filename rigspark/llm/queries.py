@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import url_filter
-from .byte_bpe import bpe_decode, bpe_encode
+from .byte_bpe import bpe_encode
 from .chat_format import canonical_turns, format_chats, read_back
 from .decontamination import find_contamination, hit_words
 from .html_extract import extract_main_text
@@ -15,10 +15,12 @@ from .ngram_join import ngram_jaccard_join
 from .packing import pack_tokens
 from .quality_classifier import score_quality, train_quality
 from .quality_rules import quality_rules
+from .spill import sized_batches
 from .substring_dedup import repeated_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sized_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,8 +34,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """Round trip of every text through the vocabulary, as digests."""
-    ids = bpe_encode(docs, vocabulary(), public_tokenizers.PATTERN)
-    both = bpe_decode(ids, vocabulary(), public_tokenizers.PATTERN)
+    both = bpe_encode(docs, vocabulary(), public_tokenizers.PATTERN, decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

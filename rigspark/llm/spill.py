@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,26 +19,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: a lost executor costs no recomputation past it."""
-    return stored_at(df, name)[0]
-
-
-def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``stored`` and the table's path, for ``discard``."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rigspark/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark) + '/rigspark'}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored tables that go together, when nothing will read them again."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/rigspark/{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name, self.folder)
+
+    def drop(self, name: str = "") -> None:
+        """Remove the tables called ``name``, or all."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        store = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in store.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}-*")) if name else []:
+            store.delete(found.getPath(), True)
+        if not name:
+            store.delete(place, True)
+
+
+#: Bytes of an Arrow batch between Spark and Python; rows of text differ too much in length to count rows.
+BATCH_BYTES = 4 << 20
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a stored table that nothing will read again."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def sized_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches in bytes, so that long texts do not fill an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round only lets go of what the finished plans held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)

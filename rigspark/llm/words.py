@@ -14,9 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 
+# Freed buffers go back to the system: idle Python workers of earlier stages keep little.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240229)

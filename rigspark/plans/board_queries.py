@@ -36,3 +36,22 @@ def sector_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = frame.select("sector", F.explode(F.array(F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(2).alias("b")), F.struct(F.lit(1).alias("a"), F.lit(2).alias("b")))).alias("p")).select("sector", F.col("p.a").alias("sensor0"), F.col("p.b").alias("sensor1"))
     stdevs = calibration.sector_stdevs(sectors.query_points(spark, 36, 10.0), pairs, solution)
     return sectors.worst_pairs(stdevs, 36)
+
+
+@query("calibrate_cameras")
+def calibrate_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows = synthetic.camera_rig(sigma_px=0.1)
+    table = spark.createDataFrame(rows, "snapshot int, sensor int, x double, y double, z double, u double, v double")
+    return calibration.pose_table(calibration.calibrate(table, synthetic.LENSES), spark)
+
+
+@query("replay_monte_carlo")
+def replay_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poses of a solve and of replays of it with fresh noise."""
+    points = rig_points(spark, snapshots=8, points=20)
+    first = calibration.calibrate(points)
+    out = calibration.pose_table(first, spark).withColumn("replay", F.lit(0))
+    for k in (1, 2):
+        again = calibration.solve(calibration.with_noise(points, k, 0.01), first.sensors, first.boards)
+        out = out.unionAll(calibration.pose_table(again, spark).withColumn("replay", F.lit(k)))
+    return out

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import poses
 from ..functions import vectors as v
-from ..operators import links, residuals, sectors, snapshots
+from ..operators import links, residuals, sectors, snapshots, views
 from ..sources import fixtures as fx
 from .catalogue import query
 
@@ -264,3 +266,54 @@ def residual_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 def insane_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lidar_residuals(spark, sf_dir).select("scan", "ring", "point_idx", F.lit("lidar").alias("kind"), F.col("range_error").alias("error"))
     return residuals.insane(rows).select("scan", "ring", "point_idx")
+
+
+@query("sphere_grid", f"SELECT (k // 20)::INT AS i, (k % 20)::INT AS j, round(cos((k % 20 + 0.5) * ({PI} / 20) - {PI} / 2) * cos((k // 20) * (2 * {PI} / 40)), 9) + 0 AS x, round(cos((k % 20 + 0.5) * ({PI} / 20) - {PI} / 2) * sin((k // 20) * (2 * {PI} / 40)), 9) + 0 AS y, round(sin((k % 20 + 0.5) * ({PI} / 20) - {PI} / 2), 9) + 0 AS z FROM range(800) r(k)")
+def sphere_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.sphere_grid(spark).select("i", "j", *((F.round(c, 9) + 0.0).alias(c) for c in "xyz"))
+
+
+@query("mesh_grid", "SELECT (k // 21)::INT AS i, (k % 21)::INT AS j, round((k % 21) * (2 * 5.0::DOUBLE / 20) - 5, 9) AS x, round((k // 21) * (2 * 5.0::DOUBLE / 20) - 5, 9) AS y FROM range(441) r(k)")
+def mesh_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.mesh_grid(spark, 21, 5.0).select("i", "j", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+#: A rig: (sensor, kind, pose).
+_RIG = [(k, "lidar" if k < 7 else "camera", *(0.1 * k * p for p in _A[:3]), *(p + k for p in _A[3:])) for k in range(10)]
+_RIG_COLUMNS = "sensor int, kind string, rx double, ry double, rz double, tx double, ty double, tz double"
+
+
+def _ahead(row: tuple) -> tuple:
+    d = poses.matrix(list(row[2:5]))[:, 0 if row[1] == "lidar" else 2]
+    size = math.hypot(d[0], d[1])
+    return row[0], row[1], row[5], row[6], *((float(d[0] / size), float(d[1] / size)) if size > 1e-12 else (0.0, 0.0))
+
+
+@query("forward_vectors", "SELECT sensor, kind, x::DOUBLE AS x, y::DOUBLE AS y, round(dx::DOUBLE, 6) AS dx, round(dy::DOUBLE, 6) AS dy FROM (VALUES " + ", ".join(map(str, map(_ahead, _RIG))) + ") t(sensor, kind, x, y, dx, dy)")
+def forward_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.forward_vectors(spark.createDataFrame(_RIG, _RIG_COLUMNS)).select("sensor", "kind", "x", "y", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+@query("common_frame_cloud", f"WITH {fx.POINTS_SQL}, near AS (SELECT * FROM points WHERE sqrt(x * x + y * y + z * z) < 2) " + " UNION ALL ".join(f"SELECT scan AS sensor, ring, point_idx, {', '.join(f'round({e}, 5) AS {c}' for e, c in zip(_matrix_sql(row[2:], ('x', 'y', 'z')), 'xyz', strict=True))} FROM near WHERE scan = {row[0]}" for row in _RIG))
+def common_frame_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fx.points(spark, sf_dir).select(F.col("scan").alias("sensor"), "ring", "point_idx", *"xyz")
+    moved = views.in_common_frame(points, spark.createDataFrame(_RIG, _RIG_COLUMNS).drop("kind"), 2.0)
+    return moved.select("sensor", "ring", "point_idx", *(F.round(c, 5).alias(c) for c in "xyz"))
+
+
+@query("frame_axes", "SELECT sensor, axis, round(x::DOUBLE, 6) AS x, round(dx::DOUBLE, 6) + 0 AS dx, round(dy::DOUBLE, 6) + 0 AS dy, round(dz::DOUBLE, 6) + 0 AS dz FROM (VALUES " + ", ".join(str((row[0], axis, row[5], *map(float, poses.matrix(list(row[2:5]))[:, k]))) for row in _RIG for k, axis in enumerate("xyz")) + ") t(sensor, axis, x, dx, dy, dz)")
+def frame_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.axes(spark.createDataFrame(_RIG, _RIG_COLUMNS))
+    return rows.select("sensor", "axis", F.round("x", 6).alias("x"), *((F.round("d" + c, 6) + 0.0).alias("d" + c) for c in "xyz"))
+
+
+def _seen_edges() -> str:
+    """Sectors of a level camera that looks along x with a 90 degree view, by the yaw of both edges."""
+    return f"SELECT 0 AS camera, i::INT AS sector, bool_and(abs(atan2(sin(e), cos(e))) <= {PI} / 4 + 1e-9) AS visible FROM (SELECT i, unnest([i, i + 1]) * (2 * {PI} / 36) AS e FROM range(36) r(i)) GROUP BY i"
+
+
+@query("camera_visibility", _seen_edges())
+def camera_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    look = [float(x) for x in poses.rodrigues(np.array([[0, 0, 1.0], [-1, 0, 0], [0, -1, 0]]))]
+    camera = spark.createDataFrame([(0, *look, 0.0, 0.0, 0.0, 500.0, 500.0, 500.0, 500.0, 1001, 1001)], "camera int, rx double, ry double, rz double, tx double, ty double, tz double, fx double, fy double, cx double, cy double, width int, height int")
+    return sectors.camera_visibility(camera, 36, 10.0)

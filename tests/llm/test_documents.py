@@ -18,7 +18,6 @@ VOCABULARY = queries.vocabulary()
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 SCHEMA = "doc_id long, text string, lang string, n_words int, removed string, n long"
-P = "One two three four five six seven eight nine ten eleven twelve thirteen. " * 1
 LONG = " ".join(f"word{i}" for i in range(60)) + "."
 ROWS = [
     (1, "a b c d e f g", "en", 1, "x", 1), (2, "a b c d e f g", None, None, None, None), (2, "a b c d e f g", "en", 1, "x", 1), (3, None, "en", 1, "x", 1), (4, "", "en", 1, "x", 1), (5, " \n\t ", "en", 1, "x", 1),
@@ -95,6 +94,12 @@ def test_bpe_matches_the_library(table, docs):
         assert bpe.decode(ids) == text.encode()
 
 
+def test_bpe_decode(odd):
+    ids = byte_bpe.bpe_encode(odd, VOCABULARY, public_tokenizers.PATTERN)
+    got = sorted((r["doc_id"] or 0, bytes(r["decoded"])) for r in byte_bpe.bpe_decode(ids, VOCABULARY, public_tokenizers.PATTERN).collect())
+    assert got == sorted((r[0] or 0, (r[1] or "").encode()) for r in ROWS)
+
+
 def test_bpe_edges(odd, empty):
     got = queries.token_digests(odd).collect()
     assert len(got) == len(ROWS) and {r["doc_id"] for r in got if r["n_tokens"] == 0} == {3, 4}
