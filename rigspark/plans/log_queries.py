@@ -185,7 +185,7 @@ def visible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sectors.visible_pairs(seen)
 
 
-@query("board_grid", "SELECT (i // 9)::INT AS i, (i % 9)::INT AS j, round((i % 9) * 0.1, 9) AS x, round((i // 9) * 0.1, 9) AS y, 0.0::DOUBLE AS z FROM range(90) r(i)")
+@query("board_grid", "SELECT (i // 9)::INT AS i, (i % 9)::INT AS j, round((i % 9) * 0.1::DOUBLE, 9) AS x, round((i // 9) * 0.1::DOUBLE, 9) AS y, 0.0::DOUBLE AS z FROM range(90) r(i)")
 def board_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residuals.board_grid(spark, 10, 9, 0.1).select("i", "j", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "z")
 
@@ -237,12 +237,11 @@ def _along(p: list[str]) -> str:
 
 _TURNED = _matrix_sql((*_A[:3], 0.0, 0.0, 0.0), ("x", "y", "z"))
 _RESIDUAL = f"""{fx.POINTS_SQL}, errors AS (SELECT scan, ring, point_idx, (({_D!r}) - ({_along(_matrix_sql(_A, ('x', 'y', 'z')))})) / 0.03 AS plane_error,
-  sqrt(x * x + y * y + z * z) * (1 - (({_D!r}) - ({sum(n * t for n, t in zip(_N, _A[3:], strict=True))!r})) / nullif({_along(_TURNED)}, 0)) / 0.03 AS range_error FROM points WHERE point_idx < 400)"""
+  sqrt(x * x + y * y + z * z) * (1 - (({_D!r}) - ({sum(n * t for n, t in zip(_N, _A[3:], strict=True))!r})) / nullif({_along(_TURNED)}, 0)) / 0.03 AS range_error FROM points)"""
 
 
 def _lidar_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.points(spark, sf_dir).where("point_idx < 400")
-    return residuals.lidar_residuals(_with_pose(_with_pose(rows, "l", _A), "b", _BOARD))
+    return residuals.lidar_residuals(_with_pose(_with_pose(fx.points(spark, sf_dir), "l", _A), "b", _BOARD))
 
 
 @query("lidar_residuals", f"WITH {_RESIDUAL} SELECT scan, ring, point_idx, round(plane_error, 4) AS plane_error FROM errors")
