@@ -32,6 +32,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose opening marks everything inside them.
 HOLDERS = frozenset("nav header footer aside form article main section div ul ol dl table menu dialog figure figcaption blockquote details fieldset button".split())
+#: Elements that end where the next of their kind begins; a paragraph ends at any block.
+OPTIONAL_END = frozenset("li dt dd tr td th".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 #: Words in class, id or role attributes, by what they say.
@@ -125,6 +127,8 @@ def text_blocks(page: str) -> list[Block]:
         link = False
         heading = tag in HEADINGS and not closing
         item = tag == "li" and not closing or (item and tag == "p")
+        if not closing and stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in OPTIONAL_END):
+            flags = stack.pop()[1]
         if tag in HOLDERS:
             if not closing:
                 stack.append((tag, flags))

@@ -45,7 +45,9 @@ PAGE = """<html><head><title>No</title><style>p{x}</style></head><body><nav><a h
 
 def test_main_text():
     assert html_extract.main_text(PAGE) == "The & title\nFirst paragraph of the text, with a link in it and some more words to read.\nShort."
-    assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<p") == ""
+    unclosed = f"<article><p class=share>Share this page with all of your friends today<p>{html_extract._LONG}<p>{html_extract._MORE}</article>"
+    assert html_extract.main_text(unclosed) == f"{html_extract._LONG}\n{html_extract._MORE}"
+    assert html_extract.main_text(None) ==html_extract.main_text("") == html_extract.main_text("<p") == ""
 
 
 def test_html_edges(spark):
