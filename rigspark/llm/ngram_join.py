@@ -45,6 +45,8 @@ RANK_BITS = 6
 CHUNK_GRAMS = 1 << 19
 CHUNK_DOCS = 60_000
 BUCKET_BYTES = 10 << 20
+#: Of a bucket's number; at 100 TB of text a bucket then answers for about 100 MB of it.
+MOST_BITS = 20
 DOC_SHARD_BYTES = 16 << 20
 BLOCK = 512
 
@@ -387,7 +389,7 @@ def _across(sets: DataFrame, now: DataFrame, num: int, den: int, block: int) ->
 def _set_table(rows: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """A row of ``_SETS`` for each document, in the shared folder; the shuffles that made it are free to go."""
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(16, max(0, (int(total) // BUCKET_BYTES).bit_length()))
+    bits = min(MOST_BITS, max(0, (int(total) // BUCKET_BYTES).bit_length()))
     shards = max(1, int(total) // DOC_SHARD_BYTES)
     answers = _answers(rows, n, bits, shards, scratch)
     release(rows.sparkSession)
