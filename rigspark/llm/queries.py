@@ -16,7 +16,7 @@ from .packing import pack_tokens
 from .quality_classifier import score_quality, train_quality
 from .quality_rules import quality_rules
 from .spill import sized_batches
-from .substring_dedup import repeated_spans
+from .substring_dedup import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,8 +93,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lose a repeated passage, and its places in the original text."""
-    return repeated_spans(_table(spark, sf_dir, "documents"))
+    """The documents that lose repeated passages or lines, and their places in the original text."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
