@@ -66,6 +66,10 @@ MAPPINGS: dict[tuple[str, ...], str] = {
 _CONTROL = r"(\||/?s>|/?INST\]|<?/?SYS>>)"
 CHUNK = 64
 
+#: Characters of a JSON string beyond which Spark's parser gives up unless told otherwise.
+LONGEST = 20_000_000
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
+
 
 def escaped(x: Column) -> Column:
     return F.regexp_replace(x, r"([<\[])(\\*)" + _CONTROL, r"$1\\$2$3")
@@ -87,13 +91,23 @@ def _key(paths: tuple[str, ...]) -> Column:
     return F.xxhash64(F.lit(",".join(p for p in PATHS if p in paths)))
 
 
+def _parsed(record: Column) -> Column:
+    """``record`` as a variant, null if it is no JSON; what is JSON but does not fit a variant stops the query."""
+    whole = F.from_json(record, "variant", _ANY_LENGTH)
+    keys = F.size(F.from_json(record, "map<string,string>", _ANY_LENGTH))
+    large = F.when(whole.isNull() & (keys > 0), F.raise_error(F.lit("a chat record is larger than a variant can be"))).otherwise(whole)
+    return F.coalesce(F.try_parse_json(record), F.when(F.char_length(record) > LONGEST, large))
+
+
 def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame:
     """``records`` with ``fingerprint long``, ``layout string`` and ``turns array<struct<role, text>>``.
 
     A record that is null, no JSON object, or of a layout without mapping gets
-    a null layout and no turns.  Columns of these names are replaced.
+    a null layout and no turns.  Texts may have any length; a record of more
+    than 128 MiB, the most that a variant holds, is an error.  Columns of these
+    names are replaced.
     """
-    v = records.withColumn("v", F.try_parse_json(F.col(record_col)))
+    v = records.withColumn("v", _parsed(F.col(record_col)))
     present = F.array_compact(F.array(*(F.when(F.expr(f"try_variant_get(v, '$.{p}', 'variant') IS NOT NULL"), F.lit(p)) for p in PATHS)))
     v = v.withColumn("fingerprint", F.xxhash64(F.concat_ws(",", present)))
     layout = turns = None
