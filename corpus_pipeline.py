@@ -23,10 +23,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest id."""
+    """One document of each class stays: the one with the smallest id.
+
+    Rows without an id are in no class and all stay.  Of rows that repeat both
+    the id and the text one stays; different texts under one id all stay, as
+    each may be the only one of its kind.
+    """
     sized_batches(spark)
-    first = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    first = ngram_jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    once, more = (docs.join(first.where(n).select("doc_id"), "doc_id", "left_semi") for n in ("n = 1", "n > 1"))
+    return once.unionByName(more.dropDuplicates(["doc_id", "text"])).unionByName(docs.where("doc_id is null"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
