@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .signature_tree import Join, Linked, Sets, build
-from .spill import Scratch, release, stored
+from .spill import Scratch
 from .words import BLANKS, LANES, U64, grams, mix, slices, text_buffers
 
 COMMON = 63
@@ -392,7 +392,6 @@ def _set_table(rows: DataFrame, n: int, num: int, den: int, scratch: Scratch) ->
     bits = min(MOST_BITS, max(0, (int(total) // BUCKET_BYTES).bit_length()))
     shards = max(1, int(total) // DOC_SHARD_BYTES)
     answers = _answers(rows, n, bits, shards, scratch)
-    release(rows.sparkSession)
     found = scratch.stored(answers.groupBy("shard").applyInArrow(_gather(num, den), _SETS), "sets")
     scratch.drop("answers")
     return found
@@ -416,17 +415,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     num, den = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scratch = Scratch(docs.sparkSession)
-    found = _set_table(rows, n, num, den, scratch)
-    release(docs.sparkSession)
-    reps = scratch.stored(found.where("tokens is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "reps")
-    sets = found.where("tokens is not null").select(F.col("doc_id").alias("rep"), "n", "tokens")
-    classes = _classes(reps, sets, num, den, block, scratch)
-    named = reps.select("d1", "d2", "n", "rep").join(classes, "rep", "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("component", "rep").alias("c"))
-    out = found.select("doc_id", "n", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en")), "left")
-    out = stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id")), "components")
-    scratch.drop()
-    release(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        found = _set_table(rows, n, num, den, scratch)
+        reps = scratch.stored(found.where("tokens is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "reps")
+        sets = found.where("tokens is not null").select(F.col("doc_id").alias("rep"), "n", "tokens")
+        classes = _classes(reps, sets, num, den, block, scratch)
+        named = reps.select("d1", "d2", "n", "rep").join(classes, "rep", "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("component", "rep").alias("c"))
+        out = found.select("doc_id", "n", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en")), "left")
+        out = scratch.stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id")), "components")
+        scratch.drop("sets", "reps", "labels", "star", "blocks", "known", "delegates", "across")
     lost = rows.where("doc_id is null").mapInArrow(_sizes_only(n), "doc_id long, n_shingles long, component_id long")
     return out.unionAll(lost)
 

@@ -1,26 +1,20 @@
-"""Substring dedup by global digests of text units.
+"""Substring dedup by global digests of lines and of word windows.
 
-A unit is a sentence of a line: it ends at a line break, or after a word that
-ends in ``.``, ``!`` or ``?``.  It is normalised by lower-casing A-Z and taking
-white space as one separator.  Units with equal digest and word count are
-occurrences of one text; the earliest by (doc_id, place) stays.  Later ones
-are removed where they stand in an unbroken run of later occurrences of at
-least ``min_words`` words, so that passages go, over line breaks and whatever
-stands around them, while short common sentences stay where they are.  Removed
-ranges are given in code points of the original text.
+Units are whole lines of at least ``line_words`` words and all windows of
+``min_words`` words.  Words are compared with A-Z lower-cased and white space
+as one separator.  Units with equal digest are occurrences of one text; the
+earliest by (doc_id, place) stays and the words of all others go, in ranges of
+code points of the original text.
 
 Repeats inside a document are seen by the task that reads it, which sends each
-text once a document.  A digest's earliest document is then a minimum with
+unit once a document.  A digest's earliest document is then a minimum with
 map-side combination; a digest that a third of all documents hold is a skewed
-key only on one side of the join, which adaptive execution splits.  Two
-different units count as one with a chance of 2**-64 a pair of equal word count.
-
-That is ``repeated_spans``.  ``repeated_passages`` needs no units that end
-alike: every window of ``min_words`` words that stands word for word earlier in
-the corpus goes, wherever it begins, and so does every later whole line of at
-least ``line_words`` words.  Windows are compared in two steps.  The smallest
-gram hash of every window marks an anchor; a repeated window's is repeated, so
-only windows whose own anchor is repeated go to the comparison.
+key whose side of the join is broadcast (``hot_keys``).
+
+Windows are compared in two steps.  The smallest gram hash of every window
+marks an anchor; a repeated window's is repeated, so only windows whose own
+anchor is repeated go to the comparison.  Two different units count as one
+with a chance of 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -34,101 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .hot_keys import joined
 from .spill import Scratch
 from .words import BLANKS, U64, Words, mix, slices, text_buffers
 
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
-_STOPS = np.zeros(256, bool)
-_STOPS[list(b".!?")] = True
-_UNITS = "doc_id long, digest long, place long, span long, again boolean"
-
-
-def _unit_table(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row, digest, ordinal in its row, word count, and first and last code point of every unit."""
-    data, cuts = text_buffers(texts)
-    for w in slices(data, cuts, BLANKS, lower=True):
-        n = len(w.hashes)
-        if not n:
-            continue
-        piece = data[cuts[w.lo] : cuts[w.hi]]
-        rows = w.rows
-        feeds = np.cumsum(piece == 10, dtype=np.int64)
-        last = _STOPS[piece[w.ends - 1]]
-        last[:-1] |= (rows[1:] != rows[:-1]) | (feeds[w.starts[1:]] != feeds[w.ends[:-1] - 1])
-        last[-1] = True
-        stop = np.flatnonzero(last) + 1
-        start = np.r_[0, stop[:-1]]
-        with np.errstate(over="ignore"):
-            up, down = np.full(n, _STEP, np.uint64), np.full(n, _BACK, np.uint64)
-            up[0] = down[0] = 1
-            up, down = np.cumprod(up), np.cumprod(down)
-            total = np.r_[U64(0), np.cumsum(w.hashes * up)]
-            digest = mix((total[stop] - total[start]) * down[start])
-        owner = rows[start]
-        points = np.r_[0, np.cumsum((piece & 0xC0) != 0x80, dtype=np.int64)]
-        base = points[cuts[w.lo : w.hi] - cuts[w.lo]][owner]
-        ordinal = np.arange(len(start)) - np.searchsorted(owner, np.arange(w.hi - w.lo))[owner]
-        yield owner + w.lo, digest, ordinal, stop - start, points[w.starts[start]] - base, points[w.ends[stop - 1]] - base
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for rows, digest, ordinal, words, a, b in _unit_table(batch.column(1)):
-            key = mix(digest + rows.astype(np.uint64) * U64(_STEP))
-            _, first = np.unique(key, return_index=True)
-            again = np.ones(len(rows), bool)
-            again[first] = False
-            columns = [ids[rows], digest.view(np.int64), ordinal << 32 | words, a << 32 | b, again]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc_id", "digest", "place", "span", "again"])
-
-
-def _runs(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, words = [], []
-            for held in batch.column(1).to_pylist():
-                units = sorted({(u["place"] >> 32, u["place"] & 0xFFFFFFFF, u["span"] >> 32, u["span"] & 0xFFFFFFFF) for u in held})
-                found, gone, i = [], 0, 0
-                while i < len(units):
-                    j, n = i, units[i][1]
-                    while j + 1 < len(units) and units[j + 1][0] == units[j][0] + 1:
-                        j += 1
-                        n += units[j][1]
-                    if n >= min_words:
-                        found.append({"start": units[i][2], "end": units[j][3]})
-                        gone += n
-                    i = j + 1
-                spans.append(found)
-                words.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_removed_words", "removed"])
-
-    return run
-
-
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """``(doc_id, n_removed_words, removed)`` of the documents that lose a passage.
-
-    ``removed`` lists [start, end) in code points of the original text.  Texts
-    that are null, empty or without words have no units.  Rows with a null id
-    take no part and lose nothing.  Rows that repeat an id are one place in the
-    ranking: none of them loses what the id's other rows hold.  Other columns
-    are ignored.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    units = rows.mapInArrow(_units, _UNITS)
-    first = units.where("not again").groupBy("digest", F.col("place").bitwiseAND(0xFFFFFFFF).alias("words")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("digest").alias("d"), F.col("words").alias("w"), "first")
-    across = units.where("not again").join(first, (F.col("digest") == F.col("d")) & (F.col("place").bitwiseAND(0xFFFFFFFF) == F.col("w"))).where("doc_id > first")
-    later = across.select("doc_id", "place", "span").unionAll(units.where("again").select("doc_id", "place", "span"))
-    # a digest's later units inside a document whose first one is itself a later occurrence are in both branches or the second
-    by_doc = later.groupBy("doc_id").agg(F.collect_list(F.struct("place", "span")).alias("units"), F.sum(F.col("place").bitwiseAND(0xFFFFFFFF)).alias("words"))
-    return by_doc.where(F.col("words") >= min_words).select("doc_id", "units").mapInArrow(_runs(min_words), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_removed_words", T.LongType()), T.StructField("removed", _SPANS)])).where("n_removed_words > 0")
-
-
 def _extremes(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     """``best`` of every ``width`` neighbours of ``x``, by doubling."""
     n, size = max(0, len(x) - width + 1), 1
@@ -266,25 +174,27 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Windows of ``min_words`` words and whole lines of at least ``line_words``
     words go where they stand in a document of a smaller id or earlier in their
     own text; shorter lines stay, as most are headings and closings.  Words are
-    compared as in ``repeated_spans``.  An occurrence that overlaps the first
+    compared with A-Z lower-cased.  An occurrence that overlaps the first
     one of its own text loses the words beyond it.  Rows with a null id take no
     part.  Rows that repeat an id do not lose what the id's other rows hold;
     ``text_hash`` (xxhash64 of id and text) tells them apart.
     """
-    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    anchors = scratch.stored(rows.select("key", "text").mapInArrow(_anchors(min_words), "digest long, key long, at long"), "anchors")
-    twice = anchors.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"))
-    known = anchors.join(twice, F.col("digest") == F.col("d")).groupBy(F.col("key").alias("of")).agg(F.collect_set("at").alias("at"))
-    runs = rows.join(known, F.col("key") == F.col("of"), "left").select("key", "doc_id", "text", "at").mapInArrow(_candidates(min_words, line_words), "digest long, key long, doc_id long, place long, span long, again boolean")
-    runs = scratch.stored(runs, "runs")
-    scratch.drop("anchors")
-    first = runs.where("not again").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("digest").alias("d"), "first")
-    across = runs.where("not again").join(first, F.col("digest") == F.col("d")).where("doc_id > first")
-    later = across.select("doc_id", "key", "place", "span").unionAll(runs.where("again").select("doc_id", "key", "place", "span"))
-    found = scratch.stored(later.groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "span")).alias("runs")).mapInArrow(_joined, _PASSAGES), "found")
-    scratch.drop("runs")
+    with Scratch(docs.sparkSession) as scratch:
+        anchors = scratch.stored(rows.select("key", "text").mapInArrow(_anchors(min_words), "digest long, key long, at long"), "anchors")
+        twice = anchors.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"))
+        known = anchors.join(twice, F.col("digest") == F.col("d")).groupBy(F.col("key").alias("of")).agg(F.collect_set("at").alias("at"))
+        runs = rows.join(known, F.col("key") == F.col("of"), "left").select("key", "doc_id", "text", "at").mapInArrow(_candidates(min_words, line_words), "digest long, key long, doc_id long, place long, span long, again boolean")
+        runs = scratch.stored(runs, "runs")
+        scratch.drop("anchors")
+        units = runs.where("not again")
+        first = units.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select(F.col("digest").alias("d"), "first", "n")
+        first = scratch.stored(first, "first")
+        across = joined(units, first, "digest", "d", "n", first.agg(F.sum("n")).first()[0] or 0).where("doc_id > first")
+        later = across.select("doc_id", "key", "place", "span").unionAll(runs.where("again").select("doc_id", "key", "place", "span"))
+        found = scratch.stored(later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("place", "span")).alias("runs")).mapInArrow(_joined, _PASSAGES), "found")
+        scratch.drop("runs", "first")
     return found
 
 
@@ -297,12 +207,18 @@ def without_spans(text, removed):
     return F.when(removed.isNull() | (n == 0), text).otherwise(F.array_join(pieces, ""))
 
 
-def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", min_words: int = 50) -> DataFrame:
-    """``docs`` with repeated passages cut from their texts; every row and column stays, ``chars_col`` is set anew where a text changed."""
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words).select(F.col("doc_id").alias("__id"), F.col("removed").alias("removed"))
+def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", min_words: int = 50, line_words: int = 5) -> DataFrame:
+    """``docs`` without the words that ``repeated_passages`` finds.
+
+    Every row and column stays, also of null ids and texts; ``chars_col`` is
+    set anew where a text changed.  Rows that repeat an id lose what is
+    repeated in their own text only.  Columns may have any names.
+    """
+    spans = repeated_passages(docs, id_col=id_col, text_col=text_col, min_words=min_words, line_words=line_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "removed")
     names = docs.columns
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("__of"))
-    both = own.join(spans, F.col("__of") == F.col("__id"), "left").withColumn("__text", without_spans(F.col(f"row.`{text_col}`"), F.col("removed")))
+    own_id, own_text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), own_id.alias("__of"), F.xxhash64(own_id, own_text).alias("__key"))
+    both = own.join(spans, (F.col("__of") == F.col("__id")) & (F.col("__key") == F.col("__hash")), "left").withColumn("__text", without_spans(F.col(f"row.`{text_col}`"), F.col("removed")))
 
     def column(c: str):
         old = F.col(f"row.`{c}`")

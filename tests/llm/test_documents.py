@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from rigspark.llm import byte_bpe, decontamination, ngram_join, packing, quality_classifier, quality_rules, queries, substring_dedup
+from rigspark.llm import byte_bpe, decontamination, ngram_join, packing, quality_classifier, quality_rules, queries
 
 DATA = "/root/testdata/sf0.001"
 VOCABULARY = queries.vocabulary()
@@ -153,63 +153,6 @@ def test_longest_matches():
     assert got[0] == (0, 4, 1, 0) and (3, 1, 1, 3) in got and all(m[0] != 4 for m in got)
 
 
-def brute_units(rows, min_words=50):
-    seen, out = {}, {}
-    parts = {}
-    for i, text in sorted(rows):
-        units = []
-        for line in re.finditer(r"[^\n]*", text or ""):
-            words = list(re.finditer(r"[^\x20\x09-\x0D]+", line[0]))
-            now = []
-            for k, w in enumerate(words):
-                now.append(w)
-                if w[0][-1] in ".!?" or k == len(words) - 1:
-                    key = tuple(x[0].translate(LOWER) for x in now)
-                    units.append((key, line.start() + now[0].start(), line.start() + now[-1].end()))
-                    now = []
-        parts[i] = units
-        flags = []
-        for key, a, b in units:
-            flags.append(key in seen)
-            seen.setdefault(key, i)
-        spans, k = [], 0
-        while k < len(units):
-            if not flags[k]:
-                k += 1
-                continue
-            j = k
-            while j + 1 < len(units) and flags[j + 1]:
-                j += 1
-            if sum(len(u[0]) for u in units[k : j + 1]) >= min_words:
-                spans.append((units[k][1], units[j][2]))
-            k = j + 1
-        if spans:
-            out[i] = spans
-    return out
-
-
-def test_substring_dedup(table, docs):
-    want = brute_units(list(zip(docs.doc_id, docs.text, strict=True)))
-    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["removed"]] for r in substring_dedup.repeated_spans(table).collect()}
-    assert got == want and got
-    texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in substring_dedup.drop_repeats(table).collect()}
-    for i, t in zip(docs.doc_id, docs.text, strict=True):
-        left, at = [], 0
-        for a, b in want.get(i, []):
-            left.append(t[at:a])
-            at = b
-        assert texts[i] == ("".join([*left, t[at:]]), len("".join([*left, t[at:]])))
-
-
-def test_substring_dedup_edges(odd, empty):
-    got = {r["doc_id"]: r for r in substring_dedup.repeated_spans(odd).collect()}
-    assert list(got) == [11] and got[11]["n_removed_words"] == 60
-    whole = substring_dedup.drop_repeats(odd)
-    assert whole.columns == odd.columns and whole.count() == len(ROWS)
-    assert [r["text"] for r in whole.where("doc_id = 11").collect()] == ["Other words first. "]
-    assert substring_dedup.repeated_spans(empty).count() == 0
-
-
 def brute_counts(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     seen, dup = set(), 0

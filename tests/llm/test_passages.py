@@ -74,3 +74,42 @@ def test_repeated_ids_keep_their_own_places(spark):
     rows = [(1, line), (2, f"x y\n{line}"), (2, f"{line}\nclean words here that stay"), (2, f"x y\n{line}")]
     got = sorted((r["doc_id"], [tuple(s) for s in r["removed"]]) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(2, [(0, 27)]), (2, [(4, 31)])]
+
+
+def test_drop_repeats_cuts_what_is_found(spark):
+    docs = pd.read_parquet(f"{DATA}/documents.parquet")
+    want = brute_passages(list(zip(docs.doc_id, docs.text, strict=True)))
+    kept = {r["doc_id"]: (r["text"], r["n_chars"]) for r in substring_dedup.drop_repeats(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    assert len(kept) == len(docs)
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        left, at = [], 0
+        for a, b in want.get(i, (0, []))[1]:
+            left.append(t[at:a])
+            at = b
+        left = "".join([*left, t[at:]])
+        assert kept[i] == (left, len(left))
+
+
+def test_drop_repeats_of_one_id(spark):
+    passage = " ".join(f"é{i}" for i in range(51))
+    rows = [(1, f"Ahead {passage} end.", 1, "x"), (2, f"clean text {passage}", 1, "x"), (2, "Completely different text under the same id, which must stay as it is", 70, "x"), (None, passage, 1, "x"), (3, None, None, "x"), (4, "", 0, "x")]
+    kept = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars int, removed string"))
+    assert kept.columns == ["doc_id", "text", "n_chars", "removed"]
+    got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in kept.collect()), key=str)
+    assert got == sorted([r[:3] if r[0] != 2 or r[1][:5] == "Compl" else (2, "clean text ", 11) for r in rows], key=str)
+
+
+def test_passages_cut_in_mid_sentence(spark):
+    """Passages of 51 to 80 words planted at any place of other sentences go wholly, whatever stands around them."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    planted = [" ".join(word() for _ in range(rng.randrange(51, 80))) for _ in range(20)]
+    rows = []
+    for i in range(200):
+        own = [word() + rng.choice(["", ",", ".", "\n"]) for _ in range(120)]
+        own.insert(rng.randrange(120), planted[i % 20])
+        rows.append((i, " ".join(own)))
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {i for i, (n, _) in got.items() if n == len(planted[i % 20].split())} == set(range(20, 200))

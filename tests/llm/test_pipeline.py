@@ -11,7 +11,8 @@ import tiktoken
 import corpus_pipeline
 from rigspark.llm import quality_rules, queries
 
-from .test_documents import DATA, brute_classes, brute_hits, brute_units
+from .test_documents import DATA, brute_classes, brute_hits
+from .test_passages import brute_passages
 
 
 def test_pipeline(spark):
@@ -20,7 +21,7 @@ def test_pipeline(spark):
     rows = [(i, t) for i, t, k in zip(docs.doc_id, docs.text, kept, strict=True) if k]
     classes = brute_classes(rows)
     rows = [(i, t) for i, t in rows if classes[i][1] == i]
-    spans = brute_units(rows)
+    spans = {i: x[1] for i, x in brute_passages(rows).items()}
     cut = []
     for i, t in rows:
         parts, at = [], 0
@@ -42,3 +43,22 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+ODD = [(None, "no id here", "x", 1), (1, None, "x", None), (2, "", "x", 0), (3, " \n ", "x", 3), (4, "same words in this row " * 30, "x", 1), (4, "same words in this row " * 30, "x", 1), (5, "long " * 300_000, "x", 1), (5, "other text under one id", "x", 1)]
+
+
+def test_stages_with_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, 7, 8, 9) for r in ODD], "doc_id long, text string, lang string, n_chars long, key int, removed int, first int")
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, DATA)
+        assert {r["doc_id"] for r in rows.collect()} <= {r[0] for r in ODD}
+    kept = {name: stage(spark, docs, DATA).count() for name, stage in corpus_pipeline.STAGES}
+    assert kept == {"quality rules": 0, "n-gram Jaccard join": 7, "substring dedup": 8, "benchmark decontamination": 8, "byte-level BPE": 8}
+
+
+def test_a_failing_run_leaves_no_tables(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(Exception):
+        corpus_pipeline.run(spark, str(tmp_path / "missing"))
