@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -31,8 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a Python worker's pre-token cache; beyond, only those of the latest slice stay.
-CACHE = 200_000
+#: Entries of a Python worker's newer cache; beyond, it becomes the older one, from which what is met again is taken over.
+CACHE = 250_000
 #: Bytes of text encoded at a time.
 SLICE = 1 << 22
 #: Pre-tokens of more bytes have a queue of their own, and are not kept.
@@ -100,11 +101,18 @@ class RankQueue:
 
 
 class ByteBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
+    """Encoder and decoder of a vocabulary.
+
+    New short pre-tokens go through the shared rank queue (``merge_all``), or
+    with ``by_rounds`` through ``merge_rounds``, which gives the same ids.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, *, by_rounds: bool = False) -> None:
+        self.ranks, self.by_rounds = ranks, by_rounds
         # \s is Unicode white space; the module's own \s also takes U+001C to U+001F
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         size = max(ranks.values(), default=-1) + 1
         self.pieces = [b""] * size
         for piece, rank in ranks.items():
@@ -152,7 +160,7 @@ class ByteBpe:
         waiting = waiting[np.argsort(pair[waiting], kind="stable")]
         ranks = pair[waiting]
         cuts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1], True]) if len(ranks) else np.zeros(0, np.int64)
-        buckets, bits = {}, RankBits()
+        buckets, bits = defaultdict(list), RankBits()
         positions = waiting.tolist()
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             rank = int(ranks[a])
@@ -189,18 +197,67 @@ class ByteBpe:
             new = self.pair_ranks(ids[lefts[real]], ids[rights[real]])
             pair[spots] = new
             some = new >= 0
-            for r, i in zip(new[some].tolist(), spots[some].tolist(), strict=True):
-                bucket = buckets.get(r)
-                if bucket is None:
-                    buckets[r] = [i]
-                    bits.set(r)
-                else:
-                    bucket.append(i)
+            into = new[some].tolist()
+            for r in set(into) - buckets.keys():
+                bits.set(r)
+            for r, i in zip(into, spots[some].tolist(), strict=True):
+                buckets[r].append(i)
         left = np.flatnonzero(alive[:n])
         packed = ids[left].astype("<i4").tobytes()
         stops = (np.searchsorted(left, ends) * 4).tolist()
         return [packed[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
+    def merge_rounds(self, words: list[bytes]) -> list[bytes]:
+        """As ``merge_all``, without a queue: each round merges the lowest pair, the leftmost of equals, of every word that still has one."""
+        if self.keys is None:
+            self._pairs()
+        none = np.int64(1) << 62
+        sizes = np.array([len(w) for w in words])
+        ids = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        out: list[bytes] = [b""] * len(words)
+        names = np.arange(len(words))
+
+        def keyed(at: np.ndarray) -> np.ndarray:
+            rank = self.pair_ranks(ids[at], ids[at + 1]).astype(np.int64)
+            return np.where(rank >= 0, rank, none)
+
+        stops = np.cumsum(sizes)
+        pair = np.full(len(ids), none)  # rank of the pair that begins here; a word's last id begins none
+        inner = np.ones(len(ids), bool)
+        inner[stops - 1] = False
+        inner = np.flatnonzero(inner)
+        pair[inner] = keyed(inner)
+        while len(names):
+            stops = np.cumsum(sizes)
+            starts = stops - sizes
+            low = np.minimum.reduceat(pair, starts)
+            done = low == none
+            if done.any():
+                packed = ids.astype("<i4").tobytes()
+                for k, a, b in zip(names[done].tolist(), (4 * starts[done]).tolist(), (4 * stops[done]).tolist(), strict=True):
+                    out[k] = packed[a:b]
+                stay = np.repeat(~done, sizes)
+                ids, pair, names, sizes, low = ids[stay], pair[stay], names[~done], sizes[~done], low[~done]
+                if not len(names):
+                    break
+                stops = np.cumsum(sizes)
+                starts = stops - sizes
+            lowest = np.flatnonzero(pair == np.repeat(low, sizes))
+            at = lowest[np.searchsorted(lowest, starts)]
+            ids[at] = low
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, pair = ids[stay], pair[stay]
+            at -= np.arange(len(at))
+            sizes = sizes - 1
+            stops = np.cumsum(sizes)
+            right = at[at + 1 < stops]
+            pair[at] = none
+            pair[right] = keyed(right)
+            left = at[at > stops - sizes] - 1
+            pair[left] = keyed(left)
+        return out
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         ranks = self.ranks
@@ -242,22 +299,35 @@ class ByteBpe:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [self.split.findall(t) for t in texts]
-        seen = set().union(*split)
-        cache = self.cache
-        new = list(seen - cache.keys())
-        raw = [w.encode() for w in new]
-        short = [k for k, w in enumerate(raw) if len(w) <= SHORT]
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        ids = [list(map(cache.get, words)) for words in split]
+        partly = [k for k, found in enumerate(ids) if not all(found)]
+        new = {word for k in partly for word, own in zip(split[k], ids[k], strict=True) if own is None}
+        short, raw, long = [], [], []
+        for word in new:
+            known = older.get(word)
+            if known is None:
+                piece = word.encode()
+                rank = self.ranks.get(piece)
+                if rank is not None:
+                    known = rank.to_bytes(4, "little")
+                elif len(piece) <= SHORT:
+                    short.append(word)
+                    raw.append(piece)
+                    continue
+                else:
+                    known = np.array(self.merge(piece), "<i4").tobytes()
+                    long.append(word)
+            cache[word] = known
         if short:
-            for k, ids in zip(short, self.merge_all([raw[k] for k in short]), strict=True):
-                cache[new[k]] = ids
-        long = [new[k] for k, w in enumerate(raw) if len(w) > SHORT]
-        for w in long:
-            cache[w] = np.array(self.merge(w.encode()), "<i4").tobytes()
-        out = [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<i4") for words in split]
-        for w in long:
-            del cache[w]
-        if len(cache) > CACHE:
-            self.cache = {w: cache[w] for w in seen if w in cache}
+            cache.update(zip(short, (self.merge_rounds if self.by_rounds else self.merge_all)(raw), strict=True))
+        for k in partly:
+            ids[k] = map(cache.__getitem__, split[k])
+        out = [np.frombuffer(b"".join(found), "<i4") for found in ids]
+        for word in long:
+            del cache[word]
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -267,15 +337,15 @@ class ByteBpe:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
-_coders: dict[tuple[str, str], ByteBpe] = {}
+_coders: dict[tuple[str, str, bool], ByteBpe] = {}
 
 
-def coder(raw: bytes, pattern: str) -> ByteBpe:
+def coder(raw: bytes, pattern: str, *, by_rounds: bool = False) -> ByteBpe:
     """The worker's coder for a vocabulary; made once a process, so its cache lives across batches."""
-    key = hashlib.sha256(raw).hexdigest(), pattern
+    key = hashlib.sha256(raw).hexdigest(), pattern, by_rounds
     if key not in _coders:
         _coders.clear()
-        _coders[key] = ByteBpe(read_ranks(raw), pattern)
+        _coders[key] = ByteBpe(read_ranks(raw), pattern, by_rounds=by_rounds)
     return _coders[key]
 
 

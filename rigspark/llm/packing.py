@@ -78,22 +78,20 @@ def best_fit(lengths: list[int], most: int) -> list[list[int]]:
     return rows
 
 
-_ROW = T.StructType([
-    T.StructField("shard", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("n_tokens", T.IntegerType()),
-    T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("token_starts", T.ArrayType(T.LongType())),
-    T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())), T.StructField("position_resets", T.ArrayType(T.IntegerType())), T.StructField("input_ids", T.BinaryType()),
-])
+def _row(id_type: T.DataType) -> T.StructType:
+    kinds = {"shard": T.IntegerType(), "row": T.LongType(), "n_tokens": T.IntegerType(), "doc_ids": T.ArrayType(id_type), "token_starts": T.ArrayType(T.LongType()), "cu_seqlens": T.ArrayType(T.IntegerType()), "position_resets": T.ArrayType(T.IntegerType()), "input_ids": T.BinaryType()}
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
 
 class Packer:
     """Gathers documents and gives out packed rows."""
 
-    def __init__(self, shard: int, length: int, pad: int) -> None:
-        self.shard, self.length, self.pad, self.row = shard, length, pad, 0
-        self.pieces: list[tuple[int | None, int, np.ndarray]] = []
+    def __init__(self, shard: int, length: int, pad: int, id_type: pa.DataType) -> None:
+        self.shard, self.length, self.pad, self.row, self.id_type = shard, length, pad, 0, id_type
+        self.pieces: list[tuple[object, int, np.ndarray]] = []
         self.tokens = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, doc_id: object, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(ids), self.length):
             piece = ids[a : a + self.length]
             self.pieces.append((doc_id, a, piece))
@@ -117,8 +115,8 @@ class Packer:
             for column, x in zip(columns, (self.shard, self.row, cuts[-1], [pieces[k][0] for k in row], [pieces[k][1] for k in row], cuts, cuts[:-1], line.tobytes()), strict=True):
                 column.append(x)
             self.row += 1
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_ROW.names)
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(self.id_type), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_row(T.LongType()).names)
 
 
 def pack_tokens(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, pad: int = 50256, end: int | None = None) -> DataFrame:
@@ -129,8 +127,10 @@ def pack_tokens(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str =
     to ``cu_seqlens[k + 1]``, comes from ``doc_ids[k]`` at its token
     ``token_starts[k]``, and positions begin anew at ``position_resets[k]``.
     ``end``, if given, closes each document.  Texts that are null or empty
-    give no segment (with ``end``: that token); null ids and repeated rows are
-    packed like others.  Other columns are ignored.
+    give no segment (with ``end``: that token); ids may have any type, null
+    ids and repeated rows are packed like others.  Texts of any length are
+    encoded whole and split into full rows; an empty table gives no rows.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
@@ -138,18 +138,28 @@ def pack_tokens(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str =
     tail = np.array([] if end is None else [end], "<i4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(raw.value, pattern)
-        packer = Packer(TaskContext.get().partitionId(), length, pad)
+        bpe = coder(raw.value, pattern, by_rounds=True)
+        packer = None
         for whole in batches:
+            packer = packer or Packer(TaskContext.get().partitionId(), length, pad, whole.column(0).type)
             for batch in _sliced(whole, 1):
                 ids = bpe.encode_all([x or "" for x in batch.column(1).to_pylist()])
                 for doc_id, own in zip(batch.column(0).to_pylist(), ids, strict=True):
                     yield from packer.add(doc_id, np.concatenate([own, tail]))
-        yield from packer.flush()
+        if packer:
+            yield from packer.flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _ROW)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, _row(rows.schema["doc_id"].dataType))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """The packed rows as Parquet, a folder for each shard."""
-    packed.write.partitionBy("shard").parquet(path)
+    """The packed rows as Parquet, one file for each shard; ``path`` must be new."""
+    packed.write.option("compression", "zstd").parquet(path)
+
+
+def packed_shard(rows: list) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Rows of one shard as a trainer reads them: id matrix, cumulative segment lengths and position resets, in row order."""
+    rows = sorted(rows, key=lambda r: r["row"])
+    matrix = np.stack([np.frombuffer(r["input_ids"], "<i4") for r in rows]) if rows else np.zeros((0, 0), "<i4")
+    return matrix, [np.array(r["cu_seqlens"]) for r in rows], [np.array(r["position_resets"]) for r in rows]

@@ -247,3 +247,31 @@ def test_packing_edges(odd, empty):
     rows = packing.pack_tokens(odd, VOCABULARY, public_tokenizers.PATTERN, length=64).collect()
     assert sum(len(r["doc_ids"]) for r in rows) and all(r["n_tokens"] <= 64 for r in rows)
     assert packing.pack_tokens(empty, VOCABULARY, public_tokenizers.PATTERN).count() == 0
+
+
+def test_packed_rows_are_written_and_full(spark, table, docs, tmp_path):
+    for splits in (1, 4):
+        path = str(tmp_path / f"packed{splits}")
+        packing.write_packed(packing.pack_tokens(table.repartition(splits), VOCABULARY, public_tokenizers.PATTERN, length=1024), path)
+        rows = spark.read.parquet(path).collect()
+        tokens = sum(r["n_tokens"] for r in rows)
+        assert tokens / (1024 * len(rows)) > 0.97  # each split leaves at most its last rows open
+        for shard in {r["shard"] for r in rows}:
+            own = [r for r in rows if r["shard"] == shard]
+            matrix, cuts, resets = packing.packed_shard(own)
+            assert matrix.shape == (len(own), 1024)
+            for line, cut, reset in zip(matrix, cuts, resets, strict=True):
+                assert cut[0] == 0 and (np.diff(cut) > 0).all() and (line[cut[-1] :] == 50256).all() and (reset == cut[:-1]).all()
+    assert packing.packed_shard([])[0].shape == (0, 0)
+
+
+def test_packing_keeps_text_ids(spark):
+    rows = packing.pack_tokens(spark.createDataFrame([("a", "one two"), (None, "three")], "doc_id string, text string").coalesce(1), VOCABULARY, public_tokenizers.PATTERN, length=8).collect()
+    assert sorted((x for r in rows for x in r["doc_ids"]), key=str) == [None, "a"]
+
+
+def test_merging_by_rounds_is_the_same():
+    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(open(VOCABULARY, "rb").read()), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(8)
+    words = [b"a", b"aaaa", b"ab" * 100, *(bytes(rng.choice(list(b"ab er\xc3\xa9"), rng.integers(1, 60)).astype(np.uint8)) for _ in range(500))]
+    assert bpe.merge_rounds(words) == bpe.merge_all(words) == [np.array(bpe.merge(w), "<i4").tobytes() for w in words]
