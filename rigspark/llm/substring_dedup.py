@@ -168,6 +168,10 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PASSAGES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_removed_words", T.LongType()), T.StructField("removed", _SPANS), T.StructField("text_hash", T.LongType())])
 
 
+def _sum(counts: DataFrame) -> int:
+    return counts.agg(F.sum("n")).first()[0] or 0
+
+
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, line_words: int = 5) -> DataFrame:
     """``(doc_id, n_removed_words, removed, text_hash)`` of the texts that lose a passage or a line.
 
@@ -183,15 +187,15 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     with Scratch(docs.sparkSession) as scratch:
         anchors = scratch.stored(rows.select("key", "text").mapInArrow(_anchors(min_words), "digest long, key long, at long"), "anchors")
-        twice = anchors.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"))
-        known = anchors.join(twice, F.col("digest") == F.col("d")).groupBy(F.col("key").alias("of")).agg(F.collect_set("at").alias("at"))
+        twice = scratch.stored(anchors.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "n"), "twice")
+        known = joined(anchors, twice, "digest", "d", "n", _sum(twice)).groupBy(F.col("key").alias("of")).agg(F.collect_set("at").alias("at"))
         runs = rows.join(known, F.col("key") == F.col("of"), "left").select("key", "doc_id", "text", "at").mapInArrow(_candidates(min_words, line_words), "digest long, key long, doc_id long, place long, span long, again boolean")
         runs = scratch.stored(runs, "runs")
-        scratch.drop("anchors")
+        scratch.drop("anchors", "twice")
         units = runs.where("not again")
         first = units.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select(F.col("digest").alias("d"), "first", "n")
         first = scratch.stored(first, "first")
-        across = joined(units, first, "digest", "d", "n", first.agg(F.sum("n")).first()[0] or 0).where("doc_id > first")
+        across = joined(units, first, "digest", "d", "n", _sum(first)).where("doc_id > first")
         later = across.select("doc_id", "key", "place", "span").unionAll(runs.where("again").select("doc_id", "key", "place", "span"))
         found = scratch.stored(later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("place", "span")).alias("runs")).mapInArrow(_joined, _PASSAGES), "found")
         scratch.drop("runs", "first")
