@@ -2,19 +2,23 @@
 
 Every shard, a run of documents of bounded size, becomes one sequence of word
 numbers with a break after each document.  Its suffix array is sorted by
-prefix doubling.  Benchmark windows are binary-searched in it, all at once: a
-window's occurrences are a range of the array, and the words they cover in
-their documents are hit.  Neighbours of an item suffix in the array also give
-its longest verbatim match and the places of it.
-
-The benchmark is the stated query set.  It is read in blocks of bounded bytes,
-each broadcast and searched against all documents; with more than one block,
-the hit ranges of a document are merged afterwards.
+prefix doubling.  Every suffix of a benchmark item is binary-searched in it by
+its first words, all at once: a window's occurrences are a range of the array,
+and the words they cover in their documents are hit.  From there the matches
+are followed to their ends, which gives each document's longest verbatim match
+and its places.
+
+The benchmark is the stated query set.  It is broadcast in blocks of bounded
+bytes, all of which a task searches in the same suffix array.  A benchmark
+beyond ``PASS_BYTES`` takes several passes over the documents, whose findings
+are merged by id and text, so that the number of blocks and passes does not
+change the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,8 @@ from .words import NOT_ALNUM, slices, text_buffers
 
 SHARD_WORDS = 1 << 20
 BLOCK_BYTES = 8 << 20
+#: Benchmark text that an executor's Python worker holds at once, as hashes of about the same size.
+PASS_BYTES = 256 << 20
 
 
 class SuffixArray:
@@ -80,27 +86,25 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - lengths, lengths) + np.repeat(starts, lengths)
 
 
-class Windows:
-    """Distinct windows of the items of a block: word hashes (rows), lengths, and the items of each."""
-
-    def __init__(self, items: list[tuple[object, str | None]], width: int) -> None:
-        data, cuts = text_buffers(pa.array([t for _, t in items], pa.string()))
-        found: dict[bytes, set[int]] = {}
-        self.item_words: list[np.ndarray] = []
-        for w in slices(data, cuts, NOT_ALNUM, lower=True):
-            ends = np.cumsum(w.counts)
-            for k, (end, count) in enumerate(zip(ends, w.counts, strict=True)):
-                own = w.hashes[end - count : end]
-                self.item_words.append(own)
-                for i in range(max(1, count - width + 1) if count else 0):
-                    found.setdefault(own[i : i + width].tobytes(), set()).add(w.lo + k)
-        self.names = [str(i) for i, _ in items]
-        self.owners = [np.array(sorted(x), np.int64) for x in found.values()]
-        self.lengths = np.array([len(x) // 8 for x in found], np.int64)
-        self.hashes = np.zeros((len(found), width), np.uint64)
-        for row, x in zip(self.hashes, found, strict=True):
-            row[: len(x) // 8] = np.frombuffer(x, np.uint64)
-        self.vocabulary = np.unique(np.concatenate([*self.item_words, np.zeros(0, np.uint64)]))
+@dataclass
+class Block:
+    """Items of the benchmark: their names, the hashes of all their words, and how many words each has."""
+
+    names: list[str]
+    hashes: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[tuple[object, str | None]]) -> Block:
+        found = list(slices(*text_buffers(pa.array([t for _, t in items], pa.string())), NOT_ALNUM, lower=True))
+        return cls([str(i) for i, _ in items], *(np.concatenate([*(getattr(w, x) for w in found), none]) for x, none in (("hashes", np.zeros(0, np.uint64)), ("counts", np.zeros(0, np.int64)))))
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and lengths of the windows: ``width`` words, or a shorter item as a whole."""
+        left = np.repeat(np.cumsum(self.counts), self.counts) - np.arange(len(self.hashes))
+        whole = np.repeat(self.counts, self.counts)
+        starts = np.flatnonzero((left >= width) | ((left == whole) & (whole < width)))
+        return starts, np.minimum(left[starts], width)
 
 
 def _numbered(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,149 +118,247 @@ def _numbered(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return names, words, ends - counts
 
 
-def find_hits(hashes: np.ndarray, counts: np.ndarray, windows: Windows) -> Iterator[tuple[np.ndarray, list[int]]]:
-    """By document of one shard: (2, k) starts and ends of hit word ranges, and numbers of the items with occurring windows."""
-    firsts = np.cumsum(counts + 1) - counts - 1
-    at, which = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(windows.lengths) and len(hashes):
-        names, words, firsts = _numbered(hashes, counts)
-        spots = np.minimum(np.searchsorted(names, windows.hashes), len(names) - 1)
-        inside = np.arange(windows.hashes.shape[1]) < windows.lengths[:, None]
-        known = np.flatnonzero(((names[spots] == windows.hashes) | ~inside).all(1))
-        array = SuffixArray(words, windows.hashes.shape[1])
-        low, high = array.bounds(np.where(inside, spots + 1, 0)[known], windows.lengths[known])
+@dataclass
+class Found:
+    """What a shard's document has of the benchmark: hit word ranges, names of items, and its longest match.
+
+    ``longest`` is (words, place in the document, item, place in the item).
+    """
+
+    ranges: np.ndarray
+    items: set[str]
+    longest: tuple[int, int, str, int] | None
+
+
+class Shard:
+    """Documents' words with their suffix array."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, width: int) -> None:
+        self.counts, self.width = counts, width
+        self.names, self.words, self.firsts = _numbered(hashes, counts)
+        self.array = SuffixArray(self.words, width)
+
+    def numbered(self, hashes: np.ndarray) -> np.ndarray:
+        """The shard's numbers of words, -1 for words that it lacks."""
+        if not len(self.names):
+            return np.full(len(hashes), -1, np.int64)
+        spots = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
+        return np.where(self.names[spots] == hashes, spots + 1, -1)
+
+    def search(self, block: Block) -> dict[int, Found]:
+        """The documents, by number, in which windows of the block occur."""
+        numbers = self.numbered(block.hashes)
+        starts, lengths = block.windows(self.width)
+        lacking = np.r_[0, np.cumsum(numbers < 0)]
+        here = lacking[starts + lengths] == lacking[starts]
+        starts, lengths = starts[here], lengths[here]
+        if not len(starts):
+            return {}
+        inside = np.arange(self.width) < lengths[:, None]
+        rows = np.where(inside, numbers[np.minimum(starts[:, None] + np.arange(self.width), len(numbers) - 1)], 0)
+        rows, of = np.unique(rows, axis=0, return_inverse=True)
+        of = of.ravel()
+        lengths = (rows > 0).sum(1)
+        low, high = self.array.bounds(rows, lengths)
         sizes = high - low
-        at, which = array.order[_ranges(low, sizes)], np.repeat(known, sizes)
+        at, which = self.array.order[_ranges(low, sizes)], np.repeat(np.arange(len(rows)), sizes)
+        if not len(at):
+            return {}
         o = np.argsort(at, kind="stable")
         at, which = at[o], which[o]
-    cuts = np.searchsorted(at, np.r_[firsts, firsts[-1] + counts[-1] + 1 if len(counts) else 0])
-    for first, a, b in zip(firsts, cuts[:-1], cuts[1:], strict=True):
-        if a == b:
-            yield np.zeros((2, 0), np.int64), []
-            continue
-        starts = at[a:b] - first
-        ends = np.maximum.accumulate(starts + windows.lengths[which[a:b]])
-        new = np.flatnonzero(np.r_[True, starts[1:] > ends[:-1]])
-        yield np.stack([starts[new], ends[np.r_[new[1:], len(ends)] - 1]]), sorted({int(i) for w in set(which[a:b].tolist()) for i in windows.owners[w]})
-
-
-def longest_matches(hashes: np.ndarray, counts: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """For each suffix of ``item``: (item place, longest match in words, document of the shard, place of its first word there)."""
-    if not len(hashes) or not len(item):
-        return []
-    names, words, firsts = _numbered(hashes, counts)
-    spots = np.minimum(np.searchsorted(names, item), len(names) - 1)
-    numbers = np.where(names[spots] == item, spots + 1, -1)
-    array = SuffixArray(words, len(item))
-    out = []
-    for i in range(len(item)):
-        row = numbers[i:][None]
-        best, place = 0, -1
-        low = int(array._search(row, np.array([len(item) - i]), False)[0])
-        for near in (low - 1, low):
-            if 0 <= near < len(words):
-                at, k = int(array.order[near]), 0
-                while i + k < len(item) and at + k < len(words) and words[at + k] == numbers[i + k]:
-                    k += 1
-                if k > best:
-                    best, place = k, at
-        if best:
-            doc = int(np.searchsorted(firsts, place, "right")) - 1
-            out.append((i, best, doc, place - int(firsts[doc])))
+        item_of = np.searchsorted(np.cumsum(block.counts), starts, "right")
+        by_window = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[by_window], np.arange(len(rows) + 1))
+        owners = item_of[by_window]
+        docs = np.searchsorted(self.firsts, at, "right") - 1
+        parts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1], True])
+        held = np.unique(item_of[sizes[of] > 0])
+        longest = self._longest(block, numbers, held, docs, at)
+        out = {}
+        for a, b in zip(parts[:-1], parts[1:], strict=True):
+            doc = int(docs[a])
+            begin = at[a:b] - self.firsts[doc]
+            end = np.maximum.accumulate(begin + lengths[which[a:b]])
+            new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
+            names = {block.names[i] for w in np.unique(which[a:b]) for i in np.unique(owners[cuts[w] : cuts[w + 1]])}
+            out[doc] = Found(np.stack([begin[new], end[np.r_[new[1:], len(end)] - 1]]), names, longest[doc])
+        return out
+
+    def _longest(self, block: Block, numbers: np.ndarray, held: np.ndarray, docs: np.ndarray, at: np.ndarray) -> dict[int, tuple[int, int, str, int]]:
+        """The longest match of each hit document that begins at one of the places ``at``.
+
+        The words of the hit documents and of the items found are sorted in one
+        suffix array; a suffix's longest match is with the nearest item suffix
+        before or behind it.
+        """
+        hit = np.unique(docs)
+        ends = np.cumsum(block.counts)
+        texts = [self.words[self.firsts[d] : self.firsts[d] + self.counts[d]] for d in hit] + [numbers[ends[i] - block.counts[i] : ends[i]] for i in held]
+        sizes = np.array([len(x) for x in texts])
+        words = np.full(int(sizes.sum()) + len(texts), 0, np.int64)
+        firsts = np.cumsum(sizes + 1) - sizes - 1
+        words[_ranges(firsts, sizes)] = np.concatenate(texts) + 2  # an item's unknown words are 1, breaks 0
+        order = SuffixArray(words, len(words)).order
+        from_item = order >= firsts[len(hit)]
+        places = np.arange(len(order))
+        before = np.maximum.accumulate(np.where(from_item, places, -1))
+        behind = np.minimum.accumulate(np.where(from_item, places, len(order))[::-1])[::-1]
+        spot = np.empty(len(order), np.int64)
+        spot[order] = places
+        mine = firsts[np.searchsorted(hit, docs)] + at - self.firsts[docs]
+        best, partner = np.zeros(len(mine), np.int64), np.zeros(len(mine), np.int64)
+        for near in (before[spot[mine]], behind[spot[mine]]):
+            real = (near >= 0) & (near < len(order))
+            other = order[np.where(real, near, 0)]
+            size = np.zeros(len(mine), np.int64)
+            going = np.flatnonzero(real)
+            while len(going):
+                x = words[mine[going] + size[going]]
+                going = going[(x > 1) & (x == words[other[going] + size[going]])]
+                size[going] += 1
+            better = size > best
+            best, partner = np.where(better, size, best), np.where(better, other, partner)
+        out = {}
+        for k in np.lexsort((mine, -best)):
+            doc = int(docs[k])
+            if doc not in out:
+                text = int(np.searchsorted(firsts, partner[k], "right")) - 1
+                out[doc] = int(best[k]), int(at[k] - self.firsts[doc]), block.names[held[text - len(hit)]], int(partner[k] - firsts[text])
+        return out
+
+
+def _joined(a: Found | None, b: Found) -> Found:
+    """Findings of two blocks in one document."""
+    if a is None:
+        return b
+    begin, end = (np.concatenate([a.ranges[i], b.ranges[i]]) for i in (0, 1))
+    o = np.argsort(begin, kind="stable")
+    begin, end = begin[o], np.maximum.accumulate(end[o])
+    new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
+    return Found(np.stack([begin[new], end[np.r_[new[1:], len(end)] - 1]]), a.items | b.items, max(a.longest, b.longest, key=lambda m: (m[0], -m[1])))
+
+
+def search_blocks(hashes: np.ndarray, counts: np.ndarray, blocks: Iterator[Block], width: int) -> dict[int, Found]:
+    """Findings by document of one shard; its suffix array is made once for all blocks."""
+    out: dict[int, Found] = {}
+    if len(hashes):
+        shard = Shard(hashes, counts, width)
+        for block in blocks:
+            for doc, found in shard.search(block).items():
+                out[doc] = _joined(out.get(doc), found)
     return out
 
 
-def _shards(batches: Iterator[pa.RecordBatch], id_col: int | None, text_col: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    ids, hashes, counts, held = [], [], [], 0
+def _shards(batches: Iterator[pa.RecordBatch], text_col: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Runs of rows of about ``SHARD_WORDS`` words: the rows, their words' hashes, and their word counts."""
+    rows, hashes, counts, held = [], [], [], 0
     for batch in batches:
-        data, cuts = text_buffers(batch.column(text_col))
-        for w in slices(data, cuts, NOT_ALNUM, lower=True):
-            if held and held + len(w.hashes) > SHARD_WORDS:
-                yield ids, np.concatenate(hashes), np.concatenate(counts)
-                ids, hashes, counts, held = [], [], [], 0
-            ids += batch.column(id_col).slice(w.lo, w.hi - w.lo).to_pylist() if id_col is not None else [None] * (w.hi - w.lo)
+        for w in slices(*text_buffers(batch.column(text_col)), NOT_ALNUM, lower=True):
+            size = len(w.hashes) + w.hi - w.lo
+            if held and held + size > SHARD_WORDS:
+                yield rows, np.concatenate(hashes), np.concatenate(counts)
+                rows, hashes, counts, held = [], [], [], 0
+            rows.append(batch.slice(w.lo, w.hi - w.lo))
             hashes.append(w.hashes)
             counts.append(w.counts)
-            held += len(w.hashes)
-    if ids:
-        yield ids, np.concatenate(hashes), np.concatenate(counts)
+            held += size
+    if rows:
+        yield rows, np.concatenate(hashes), np.concatenate(counts)
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of about ``block_bytes``; one block at a time is on the driver."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[Block]:
+    """The items in blocks of about ``block_bytes``; the text of one block at a time is on the driver."""
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(total) // block_bytes + 1
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        yield [tuple(r) for r in part.collect()]
+        yield Block.of([tuple(r) for r in part.collect()])
+
+
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, pass_bytes: int) -> list[list]:
+    """Broadcast blocks, by pass over the documents."""
+    context = benchmark.sparkSession.sparkContext
+    sent = [context.broadcast(block) for block in item_blocks(benchmark, item_col, text_col, block_bytes)]
+    per = max(1, pass_bytes // block_bytes)
+    return [sent[i : i + per] for i in range(0, len(sent), per)]
 
 
 _HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_LONGEST = T.StructType([T.StructField("words", T.LongType()), T.StructField("at", T.LongType()), T.StructField("item", T.StringType()), T.StructField("item_at", T.LongType())])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(doc_id, n_words, hits, items)`` of each row: hit word ranges and sorted names of the items with occurring windows.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """``(doc_id, n_words, hits, items, longest)`` of each row: hit word ranges, sorted names of the items with occurring windows, longest match.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z
     lower-cased.  A window is ``width`` consecutive words of an item, or a
-    shorter item as a whole; an item without words has none.  A null text has
-    no words; null ids and repeated rows keep a row each (with several blocks,
-    rows of one id that are equal otherwise are told apart by their order).
-    An empty benchmark hits nothing.  Other columns are ignored.
+    shorter item as a whole; an item without words has none.  ``longest`` is
+    the longest verbatim match that begins with a window, the earliest in the
+    text of equals, with its length in words, its place in the text, and one
+    item that holds it with its place there; null without hits.
+
+    A null text has no words; null ids and repeated rows keep a row each, and
+    different texts under one id stay apart.  Texts of any length are searched
+    whole.  An empty benchmark hits nothing.  Other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("hits", _HITS), T.StructField("items", T.ArrayType(T.StringType()))])
-    arrow_id = pa.schema([("x", pa.int64())]).field(0).type if isinstance(kind, T.LongType) else None
-
-    def searched(items) -> DataFrame:
-        sent = spark.sparkContext.broadcast(items)
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hits", _HITS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", _LONGEST)])
+    kinds = [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.struct([("words", pa.int64()), ("at", pa.int64()), ("item", pa.string()), ("item_at", pa.int64())])]
 
+    def searched(sent: list) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(sent.value, width)
-            for ids, hashes, counts in _shards(batches, 0, 1):
-                hits, named = [], []
-                for ranges, items in find_hits(hashes, counts, windows):
-                    hits.append([{"start": int(a), "end": int(b)} for a, b in ranges.T])
-                    named.append(sorted({windows.names[i] for i in items}))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(named, pa.list_(pa.string()))], names=schema.names)
+            for own, hashes, counts in _shards(batches, 1):
+                found = search_blocks(hashes, counts, (b.value for b in sent), width)
+                columns: list[list] = [[], [], []]
+                for k in range(len(counts)):
+                    f = found.get(k)
+                    for column, x in zip(columns, ([], [], None) if f is None else ([{"start": int(a), "end": int(b)} for a, b in f.ranges.T], sorted(f.items), dict(zip(_LONGEST.names, f.longest, strict=True))), strict=True):
+                        column.append(x)
+                ids, keys = (pa.concat_arrays([b.column(c) for b in own]) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(counts, pa.int64()), *map(pa.array, columns, kinds)], names=schema.names)
 
         return rows.mapInArrow(run, schema)
 
-    parts = [searched(items) for items in item_blocks(benchmark, item_col, item_text_col, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
+    parts = [searched(sent) for sent in _passes(benchmark, item_col, item_text_col, block_bytes, pass_bytes)]
     whole = parts[0]
-    for more in parts[1:]:
-        whole = whole.unionAll(more)
-    merged = whole.groupBy("doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("copies"))
-    joined = F.aggregate(
-        "hits", F.array().cast(_HITS),
-        lambda acc, h: F.when((F.size(acc) > 0) & (h["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.named_struct(F.lit("start"), F.element_at(acc, -1)["start"], F.lit("end"), F.greatest(F.element_at(acc, -1)["end"], h["end"]))))).otherwise(F.concat(acc, F.array(h))),
-    )
-    return merged.select("doc_id", "n_words", joined.alias("hits"), "items", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("k")).drop("k")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose text no benchmark window occurs in, with all their columns."""
-    spark = docs.sparkSession
+    if len(parts) > 1:
+        for more in parts[1:]:
+            whole = whole.unionAll(more)
+        # rows of equal id and text have equal findings, so their number is all that has to be kept
+        best = F.max_by("longest", F.struct(F.col("longest.words"), -F.col("longest.at")))
+        merged = whole.groupBy("doc_id", "text_hash", "n_words").agg(F.array_sort(F.flatten(F.collect_set("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), best.alias("longest"), (F.count("*") / len(parts)).cast("int").alias("copies"))
+        joined = F.aggregate(
+            "hits", F.array().cast(_HITS),
+            lambda acc, h: F.when((F.size(acc) > 0) & (h["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.named_struct(F.lit("start"), F.element_at(acc, -1)["start"], F.lit("end"), F.greatest(F.element_at(acc, -1)["end"], h["end"]))))).otherwise(F.concat(acc, F.array(h))),
+        )
+        whole = merged.select("doc_id", "n_words", joined.alias("hits"), "items", "longest", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("k"))
+    return whole.select("doc_id", "n_words", "hits", "items", "longest")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text no benchmark window occurs in, with all their columns.
+
+    Windows and odd rows are as in ``find_contamination``: null and empty texts
+    stay, repeated rows and null ids are judged each by its own text.
+    """
     at = docs.columns.index(text_col)
 
-    def without(df: DataFrame, items) -> DataFrame:
-        sent = spark.sparkContext.broadcast(items)
-
+    def without(df: DataFrame, sent: list) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(sent.value, width)
-            for batch in batches:
-                kept = [not ranges.size for _, hashes, counts in _shards(iter([batch]), None, at) for ranges, _ in find_hits(hashes, counts, windows)]
-                yield batch.filter(pa.array(kept, pa.bool_()))
+            for own, hashes, counts in _shards(batches, at):
+                kept = np.ones(len(counts), bool)
+                kept[list(search_blocks(hashes, counts, (b.value for b in sent), width))] = False
+                first = 0
+                for part in own:
+                    yield part.filter(pa.array(kept[first : first + len(part)]))
+                    first += len(part)
 
         return df.mapInArrow(run, df.schema)
 
-    for items in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        docs = without(docs, items)
+    for sent in _passes(benchmark, item_col, item_text_col, block_bytes, pass_bytes):
+        docs = without(docs, sent)
     return docs
 
 

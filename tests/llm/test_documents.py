@@ -125,14 +125,14 @@ def brute_hits(docs, bench, width=10):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 3000])
-def test_decontamination(spark, table, docs, block_bytes):
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 3000}, {"block_bytes": 3000, "pass_bytes": 6000}])
+def test_decontamination(spark, table, docs, options):
     bench = pd.read_parquet(f"{DATA}/benchmark.parquet")
     want = brute_hits(zip(docs.doc_id, docs.text, strict=True), zip(bench.item_id, bench.text, strict=True))
-    found = decontamination.find_contamination(table, spark.read.parquet(f"{DATA}/benchmark.parquet"), block_bytes=block_bytes)
+    found = decontamination.find_contamination(table, spark.read.parquet(f"{DATA}/benchmark.parquet"), **options)
     got = {r["doc_id"]: (r["n_words"], r["n"], list(r["items"])) for r in found.select("doc_id", "n_words", decontamination.hit_words().alias("n"), "items").collect()}
     assert got == want
-    kept = {r["doc_id"] for r in decontamination.decontaminate(table, spark.read.parquet(f"{DATA}/benchmark.parquet"), block_bytes=block_bytes).collect()}
+    kept = {r["doc_id"] for r in decontamination.decontaminate(table, spark.read.parquet(f"{DATA}/benchmark.parquet"), **options).collect()}
     assert kept == {i for i, x in want.items() if not x[1]}
 
 
@@ -146,11 +146,49 @@ def test_decontamination_edges(spark, odd, empty):
     assert decontamination.decontaminate(odd, bench).columns == odd.columns
 
 
-def test_longest_matches():
-    shard, counts = np.array([5, 6, 7, 8, 9, 6, 7, 8, 1], np.uint64), np.array([5, 4])
-    item = np.array([6, 7, 8, 1, 4], np.uint64)
-    got = decontamination.longest_matches(shard, counts, item)
-    assert got[0] == (0, 4, 1, 0) and (3, 1, 1, 3) in got and all(m[0] != 4 for m in got)
+def brute_longest(docs, bench, width=10):
+    """(words, place) of the longest match that begins with a window, the earliest of equals."""
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate(LOWER))
+    items = [w for _, t in bench if (w := words(t))]
+    at = collections.defaultdict(list)
+    for k, item in enumerate(items):
+        for i in range(max(1, len(item) - width + 1)):
+            at[tuple(item[i : i + width])].append((k, i))
+    out = {}
+    for i, t in docs:
+        own, best = words(t), None
+        for p in range(len(own)):
+            for size in range(1, width + 1):
+                for k, j in at.get(tuple(own[p : p + size]), []):
+                    n = 0
+                    while p + n < len(own) and j + n < len(items[k]) and own[p + n] == items[k][j + n]:
+                        n += 1
+                    if best is None or n > best[0]:
+                        best = n, p
+        out[i] = best
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 2000}, {"block_bytes": 2000, "pass_bytes": 6000}])
+def test_longest_matches(spark, table, docs, options):
+    bench = pd.read_parquet(f"{DATA}/benchmark.parquet")
+    want = brute_longest(zip(docs.doc_id, docs.text, strict=True), zip(bench.item_id, bench.text, strict=True))
+    texts = {str(i): t for i, t in zip(bench.item_id, bench.text, strict=True)}
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.translate(LOWER))
+    got = {r["doc_id"]: (r["text"], r["longest"]) for r in decontamination.find_contamination(table, spark.read.parquet(f"{DATA}/benchmark.parquet"), **options).join(table, "doc_id").collect()}
+    assert {i: m and (m["words"], m["at"]) for i, (_, m) in got.items()} == want and any(want.values())
+    for text, m in got.values():
+        if m:
+            assert words(text)[m["at"] : m["at"] + m["words"]] == words(texts[m["item"]])[m["item_at"] : m["item_at"] + m["words"]]
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 10}, {"block_bytes": 10, "pass_bytes": 20}])
+def test_repeated_ids_keep_their_own_hits(spark, options):
+    bench = spark.createDataFrame([(k, f"item{k} has its own short words {k}") for k in range(6)], "item_id int, text string")
+    rows = [(7, "clean words only, as many as in it"), (7, "say item3 has its own short words 3"), (None, "say item2 has its own short words 2"), (None, "clean words only, as many as in it"), (7, "clean words only, as many as in it")]
+    found = decontamination.find_contamination(spark.createDataFrame(rows, "doc_id int, text string"), bench, **options)
+    got = sorted(((r["doc_id"], r["n"], r["items"]) for r in found.select("doc_id", decontamination.hit_words().alias("n"), "items").collect()), key=str)
+    assert got == sorted([(7, 0, []), (7, 7, ["3"]), (None, 7, ["2"]), (None, 0, []), (7, 0, [])], key=str)
 
 
 def brute_counts(t):
