@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,15 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden(?=\s|=|$|/)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-zA-Z]+")
 _SPACE = re.compile(r"\s+")
 
-#: Elements whose content is no text.
-SKIPPED = frozenset("script style noscript template svg math iframe object head title textarea select option canvas audio video map".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose content is no text of the page.
+SKIPPED = frozenset("script style noscript template iframe head title textarea select option".split())
+#: Of these, what is not closed goes on to the page's end.
+RAW = frozenset("script style textarea title".split())
+#: Elements that begin and end a text block; all others are part of the text around them.
+BREAKS = frozenset("address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose opening marks everything inside them.
 HOLDERS = frozenset("nav header footer aside form article main section div ul ol dl table menu dialog figure figcaption blockquote details fieldset button".split())
@@ -43,7 +48,7 @@ FRAME_WORDS = frozenset("nav navbar navigation menu header footer sidebar breadc
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus respond discussion".split())
 MAIN_WORDS = frozenset("article content main post entry story body".split())
 
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "frame", "notice", "advert", "comment", "form", "main", "heading", "item"]
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "frame", "notice", "advert", "comment", "form", "main", "page_main", "heading", "item"]
 
 
 class Block:
@@ -77,18 +82,88 @@ def _holder_flags(tag: str, attributes: str) -> dict[str, int]:
     return flags
 
 
+class Scanner:
+    """Tags and text between them, in one pass: what is once not found ahead is not looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.at = page, 0
+        self.missing: set[str] = set()
+
+    def _find(self, what: str, start: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, start)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def _past(self, what: str, start: int) -> int:
+        found = self._find(what, start)
+        return len(self.page) if found < 0 else found + len(what)
+
+    def _tag_end(self, start: int) -> int:
+        """Where a tag ends; a quote that is never closed does not hide the tag's end."""
+        at = start
+        while m := _STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            close = self._find(m[0], m.end())
+            at = m.end() if close < 0 else close + 1
+        return len(self.page)
+
+    def tokens(self) -> Iterator[tuple[str, bool, str]]:
+        """("", False, text), or the name of a tag in lower case, whether it closes, and its attributes."""
+        page, size = self.page, len(self.page)
+        text = 0
+        while self.at < size:
+            start = self._find("<", self.at)
+            if start < 0:
+                break
+            self.at = start + 1
+            ahead = page[start + 1 : start + 2]
+            if ahead in ("!", "?"):
+                yield "", False, page[text:start]
+                if page.startswith("<!--", start):
+                    self.at = self._past("-->", start + 4)
+                elif page.startswith("<![CDATA[", start):
+                    self.at = self._past("]]>", start + 9)
+                    yield "", False, html.escape(page[start + 9 : self.at].removesuffix("]]>"))
+                else:
+                    self.at = self._past(">", start)
+                text = self.at
+            elif m := _NAME.match(page, start):
+                yield "", False, page[text:start]
+                end = self._tag_end(m.end())
+                self.at = text = end + 1
+                closing = m[0][1] == "/"
+                yield m[0][1 + closing :].lower(), closing, page[m.end() : end]
+                text = self.at = max(self.at, text)
+        yield "", False, page[text:]
+
+    def skip(self, tag: str) -> None:
+        """Go behind the element's end tag."""
+        if tag in self.missing:
+            return
+        end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(self.page, self.at)
+        if end:
+            self.at = end.end()
+        elif tag in RAW:
+            self.at = len(self.page)
+        else:
+            self.missing.add(tag)
+
+
 def text_blocks(page: str) -> list[Block]:
     """The page's flat text blocks in order, with features."""
     blocks: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, dict[str, int]]] = []
+    opened: Counter[str] = Counter()
     flags: dict[str, int] = {}
     link = heading = item = False
-    at, size = 0, len(page)
 
     def close() -> None:
-        nonlocal heading, item
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
@@ -96,61 +171,63 @@ def text_blocks(page: str) -> list[Block]:
             parts.clear()
             linked.clear()
 
-    while at < size:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else size
-        if stop > at:
-            parts.append(page[at:stop])
-            if link:
-                linked.append(page[at:stop] + " ")
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                parts.append(html.escape(m[0][9:-3]))
+    def push(tag: str, more: dict[str, int]) -> None:
+        nonlocal flags
+        stack.append((tag, flags))
+        opened[tag] += 1
+        flags = flags | more
+
+    def pop() -> str:
+        nonlocal flags
+        tag, flags = stack.pop()
+        opened[tag] -= 1
+        return tag
+
+    scanner = Scanner(page)
+    for tag, closing, said in scanner.tokens():
+        if not tag:
+            if said:
+                parts.append(said)
+                if link:
+                    linked.append(said + " ")
+            continue
+        if tag in SKIPPED:
+            if tag in ("head", "title", "body"):
+                close()
+            if not closing and not said.endswith("/"):
+                scanner.skip(tag)
             continue
-        tag, closing = tag.lower(), bool(m[1])
-        if tag in INLINE:
+        if tag not in BREAKS:
             if tag == "a":
                 link = not closing
             elif tag in ("br", "img"):
                 parts.append(" ")
             continue
         close()
-        if tag in SKIPPED:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else size if tag in ("script", "style", "textarea", "title") else at
-            continue
         link = False
         heading = tag in HEADINGS and not closing
         item = tag == "li" and not closing or (item and tag == "p")
         if not closing and stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in OPTIONAL_END):
-            flags = stack.pop()[1]
+            pop()
         if tag in HOLDERS:
             if not closing:
-                stack.append((tag, flags))
-                flags = flags | _holder_flags(tag, m[3])
-            elif any(t == tag for t, _ in stack):
-                while True:
-                    t, flags = stack.pop()
-                    if t == tag:
-                        break
-        elif tag not in VOID and m[3] and not closing:
-            own = _holder_flags("p", m[3])
+                push(tag, _holder_flags(tag, said))
+            elif opened[tag]:
+                while pop() != tag:
+                    pass
+        elif tag not in VOID and said and not closing:
+            own = _holder_flags("p", said)
             if own.keys() - {"main"}:
-                stack.append((tag, flags))
-                flags = flags | own
+                push(tag, own)
         elif closing and stack and stack[-1][0] == tag:
-            flags = stack.pop()[1]
+            pop()
     close()
+    page_main = float(any("main" in b.flags for b in blocks))
     for k, b in enumerate(blocks):
         near = []
         for other in (blocks[k - 1] if k else None, blocks[k + 1] if k + 1 < len(blocks) else None):
             near += [float(other.words), min(1.0, other.linked / other.words)] if other else [0.0, 0.0]
-        b.features = [float(b.words), min(1.0, b.linked / b.words), *near, *(float(b.flags.get(name, 0)) for name in FEATURES[6:])]
+        b.features = [float(b.words), min(1.0, b.linked / b.words), *near, *(page_main if name == "page_main" else float(b.flags.get(name, 0)) for name in FEATURES[6:])]
     return blocks
 
 
@@ -212,9 +289,38 @@ _AROUND = [("<div class=ad>", "</div>"), ("<aside>", "</aside>"), ("<header>", "
 _TEXTS = ["Now", "A line of about eight words in all", _MORE, f"{_LONG} {_MORE}", f"{_MORE} {_LONG} {_MORE}"]
 
 
+def _plain_pages() -> Iterator[tuple[str, str]]:
+    """Pages whose elements say nothing of themselves: words and links of a block and its neighbours decide."""
+    menu = "<{0}><a href=x>Home</a></{0}><{0}><a href=x>Our town</a></{0}><{0}><a href=x>All of the news</a></{0}>"
+    for tag in ("p", "div", "td"):
+        block = lambda t, tag=tag: f"<{tag}>{t}</{tag}>"
+        links = menu.format(tag)
+        wrap = (lambda x: f"<table><tr>{x}</tr></table>") if tag == "td" else (lambda x: x)
+        for k in range(len(_TEXTS)):
+            texts = [_TEXTS[(k + j) % len(_TEXTS)] for j in range(5)]
+            inner = "".join(map(block, texts))
+            yield wrap(links + inner + links), "000" + "11111" + "000"
+            yield wrap(links + block("Ships") + links + inner), "000" + "0" + "000" + "11111"
+            yield wrap(inner + block("Pages") + links), "11111" + "0" + "000"
+            yield wrap(inner + block(f"{_LONG} <a href=x>{texts[k]}</a>") + inner), "1" * 11
+            yield wrap(links + block(f"<a href=x>{_MORE}</a> {_MORE}") + inner), "000" + "1" + "11111"
+
+
 def labelled_pages() -> list[tuple[str, str]]:
-    """LABELLED, and each surrounding of _AROUND before, inside and after main text of several lengths."""
-    pages = list(LABELLED)
+    """LABELLED, plain pages, and each surrounding of _AROUND before, inside and after main text of several lengths."""
+    pages = LABELLED + list(_plain_pages())
+    for k in range(len(_TEXTS)):
+        texts = [_TEXTS[(k + j) % len(_TEXTS)] for j in range(4)]
+        inner = "".join(f"<p>{t}</p>" for t in texts)
+        # a run of links inside the article is a menu; one linked paragraph or list item between others is text
+        for n in (2, 3, 5):
+            links = "".join(f"<li><a href=x>{_TEXTS[(k + 2 * j) % len(_TEXTS)]}</a></li>" for j in range(n))
+            pages.append((f"<article>{inner}<ul>{links}</ul>{inner}</article>", "1111" + "0" * n + "1111"))
+            pages.append((f"<main><ul>{links}</ul>{inner}</main>", "0" * n + "1111"))
+            pages.append((f"<article>{inner}<div>{links}</div></article>", "1111" + "0" * n))
+        pages.append((f"<article>{inner}<p><a href=x>{texts[0]}</a></p>{inner}<ul><li>{texts[1]}</li><li><a href=x>{texts[2]}</a></li><li>{texts[3]}</li></ul></article>", "1111" + "1" + "1111" + "111"))
+        pages.append((f"<article><p><a href=x>{texts[0]}</a></p>{inner}<p><a href=x>{texts[3]}</a></p></article>", "1" + "1111" + "1"))
+        pages.append((f"<p>{texts[0]}</p><article>{inner}</article><div>{texts[1]}</div><p>{texts[2]}</p>", "0" + "1111" + "00"))
     for i, (begin, end) in enumerate(_AROUND):
         for k, own in enumerate(_TEXTS):
             texts = [_TEXTS[(i + k + j) % len(_TEXTS)] for j in range(4)]
@@ -223,6 +329,7 @@ def labelled_pages() -> list[tuple[str, str]]:
             pages.append((f"<nav><a href=x>Up</a></nav>{noise}<article><h1>{texts[1]}</h1>{inner}</article>{noise}", "00111110"))
             pages.append((f"<article>{inner}{noise}<p>{texts[2]}</p></article><footer><p>{texts[0]}</p></footer>", "11110" + "10"))
             pages.append((f"{noise}<main><ul><li>{texts[0]}</li><li>{texts[3]}</li></ul><h2>{texts[1]}</h2></main><p><a href=x>{own}</a></p>", "01110"))
+            pages.append((f"{noise}{inner}<h2>{texts[1]}</h2>{inner}{noise}", "0" + "111111111" + "0"))
     return pages
 
 
@@ -236,7 +343,7 @@ def block_tree() -> DecisionTree:
             raise ValueError(f"{len(blocks)} blocks and {len(marks)} labels: {[b.text[:20] for b in blocks]}")
         rows += [b.features for b in blocks]
         labels += [int(c) for c in marks]
-    return DecisionTree(np.array(rows), np.array(labels, float), depth=9)
+    return DecisionTree(np.array(rows), np.array(labels, float), depth=12)
 
 
 def main_text(page: str | None) -> str:
@@ -249,7 +356,8 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     """``(page_id, url, text, n_chars)`` of each row.
 
     A null or empty page has an empty text.  Null ids and repeated rows keep a
-    row each; other columns are ignored.
+    row each; other columns are ignored.  Pages of any length are read whole,
+    in time in proportion to it, however malformed; an empty table stays empty.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -84,3 +84,85 @@ def test_chat_edges(spark):
     got = {r["conv_id"]: [t["text"] for t in r["turns"]] for r in chat_format.read_back(chat_format.format_chats(chat_format.canonical_turns(rows))).collect()}
     assert got == {1: ["", "a", "a", "b"], None: ["n"], 2: []}
     assert chat_format.format_chats(chat_format.canonical_turns(rows.limit(0))).count() == 0
+
+
+def brute_article(page: str) -> str:
+    """What the test pages' articles say, by a parser of another make: text of <article>, cut at its paragraphs and headings."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        inside, blocks = False, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside = True
+            elif tag in ("p", "h1", "h2", "h3", "ul", "li", "blockquote"):
+                self.blocks.append([])
+            elif tag == "br":
+                self.blocks[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside = False
+            elif tag in ("p", "h1", "h2", "h3", "ul", "li", "blockquote"):
+                self.blocks.append([])
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1].append(data)
+
+    reader = Reader()
+    reader.blocks = [[]]
+    reader.feed(page)
+    texts = [" ".join("".join(b).split()) for b in reader.blocks]
+    return "\n".join(t for t in texts if t)
+
+
+def test_pages_match_another_parser(spark):
+    import pandas as pd
+
+    pages = pd.read_parquet(f"{DATA}/pages.parquet")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in queries.op6_html_extract(spark, DATA).collect()}
+    for i, page in zip(pages.page_id, pages.html, strict=True):
+        want = brute_article(page)
+        assert got[i] == (want, len(want))
+
+
+LONG, MORE = html_extract._LONG, html_extract._MORE
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><p><a href=x>Home</a></p><p><a href=x>News</a></p><p>{LONG}</p><p>Short.</p><p>{MORE}</p><p><a href=x>Privacy</a></p><p><a href=x>Imprint</a></p>", [LONG, "Short.", MORE]),
+        (f"<body>{LONG}<div>{MORE}</div>", [LONG, MORE]),
+        (f"<article><p>{LONG}</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <svg><text>drawn</text></svg> <object>plain</object></p><ul><li><a href=x>More ships</a></li><li><a href=x>And yet more of them, in the harbour and at sea</a></li></ul></article>", [LONG, "So x=2 and drawn plain"]),
+        (f"<article><p>{LONG}</p><p><a href=x>{MORE}</a></p><p>{LONG}</p></article>", [LONG, MORE, LONG]),
+        (f"<article><p>{LONG}</p><div class='newsletter'><p>{MORE}</p></div><p>Fin</p></article><p>{MORE}</p>", [LONG, "Fin"]),
+    ],
+)
+def test_blocks_by_words_and_links(page, want):
+    assert html_extract.main_text(page) == "\n".join(want)
+
+
+def test_word_and_link_features_decide():
+    """With the values of the word and link features dealt out anew among the blocks, verdicts change."""
+    import numpy as np
+
+    rows = np.array([b.features for page, _ in html_extract.labelled_pages() for b in html_extract.text_blocks(page)])
+    tree = html_extract.block_tree()
+    before = [tree.score(r) >= 0.5 for r in rows.tolist()]
+    rng = np.random.default_rng(2)
+    for k in (1, 3, 5):  # own links, links before, links after
+        other = rows.copy()
+        other[:, k] = rng.permutation(other[:, k])
+        assert sum(x != (tree.score(r) >= 0.5) for x, r in zip(before, other.tolist(), strict=True)) > len(rows) / 100
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<svg>", '<a "', "<!-- ", "<noscript>", "<", "<![CDATA[", "<ul><li>", "</section>"])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(unit * (3_000_000 // len(unit)))
+    assert time.process_time() - began < 30
