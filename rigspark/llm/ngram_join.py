@@ -9,17 +9,23 @@ Candidate search
     of these as a partner must share one of.  Documents that share prefix
     n-grams, directly or over others, form a candidate group.
 Join
-    Each group's sets are joined by signature trees (``signature_tree``).
-    Groups beyond ``block`` sets are dealt over blocks: every block is joined
-    in itself, then one delegate of each class found meets the delegates of
-    the other blocks, and what is then not yet in its group's largest class
-    meets all blocks.  Every check compares whole sets, so no link between
+    Sets are joined by signature trees (``signature_tree``), a group of at most
+    ``block`` sets in one task.  In larger groups, one delegate of each class
+    found so far meets the delegates of equal minimum hash, which near copies
+    mostly share, by several hash functions in turn.  What is then not yet in
+    its group's largest class meets, in blocks, every set of another class and
+    of fitting size that shares a prefix n-gram with the block.  A link has
+    such an n-gram, and every check compares whole sets, so no link between
     different classes is missed.
 Hot n-grams
     The order knows an n-gram's count up to ``COMMON``.  An n-gram that a map
     chunk holds that often is known to be common there: the chunk sends one
     marker in place of a row for each document.  Equal sets are one set from
     the candidate step on.
+Many buckets
+    Beyond ``STEP_BITS`` bits of buckets, hashes are dealt in two steps, to
+    coarse buckets first; so a packed row holds hundreds of hashes at any size
+    of the corpus.
 
 Hashes have 64 bits, of which the bucket and 48 more are used; two different
 n-grams are taken for one with a chance of about 2**-(48 + bucket bits) a pair.
@@ -36,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
+from .hot_keys import joined
 from .signature_tree import Join, Linked, Sets, build
 from .spill import Scratch
 from .words import BLANKS, LANES, U64, grams, mix, slices, text_buffers
@@ -47,8 +54,17 @@ CHUNK_DOCS = 60_000
 BUCKET_BYTES = 10 << 20
 #: Of a bucket's number; at 100 TB of text a bucket then answers for about 100 MB of it.
 MOST_BITS = 20
+#: Bits that one deal tells apart.
+STEP_BITS = 12
+#: N-grams of a coarse bucket that the second deal takes at once.
+REDEAL_GRAMS = 1 << 21
 DOC_SHARD_BYTES = 16 << 20
 BLOCK = 512
+#: Minimum hashes of a set, by which delegates of large groups meet.
+MINIMA = 4
+
+#: Kinds of packed rows: postings by bucket, set headers by document, answers by document, postings by coarse bucket.
+POSTINGS, HEADERS, ANSWERS, COARSE = range(4)
 
 _PACKED = "shard int, kind int, ids binary, sizes binary, tokens binary, marks binary"
 
@@ -128,9 +144,44 @@ def _ranked(tokens: np.ndarray, counts) -> np.ndarray:
     return (np.minimum(counts, COMMON).astype(np.uint64) << U64(64 - RANK_BITS)) | (tokens >> U64(RANK_BITS))
 
 
-def _deal(n: int, bits: int, shards: int):
-    """Map side: (doc_id, text) to packed postings (kind 0, by bucket) and set headers (kind 1, by document)."""
-    keep = ~U64(0) if bits >= 16 else U64((((1 << bits) - 1) << (64 - bits)) | ((1 << 48) - 1))
+def _packed_postings(kind: int, bits: int, tokens: np.ndarray, docs: np.ndarray, ids: np.ndarray | None, marked: np.ndarray) -> Iterator[tuple]:
+    """Rows by the tokens' top bits; ``docs`` are numbers of ``ids``, or the ids themselves."""
+    width = _low48 if kind == POSTINGS else np.ndarray.tobytes
+    top = lambda x: (x >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+    marks = dict(_fold(top(marked), marked))
+    for b, own, who in _fold(top(tokens), tokens, docs):
+        for i in range(0, len(own), CHUNK_DOCS):
+            part = who[i : i + CHUNK_DOCS]
+            if ids is not None and len(part) >= 4 * len(ids):
+                names = ids
+            else:
+                names, part = np.unique(part, return_inverse=True)
+                names = names if ids is None else ids[names]
+            yield b, kind, _packed_ids(names), part.astype(np.uint16).tobytes(), width(own[i : i + CHUNK_DOCS]), width(marks.pop(b, own[:0]))
+    for b, x in marks.items():
+        yield b, kind, b"", b"", b"", width(x)
+
+
+def _packed_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 256):
+        yield _packed(rows[i : i + 256])
+
+
+def _packed_answers(owners: np.ndarray, ranked: np.ndarray, shards: int) -> Iterator[tuple]:
+    """Ranked n-grams by document shard."""
+    for shard, who, own in _fold(_doc_shard(owners, shards), owners, ranked):
+        names, order = np.unique(who, return_inverse=True)
+        own = own[np.argsort(order, kind="stable")]
+        yield shard, ANSWERS, _packed_ids(names), np.bincount(order).astype(np.int64).tobytes(), own.tobytes(), b""
+
+
+def _kept_bits(bits: int) -> np.uint64:
+    return ~U64(0) if bits >= 16 else U64((((1 << bits) - 1) << (64 - bits)) | ((1 << 48) - 1))
+
+
+def _deal(n: int, bits: int, first_bits: int, shards: int):
+    """Map side: (doc_id, text) to packed postings by the first bits, coarse ones if these are not all, and set headers by document."""
+    keep, kind = _kept_bits(bits), POSTINGS if first_bits == bits else COARSE
 
     def flush(ids: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
         o = np.argsort(hashes, kind="stable")
@@ -154,20 +205,9 @@ def _deal(n: int, bits: int, shards: int):
         ends = np.cumsum(held)
         for shard, at in _fold(_doc_shard(ids, shards), np.arange(len(ids))):
             own = np.concatenate([heavy[ends[i] - held[i] : ends[i]] for i in at]) if held[at].any() else heavy[:0]
-            rows.append((shard, 1, _packed_ids(ids[at]), np.stack([sizes[at], held[at]]).astype(np.int64).tobytes(), own.tobytes(), digest[:, at].tobytes()))
-        hashes, docs = hashes[~common], docs[~common]
-        bucket = (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-        marks = {b: x for b, x in _fold((marked >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(marked), np.int64), marked)}
-        for b, tokens, who in _fold(bucket, hashes, docs):
-            if len(who) < 4 * len(ids):
-                names, who = np.unique(who, return_inverse=True)
-                names = ids[names]
-            else:
-                names = ids
-            rows.append((b, 0, _packed_ids(names), who.astype(np.uint16).tobytes(), _low48(tokens), _low48(marks.pop(b, tokens[:0]))))
-        rows += [(b, 0, b"", b"", b"", _low48(x)) for b, x in marks.items()]
-        for i in range(0, len(rows), 256):
-            yield _packed(rows[i : i + 256])
+            rows.append((shard, HEADERS, _packed_ids(ids[at]), np.stack([sizes[at], held[at]]).astype(np.int64).tobytes(), own.tobytes(), digest[:, at].tobytes()))
+        rows += _packed_postings(kind, first_bits, hashes[~common], docs[~common], ids, marked)
+        yield from _packed_batches(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, docs, held, grams_held = [], [], [], 0, 0
@@ -188,6 +228,39 @@ def _deal(n: int, bits: int, shards: int):
     return run
 
 
+def _redeal(bits: int, shards: int):
+    """Coarse postings, sorted by bucket, to postings by all bits; what is common in a run of them is answered here."""
+
+    def flush(tokens: list[np.ndarray], owners: list[np.ndarray], marks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        tokens, owners, marks = (np.concatenate(x) for x in (tokens, owners, marks))
+        o = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[o], owners[o]
+        runs = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
+        lengths = np.diff(np.r_[runs, len(tokens)])
+        common = np.repeat(lengths >= COMMON, lengths)
+        marks = np.concatenate([marks, tokens[runs[lengths >= COMMON]]])
+        rows = list(_packed_answers(owners[common], _ranked(tokens[common], COMMON), shards))
+        rows += _packed_postings(POSTINGS, bits, tokens[~common], owners[~common], None, np.unique(marks))
+        yield from _packed_batches(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, tokens, owners, marks = None, 0, [], [], []
+        for batch in batches:
+            for shard, who, which, own, more in zip(*(batch.column(c).to_pylist() for c in ("shard", "ids", "sizes", "tokens", "marks")), strict=True):
+                if held and (shard != now or held > REDEAL_GRAMS):
+                    yield from flush(tokens, owners, marks)
+                    held, tokens, owners, marks = 0, [], [], []
+                now = shard
+                tokens.append(np.frombuffer(own, np.uint64))
+                marks.append(np.frombuffer(more, np.uint64))
+                owners.append(_unpacked_ids(who)[np.frombuffer(which, np.uint16)])
+                held += len(tokens[-1]) + len(marks[-1])
+        if held:
+            yield from flush(tokens, owners, marks)
+
+    return run
+
+
 def _answer(bits: int, shards: int):
     """Bucket side: n-grams of two or more documents go back to their documents, with their rank."""
 
@@ -212,10 +285,7 @@ def _answer(bits: int, shards: int):
             counts = np.repeat(counts, np.diff(np.r_[runs, len(tokens)]))
             shared = (counts > 1) & (spots >= 0)
             owners, ranked = ids[spots[shared]], _ranked(tokens[shared], counts[shared])
-            for shard, who, own in _fold(_doc_shard(owners, shards), owners, ranked):
-                names, order = np.unique(who, return_inverse=True)
-                own = own[np.argsort(order, kind="stable")]
-                rows.append((shard, 0, _packed_ids(names), np.bincount(order).astype(np.int64).tobytes(), own.tobytes(), b""))
+            rows += _packed_answers(owners, ranked, shards)
         return pa.Table.from_batches([_packed(rows)])
 
     return run
@@ -223,7 +293,7 @@ def _answer(bits: int, shards: int):
 
 _SETS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()),
-    T.StructField("d2", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())),
+    T.StructField("d2", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("minima", T.ArrayType(T.LongType())),
 ])
 
 
@@ -235,7 +305,7 @@ def _gather(num: int, den: int):
         for r in table.to_batches():
             for kind, who, sizes, own, marks in zip(*(r.column(c).to_pylist() for c in ("kind", "ids", "sizes", "tokens", "marks")), strict=True):
                 names, sizes = _unpacked_ids(who), np.frombuffer(sizes, np.int64)
-                if kind:
+                if kind == HEADERS:
                     heads.append(np.concatenate([names[None], sizes.reshape(2, -1)[:1], np.frombuffer(marks, np.int64).reshape(2, -1)]))
                     sizes = sizes.reshape(2, -1)[1]
                 owners.append(np.repeat(names, sizes))
@@ -246,7 +316,7 @@ def _gather(num: int, den: int):
         o = np.lexsort((tokens, owners))
         owners, tokens = owners[o], tokens[o]
         starts, ends = np.searchsorted(owners, heads[0]), np.searchsorted(owners, heads[0], "right")
-        sets, keys = [], []
+        sets, keys, minima = [], [], []
         for n, a, b in zip(heads[1], starts, ends, strict=True):
             own = tokens[a:b]
             if b - a > 1:
@@ -255,10 +325,12 @@ def _gather(num: int, den: int):
             if n == 0 or len(own) < least:
                 sets.append(None)
                 keys.append([])
+                minima.append([])
             else:
                 sets.append(own.tobytes())
                 keys.append(own[: len(own) - least + 1].view(np.int64))
-        return pa.table([*(pa.array(h, pa.int64()) for h in heads), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=_SETS.names)
+                minima.append([mix(own ^ LANES[40 + k]).min().view(np.int64) for k in range(MINIMA)])
+        return pa.table([*(pa.array(h, pa.int64()) for h in heads), pa.array(sets, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, minima))], names=_SETS.names)
 
     return run
 
@@ -305,10 +377,10 @@ def _join_blocks(num: int, den: int):
 
 
 def _join_sides(num: int, den: int):
-    """Linked classes of the two sides of each (label, block, other); sets of one class are not compared."""
+    """Linked classes of the two sides of each (block, other); sets of one class are not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _groups(batches, ["label", "block", "other"]):
+        for _, group in _groups(batches, ["block", "other"]):
             side, known = np.array(group["side"]), group["known"]
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
@@ -327,82 +399,104 @@ def _join_sides(num: int, den: int):
 _PAIRS = "a long, b long"
 
 
-def _joined_in_blocks(sets: DataFrame, members: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Classes (a: rep, b: its class) of ``members(rep, label)``, inside blocks of at most about ``block`` of a label."""
-    counts = members.groupBy("label").agg(F.count("*").alias("c")).where("c > 1").select("label", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    dealt = members.join(counts, "label").select("rep", "label", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+def _joined_in_blocks(sets: DataFrame, members: DataFrame, total: int, num: int, den: int, block: int, turn: int = 0) -> DataFrame:
+    """Classes (a: rep, b: its class) of ``members(rep, label)``, inside blocks of at most about ``block`` of a label; there are at most ``total`` members."""
+    counts = members.groupBy("label").agg(F.count("*").alias("c")).where("c > 1").select(F.col("label").alias("l"), F.ceil(F.col("c") / block).cast("int").alias("blocks"), "c")
+    dealt = joined(members, counts, "label", "l", "c", total).select("rep", "label", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("blocks")).cast("int").alias("block"))
     rows = sets.join(dealt, "rep").select("label", "block", "rep", "n", "tokens")
     return rows.repartition("label", "block").sortWithinPartitions("label", "block", "rep").mapInArrow(_join_blocks(num, den), _PAIRS)
 
 
 def _moved(now: DataFrame, to: DataFrame) -> DataFrame:
-    """``now(rep, label, known)`` with classes replaced by what ``to(a, b)`` says of them."""
-    return now.join(to, F.col("known") == F.col("a"), "left").select("rep", "label", F.coalesce("b", "known").alias("known"))
+    """``now`` with each ``known`` class replaced by what ``to(a, b)`` says of it."""
+    return now.join(to, F.col("known") == F.col("a"), "left").withColumn("known", F.coalesce("b", "known")).drop("a", "b")
 
 
 def _classes(reps: DataFrame, sets: DataFrame, num: int, den: int, block: int, scratch: Scratch) -> DataFrame:
     """``(rep, component)`` for the reps that share a prefix n-gram with another.
 
-    ``reps(rep, keys)`` are the distinct sets' ids and prefixes, ``sets(rep, n, tokens)`` hold their tokens.
+    ``reps(rep, n, keys, minima)`` are the distinct sets, ``sets(rep, n, tokens)`` hold their tokens.
     """
     keys = reps.select("rep", F.explode("keys").alias("key"))
-    least = keys.groupBy("key").agg(F.min("rep").alias("m"), F.count("*").alias("c")).where("c > 1").select("key", "m")
-    edges = keys.join(least, "key").where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b"))
+    least = keys.groupBy("key").agg(F.min("rep").alias("m"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "m", "n")
+    least = scratch.stored(least, "least")
+    edges = joined(keys, least, "key", "k", "n", least.agg(F.sum("n")).first()[0] or 0).where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b"))
     labels = scratch.stored(components(edges, scratch).select(F.col("node").alias("rep"), "label"), "labels")
-    first = scratch.stored(_joined_in_blocks(sets, labels, num, den, block), "blocks")
-    large = labels.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") > block).select("label")
-    now = scratch.stored(_moved(labels.join(large, "label").select("rep", "label", F.col("rep").alias("known")), first), "known")
+    scratch.drop("least", "ends", "star", "large")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("c"))
+    total = labels.count()
+    of_size = scratch.stored(joined(labels, sizes.select(F.col("label").alias("l"), (F.col("c") > block).alias("large"), "c"), "label", "l", "c", total).select("rep", "label", "large"), "sized")
+    first = scratch.stored(_joined_in_blocks(sets, of_size.where("not large").select("rep", "label"), total, num, den, block), "blocks")
     found = labels.select("rep").join(first, F.col("rep") == F.col("a"), "left").select("rep", F.coalesce("b", "rep").alias("component"))
+    now = of_size.where("large").select("rep", "label").join(reps.select("rep", "n", "keys", "minima"), "rep").withColumn("known", F.col("rep"))
+    now = scratch.stored(now, "known")
     if now.isEmpty():
         return found
-    while True:
-        delegates = now.where("rep = known").select("rep", "label")
-        most = delegates.groupBy("label").count().agg(F.max("count")).first()[0]
-        if most == 1:
-            break
-        more = scratch.stored(_joined_in_blocks(sets, delegates, num, den, block), "delegates")
+    idle = turn = 0
+    while idle < MINIMA:
+        delegates = now.where("rep = known").select("rep", F.xxhash64("label", F.col("minima")[turn % MINIMA]).alias("label"))
+        more = scratch.stored(_joined_in_blocks(sets, delegates, total, num, den, block, turn), "delegates")
+        turn += 1
         if more.isEmpty():
-            break
-        now = scratch.stored(_moved(now, more), "known")
-        if most <= block:
-            break
-    if most > 1:
-        links = scratch.stored(_across(sets, now, num, den, block), "across")
-        if not links.isEmpty():
-            now = _moved(now, components(links, scratch).select(F.col("node").alias("a"), F.col("label").alias("b")))
+            idle += 1
+        else:
+            idle = 0
+            now = scratch.stored(_moved(now, more), "known")
+    links = scratch.stored(_across(sets, now, total, num, den, block, scratch), "across")
+    if not links.isEmpty():
+        now = _moved(now, components(links, scratch).select(F.col("node").alias("a"), F.col("label").alias("b")))
     return found.join(now.select(F.col("rep").alias("r"), "known"), F.col("rep") == F.col("r"), "left").select("rep", F.coalesce("known", "component").alias("component"))
 
 
-def _across(sets: DataFrame, now: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Linked classes: what is outside its label's largest class, in blocks, against everything of the label."""
+def _across(sets: DataFrame, now: DataFrame, total: int, num: int, den: int, block: int, scratch: Scratch) -> DataFrame:
+    """Linked classes: what is outside its label's largest class, in blocks, against the sets that may link with one of the block.
+
+    Such a set shares a prefix n-gram with the block, is not of the block's one
+    class, and has a size that fits one of its sizes.
+    """
     classes = now.groupBy("label", "known").agg(F.count("*").alias("c"))
-    main = classes.groupBy("label").agg(F.max_by("known", F.struct("c", F.negate("known"))).alias("main"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1")
-    main = main.select("label", "main", F.ceil(F.col("c") / block).cast("int").alias("others"))
-    rest = now.join(main, "label").where("known <> main")
-    blocks = rest.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    left = rest.join(blocks, "label").select("label", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(0).alias("side"), "rep", "known")
-    right = now.join(main, "label").join(blocks, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep"), F.col("others")).cast("int").alias("other"), F.lit(1).alias("side"), "rep", "known")
+    main = classes.groupBy("label").agg(F.max_by("known", F.struct("c", F.negate("known"))).alias("main"), F.count("*").alias("k"), F.sum("c").alias("c")).where("k > 1").select(F.col("label").alias("l"), "main", "c")
+    rest = joined(now, main, "label", "l", "c", total).where("known <> main").select("rep", "label", "known", "n", "keys", F.xxhash64("label", F.col("minima")[0]).alias("near"))
+    rest = scratch.stored(rest, "rest")
+    alike = rest.groupBy("near").agg(F.count("*").alias("c")).select(F.col("near").alias("m"), F.ceil(F.col("c") / block).alias("parts"), "c")
+    whole = rest.groupBy("label").agg(F.count("*").alias("c")).select(F.col("label").alias("l"), F.ceil(F.col("c") / block).alias("blocks"), "c")
+    own = F.when(F.col("parts") > 1, F.xxhash64("near", F.pmod(F.xxhash64("rep"), F.col("parts")))).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("near"), F.col("blocks"))))
+    left = joined(joined(rest, alike, "near", "m", "c", total), whole, "label", "l", "c", total).select(own.alias("block"), "rep", "known", "n", "keys")
+    left = scratch.stored(left, "left")
+    wanted = left.select("block", "known", "n", F.explode("keys").alias("key")).groupBy("key", "block").agg(F.min("known").alias("k0"), F.max("known").alias("k1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    others = now.select("rep", "known", "n", F.explode("keys").alias("key"))
+    differs = (F.col("k0") < F.col("k1")) | (F.col("k0") != F.col("known"))
+    fits = (den * F.col("n") >= num * F.col("n0")) & (den * F.col("n1") >= num * F.col("n"))
+    right = scratch.stored(others.join(wanted, "key").where(differs & fits).select("block", "rep", "known").distinct(), "right")
+    counts = right.groupBy("block").agg(F.count("*").alias("c")).select(F.col("block").alias("b"), F.ceil(F.col("c") / block).cast("int").alias("others"), "c")
+    right = joined(right, counts, "block", "b", "c", right.count()).select("block", F.pmod(F.xxhash64("rep"), F.col("others")).cast("int").alias("other"), F.lit(1).alias("side"), "rep", "known")
+    left = left.join(counts, F.col("block") == F.col("b")).select("block", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(0).alias("side"), "rep", "known")
     rows = sets.join(left.unionAll(right), "rep")
-    return rows.repartition("label", "block", "other").sortWithinPartitions("label", "block", "other", "side", "rep").mapInArrow(_join_sides(num, den), _PAIRS)
-
-
-def _set_table(rows: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """A row of ``_SETS`` for each document, in the shared folder; the shuffles that made it are free to go."""
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(MOST_BITS, max(0, (int(total) // BUCKET_BYTES).bit_length()))
-    shards = max(1, int(total) // DOC_SHARD_BYTES)
-    answers = _answers(rows, n, bits, shards, scratch)
+    return rows.repartition("block", "other").sortWithinPartitions("block", "other", "side", "rep").mapInArrow(_join_sides(num, den), _PAIRS)
+
+
+def _set_table(rows: DataFrame, n: int, num: int, den: int, bucket_bytes: int, step_bits: int, scratch: Scratch) -> DataFrame:
+    """A row of ``_SETS`` for each document, in the shared folder."""
+    total = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    bits = min(MOST_BITS, max(0, (total // bucket_bytes).bit_length()))
+    shards = max(1, total // DOC_SHARD_BYTES)
+    first_bits = bits if bits <= step_bits else (bits + 1) // 2
+    dealt = rows.where("doc_id is not null").mapInArrow(_deal(n, bits, first_bits, shards), _PACKED)
+    if first_bits < bits:
+        dealt = scratch.stored(dealt, "coarse")
+        coarse = dealt.where(F.col("kind") == COARSE)
+        parts = max(1, total // (8 * bucket_bytes))
+        salted = coarse.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(max(1, parts >> first_bits))))
+        fine = salted.repartition(parts, "shard", "salt").sortWithinPartitions("shard").drop("salt").mapInArrow(_redeal(bits, shards), _PACKED)
+        dealt = fine.unionAll(dealt.where(F.col("kind") == HEADERS))
+    answers = scratch.stored(dealt.groupBy("kind", "shard").applyInArrow(_bucket_or_pass(_answer(bits, shards)), _PACKED), "answers")
+    scratch.drop("coarse")
     found = scratch.stored(answers.groupBy("shard").applyInArrow(_gather(num, den), _SETS), "sets")
     scratch.drop("answers")
     return found
 
 
-def _answers(rows: DataFrame, n: int, bits: int, shards: int, scratch: Scratch) -> DataFrame:
-    dealt = rows.where("doc_id is not null").mapInArrow(_deal(n, bits, shards), _PACKED)
-    return scratch.stored(dealt.groupBy("kind", "shard").applyInArrow(_bucket_or_pass(_answer(bits, shards)), _PACKED), "answers")
-
-
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, similarity: tuple[int, int] = (75, 100), block: int = BLOCK) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, similarity: tuple[int, int] = (75, 100), block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES, step_bits: int = STEP_BITS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document, by n-gram Jaccard links.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; a
@@ -411,28 +505,30 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``den * |x & y| >= num * |x | y|``; ``component_id`` is the smallest id
     that links reach.  Rows that repeat an id each get a row of their own,
     with their own size and the id's component.  A null id is kept, with size
-    from its text and a null component.  Other columns are ignored.
+    from its text and a null component.  Ids are cast to long; others than
+    numbers are an error.  Texts of any length are read whole; an empty table
+    gives an empty one.  Other columns are ignored.
     """
     num, den = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        found = _set_table(rows, n, num, den, scratch)
-        reps = scratch.stored(found.where("tokens is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "reps")
+        found = _set_table(rows, n, num, den, bucket_bytes, step_bits, scratch)
+        reps = scratch.stored(found.where("tokens is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("minima").alias("minima")), "reps")
         sets = found.where("tokens is not null").select(F.col("doc_id").alias("rep"), "n", "tokens")
         classes = _classes(reps, sets, num, den, block, scratch)
         named = reps.select("d1", "d2", "n", "rep").join(classes, "rep", "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("component", "rep").alias("c"))
         out = found.select("doc_id", "n", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en")), "left")
         out = scratch.stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id")), "components")
-        scratch.drop("sets", "reps", "labels", "star", "blocks", "known", "delegates", "across")
+        scratch.drop("sets", "reps", "labels", "ends", "star", "large", "sized", "blocks", "known", "delegates", "rest", "left", "right", "across")
     lost = rows.where("doc_id is null").mapInArrow(_sizes_only(n), "doc_id long, n_shingles long, component_id long")
     return out.unionAll(lost)
 
 
 def _bucket_or_pass(answer):
-    """Postings are answered; set headers are already keyed by document and pass."""
+    """Postings are answered; what is already keyed by document passes."""
 
     def run(table: pa.Table) -> pa.Table:
-        return table if table.column("kind")[0].as_py() else answer(table)
+        return answer(table) if table.column("kind")[0].as_py() == POSTINGS else table
 
     return run
 

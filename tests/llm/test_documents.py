@@ -65,12 +65,31 @@ def brute_classes(rows, n=5):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_ngram_join(table, docs, block):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(table, block=block).collect()}
+@pytest.mark.parametrize("options", [{}, {"block": 2}, {"block": 8, "bucket_bytes": 2000, "step_bits": 2}])
+def test_ngram_join(table, docs, options):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(table, **options).collect()}
     assert got == brute_classes(zip(docs.doc_id, docs.text, strict=True))
 
 
+@pytest.mark.parametrize("options", [{"block": 4}, {"block": 16, "bucket_bytes": 3000, "step_bits": 1}])
+def test_ngram_join_of_large_groups(spark, options):
+    """Clusters that share boilerplate, chains of near copies, and exact copies, in groups far beyond a block."""
+    rng = np.random.default_rng(5)
+    common = [" ".join(f"c{k}x{j}" for j in range(12)) for k in range(4)]
+    texts = []
+    for k in range(12):
+        own = [f"w{k}x{j}" for j in range(90)]
+        for step in range(14):  # a chain: each text differs a little from the one before
+            own = list(own)
+            own[int(rng.integers(0, 90))] = f"n{k}x{step}"
+            texts.append(" ".join([common[k % 4], *own, common[(k + 1) % 4]]))
+    texts += [texts[3]] * 20 + [common[0]] * 3
+    order = rng.permutation(len(texts))
+    rows = [(int(i), texts[j]) for i, j in enumerate(order)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_ngram_join_edges(odd, empty):
     got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(odd).collect()), key=str)
     assert got.count((2, 3, 1)) == 2 and (0, 3, None) in got and (1, 3, 1) in got
