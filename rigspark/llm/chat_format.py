@@ -1,9 +1,10 @@
 """Chat formatting: heterogeneous records to one turn template, by schema fingerprints.
 
-A record is a JSON object.  Its nested field paths, as far as any mapping
-below names them, are hashed to a fingerprint, which selects the mapping that
-turns it into canonical (role, text) turns.  Fields that no mapping names do
-not change the fingerprint.  All steps are DataFrame expressions.
+A record is a JSON object.  Of its nested field paths, those of the most
+specific mapping below that has all it names are hashed to a fingerprint, which
+selects that mapping; it turns the record into canonical (role, text) turns.
+Other fields do not change the fingerprint.  All steps are DataFrame
+expressions.
 
 Template: every turn is ``<|role|>\\n`` text ``<|end|>\\n``.  Inside roles and
 texts a backslash is put into each control string, one more into each that
@@ -59,6 +60,7 @@ MAPPINGS: dict[tuple[str, ...], str] = {
     ("prompt", "response"): _listed(_one("user", "prompt"), _one("assistant", "response")),
     ("system", "prompt", "completion"): _listed(_opt("system", "system"), _one("user", "prompt"), _one("assistant", "completion")),
     ("system", "prompt", "response"): _listed(_opt("system", "system"), _one("user", "prompt"), _one("assistant", "response")),
+    ("system", "question", "answer"): _listed(_opt("system", "system"), _one("user", "question"), _one("assistant", "answer")),
     ("question", "answer"): _listed(_one("user", "question"), _one("assistant", "answer")),
 }
 
@@ -102,14 +104,21 @@ def _parsed(record: Column) -> Column:
 def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame:
     """``records`` with ``fingerprint long``, ``layout string`` and ``turns array<struct<role, text>>``.
 
-    A record that is null, no JSON object, or of a layout without mapping gets
-    a null layout and no turns.  Texts may have any length; a record of more
-    than 128 MiB, the most that a variant holds, is an error.  Columns of these
-    names are replaced.
+    Of the mappings whose fields a record has, the one that names most counts,
+    the first of equals.  A record that is null, no JSON object, or without any
+    such mapping gets a null layout and no turns.  Texts may have any length; a
+    record of more than 128 MiB, the most that a variant holds, is an error.
+    An empty table stays empty.  Columns of the three names are replaced, all
+    others stay.
     """
-    v = records.withColumn("v", _parsed(F.col(record_col)))
-    present = F.array_compact(F.array(*(F.when(F.expr(f"try_variant_get(v, '$.{p}', 'variant') IS NOT NULL"), F.lit(p)) for p in PATHS)))
-    v = v.withColumn("fingerprint", F.xxhash64(F.concat_ws(",", present)))
+    fresh = ("fingerprint", "layout", "turns")
+    read = records.select(F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("row"), _parsed(F.col(f"`{record_col}`")).alias("v"))
+    has = F.struct(*(F.expr(f"try_variant_get(v, '$.{p}', 'variant') IS NOT NULL").alias(f"p{k}") for k, p in enumerate(PATHS)))
+    read = read.withColumn("has", has)
+    fits = lambda paths: F.expr(" AND ".join(f"has.p{PATHS.index(p)}" for p in paths))
+    chosen = F.coalesce(*(F.when(fits(paths), _key(paths)) for paths in sorted(MAPPINGS, key=lambda m: -len(m))))
+    every = F.xxhash64(F.concat_ws(",", F.array_compact(F.array(*(F.when(F.col(f"has.p{k}"), F.lit(p)) for k, p in enumerate(PATHS))))))
+    read = read.withColumn("fingerprint", F.coalesce(chosen, every))
     layout = turns = None
     for paths, expr in MAPPINGS.items():
         hit = F.col("fingerprint") == _key(paths)
@@ -117,11 +126,15 @@ def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame
         value = F.expr(f"CAST({expr} AS array<struct<role: string, text: string>>)")
         turns = F.when(hit, value) if turns is None else turns.when(hit, value)
     none = F.expr("CAST(array() AS array<struct<role: string, text: string>>)")
-    return v.withColumn("layout", layout).withColumn("turns", F.coalesce(turns, none)).drop("v")
+    own = [F.col(f"row.`{c}`").alias(c) for c in records.columns if c not in fresh]
+    return read.select(*own, "fingerprint", layout.alias("layout"), F.coalesce(turns, none).alias("turns"))
 
 
 def format_chats(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn") -> DataFrame:
-    """``(conv_id, segments array<struct<text, loss>>, formatted)`` from rows with ``turns``.
+    """``(conv_id, segments array<struct<text, loss>>, unread, formatted)`` from rows with ``turns``.
+
+    ``unread`` counts the rows whose ``layout`` is null, that is, which gave no
+    turns because no mapping knows them.
 
     Rows of one id are joined in order of ``order_col`` (null first), ties by
     their turns' role and text; rows that repeat stay.  Null roles and texts
@@ -130,11 +143,12 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", order_col: str = "tu
     conversation's formatted text is one value and must fit a row.
     """
     part = F.struct(F.col(order_col).alias("o"), F.transform("turns", lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))).alias("turns"))
+    unread = F.col("layout").isNull().cast("long") if "layout" in turns.columns else F.lit(0)
     chunk = F.coalesce(F.floor(F.col(order_col) / CHUNK), F.lit(-(2**62)))
-    runs = turns.groupBy(F.col(id_col).alias("conv_id"), chunk.alias("chunk")).agg(F.array_sort(F.collect_list(part), lambda a, b: _compare(a, b)).alias("rows"))
-    runs = runs.select("conv_id", "chunk", F.flatten(F.transform("rows", lambda r: r["turns"])).alias("turns"))
-    whole = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "turns"))).alias("chunks"))
-    whole = whole.select("conv_id", F.flatten(F.transform("chunks", lambda c: c["turns"])).alias("turns"))
+    runs = turns.groupBy(F.col(id_col).alias("conv_id"), chunk.alias("chunk")).agg(F.array_sort(F.collect_list(part), lambda a, b: _compare(a, b)).alias("rows"), F.sum(unread).alias("unread"))
+    runs = runs.select("conv_id", "chunk", "unread", F.flatten(F.transform("rows", lambda r: r["turns"])).alias("turns"))
+    whole = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "turns"))).alias("chunks"), F.sum("unread").alias("unread"))
+    whole = whole.select("conv_id", "unread", F.flatten(F.transform("chunks", lambda c: c["turns"])).alias("turns"))
 
     def pieces(t: Column) -> Column:
         seg = lambda text, loss: F.named_struct(F.lit("text"), text, F.lit("loss"), loss)
@@ -144,7 +158,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", order_col: str = "tu
             seg(F.lit("<|end|>\n"), F.lit(False)),
         )
 
-    out = whole.select("conv_id", F.flatten(F.transform("turns", pieces)).alias("segments"))
+    out = whole.select("conv_id", F.flatten(F.transform("turns", pieces)).alias("segments"), "unread")
     return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 

@@ -7,8 +7,9 @@ each chunk's pooled responses into a logit, and the mean of a document's
 logits into one probability.
 
 It is trained on the driver from a bounded sample of the labelled rows:
-``per_class`` documents a class, chosen by a hash of their id, and of each at
-most ``chunks`` evenly spaced chunks.  Scoring reads every text whole.
+``per_class`` documents a class of at most ``most_bytes``, chosen by a hash of
+their id, with all their chunks; each document has the same weight.  Scoring
+reads every text whole.
 """
 
 from __future__ import annotations
@@ -99,8 +100,8 @@ class ByteConv:
             parts.append(self.responses(piece, np.zeros(1, np.int64))[: (m - k) * GROUPS].reshape(-1, GROUPS, FILTERS).max(1))
         return np.concatenate(parts)
 
-    def train(self, chunks: np.ndarray, labels: np.ndarray, *, epochs: int = 12, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> ByteConv:
-        """Adam on the cross-entropy of chunks (rows of two blocks)."""
+    def train(self, chunks: np.ndarray, labels: np.ndarray, weights: np.ndarray, *, epochs: int = 8, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> ByteConv:
+        """Adam on the weighted cross-entropy of chunks (rows of two blocks)."""
         rng = np.random.default_rng(seed)
         first, second = {n: 0.0 for n in self.NAMES}, {n: 0.0 for n in self.NAMES}
         steps = 0
@@ -108,7 +109,7 @@ class ByteConv:
             order = rng.permutation(len(chunks))
             for k in range(0, len(order), batch):
                 rows = order[k : k + batch]
-                grads = self._gradient(chunks[rows], labels[rows])
+                grads = self._gradient(chunks[rows], labels[rows], weights[rows])
                 steps += 1
                 for n in self.NAMES:
                     g = grads[n]
@@ -118,7 +119,7 @@ class ByteConv:
                     setattr(self, n, (getattr(self, n) - move).astype(np.float32))
         return self
 
-    def _gradient(self, chunks: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    def _gradient(self, chunks: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
         size, per = len(chunks), 2 * GROUPS
         data = chunks.reshape(-1)
         z = self.responses(data, np.arange(size) * per).reshape(size, per, FILTERS)
@@ -128,7 +129,7 @@ class ByteConv:
         pre = pooled @ self.u + self.c
         hidden = np.maximum(pre, 0)
         logit = hidden @ self.v + self.d[0]
-        up = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) / size
+        up = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) * weights / size
         g = {"v": hidden.T @ up, "d": np.array([up.sum()])}
         back = np.outer(up, self.v) * (pre > 0)
         g["u"], g["c"] = pooled.T @ back, back.sum(0)
@@ -146,26 +147,24 @@ class ByteConv:
         return g
 
 
-def chunk_sample(texts: list[str | None], most: int) -> list[np.ndarray]:
-    """At most ``most`` evenly spaced chunks of each text, padded with zero bytes."""
-    out = []
-    for text in texts:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        blocks = max(2, -(-len(data) // BLOCK))
-        padded = np.zeros(blocks * BLOCK, np.uint8)
-        padded[: len(data)] = data
-        starts = np.unique(np.linspace(0, blocks - 2, min(most, blocks - 1)).astype(int))
-        out.append(np.stack([padded[s * BLOCK : (s + 2) * BLOCK] for s in starts]))
-    return out
+def chunks_of(text: str | None) -> np.ndarray:
+    """All chunks of a text, padded with zero bytes; a row is two blocks."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    blocks = max(2, -(-len(data) // BLOCK))
+    padded = np.zeros(blocks * BLOCK, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.sliding_window_view(padded, 2 * BLOCK)[::BLOCK]
 
 
 def _held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2000, chunks: int = 4) -> ByteConv:
+def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2000, most_bytes: int = 1 << 16) -> ByteConv:
     """The network, from a bounded sample of rows that are not held out.
 
+    At most ``per_class`` ids a class are drawn, and of these the texts of at
+    most ``most_bytes`` are used; an id with several texts gives one of them.
     Ids whose labels contradict each other are left out.  With no labelled
     text of one of the classes the untrained network is returned.
     """
@@ -174,28 +173,25 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class).select("id", "y")
         chosen = part if chosen is None else chosen.unionAll(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most 2 * per_class ids
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = chunk_sample(batch.column("text").to_pylist(), chunks)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "y", "chunks"])
-
-    kinds = {f.name: f.dataType for f in rows.schema}
-    sample = rows.mapInArrow(cut, T.StructType([T.StructField("id", kinds["id"]), T.StructField("y", kinds["y"]), T.StructField("chunks", T.BinaryType())])).collect()
-    sample.sort(key=lambda r: (r["id"], r["y"], r["chunks"]))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= most_bytes)
+    rows = rows.join(F.broadcast(chosen), "id")  # at most 2 * per_class ids
+    sample = rows.groupBy("id", "y").agg(F.min("text").alias("text")).collect()  # bounded by per_class and most_bytes
+    sample.sort(key=lambda r: (r["id"], r["y"]))
     net = ByteConv()
     if len({r["y"] for r in sample}) < 2:
         return net
-    parts = [np.frombuffer(r["chunks"], np.uint8).reshape(-1, 2 * BLOCK) for r in sample]
-    return net.train(np.concatenate(parts), np.repeat([float(r["y"]) for r in sample], [len(p) for p in parts]))
+    parts = [chunks_of(r["text"]) for r in sample]
+    sizes = np.array([len(p) for p in parts])
+    weights = np.repeat(sizes.mean() / sizes, sizes).astype(np.float32)
+    return net.train(np.concatenate(parts), np.repeat([float(r["y"]) for r in sample], sizes), weights)
 
 
 def score_quality(docs: DataFrame, net: ByteConv, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of each row, from its text alone.
 
     A null text is the empty one.  Null ids are not held out; repeated rows
-    keep a row each.  Other columns are ignored.
+    keep a row each.  Texts of any length are scored whole, a piece at a time;
+    an empty table stays empty.  Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -332,3 +332,46 @@ def test_merging_by_rounds_is_the_same():
     rng = np.random.default_rng(8)
     words = [b"a", b"aaaa", b"ab" * 100, *(bytes(rng.choice(list(b"ab er\xc3\xa9"), rng.integers(1, 60)).astype(np.uint8)) for _ in range(500))]
     assert bpe.merge_rounds(words) == bpe.merge_all(words) == [np.array(bpe.merge(w), "<i4").tobytes() for w in words]
+
+
+def test_scores_match_plain_loops():
+    """The network written as loops over filters, steps and chunks."""
+    net = quality_classifier.ByteConv(seed=3)
+
+    def plain(text):
+        data = text.encode()
+        blocks = max(1, -(-len(data) // 256))
+        data = data + bytes(blocks * 256 - len(data))
+        steps = [np.concatenate([net.e[b] for b in data[i : i + 4]]) for i in range(0, len(data), 4)]
+        answers = []
+        for i, a in enumerate(steps):
+            ahead = steps[i + 1] @ net.x if i + 1 < len(steps) else 0
+            answers.append(a @ net.w + ahead + net.b)
+        logits = []
+        for k in range(max(1, blocks - 1)):
+            pooled = np.maximum(np.max(answers[64 * k : 64 * k + 64 * min(2, blocks)], axis=0), 0)
+            logits.append(np.maximum(pooled @ net.u + net.c, 0) @ net.v + net.d[0])
+        return 1 / (1 + np.exp(-np.mean(logits)))
+
+    rng = np.random.default_rng(4)
+    texts = ["", "a", "é" * 300, *("".join(rng.choice(list("abc é\n"), n)) for n in (255, 256, 257, 511, 512, 513, 3000)), None]
+    from rigspark.llm.words import text_buffers
+    import pyarrow as pa
+
+    got = net.scores(*text_buffers(pa.array(texts, pa.string())))
+    assert np.allclose(got, [plain(t or "") for t in texts], atol=1e-5)
+
+
+def test_all_chunks_of_a_text_are_trained_on():
+    text = "x" * 1000
+    chunks = quality_classifier.chunks_of(text)
+    assert chunks.shape == (3, 512) and bytes(chunks.ravel())[:512] == b"x" * 512 and quality_classifier.chunks_of(None).shape == (1, 512)
+    net = quality_classifier.ByteConv().train(np.concatenate([quality_classifier.chunks_of("good words " * 40), quality_classifier.chunks_of("#### $$$$ " * 40)]), np.array([1.0, 0.0]), np.ones(2), epochs=200)
+    assert np.array_equal(net.e.shape, (256, 4))
+
+
+def test_repeated_labelled_ids_are_one(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other text")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 3 + [(2, 0)] * 3, "doc_id long, quality int")
+    rows = quality_classifier.score_quality(docs, quality_classifier.train_quality(docs, labels)).collect()
+    assert len(rows) == 100

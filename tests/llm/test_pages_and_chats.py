@@ -38,6 +38,16 @@ def test_impure_template_is_rejected(spark):
     assert got[0]["template"] == "de/{#}" and got[1003]["rule"] is None and got[1003]["verdict"] == "block" and got[2001]["verdict"] == "allow"
 
 
+def test_slugs_and_ids_are_wildcards_and_siblings_merge(spark):
+    rows = [(i, f"http://s.com/de/some-slug-{i}/part") for i in range(60)] + [(100 + i, f"http://s.com/at/other-long-slug-{i}/part") for i in range(60)] + [(200 + i, f"http://s.com/fr/{i:08x}a{i}") for i in range(80)] + [(300, "http://s.com/at/other-long-slug-7/else")]
+    rules = [("block", "s.com", "/de/"), ("block", "s.com", "/at/other-long-slug-1"), ("allow", "s.com", "/fr/")]
+    table = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules=rules)
+    got = {r["page_id"]: r for r in table.collect()}
+    assert got[3]["template"] == "de/{slug}/part" and got[130]["template"] == "at/{slug}/part" and got[210]["template"] == "fr/{hex}"
+    # both branches are blocked where a rule speaks, so they are one pool, which the second one's few labels do not differ from
+    assert 0.8 < got[130]["purity"] < got[3]["purity"] and got[130]["rule"] is None and got[130]["verdict"] == "block" and got[210]["verdict"] == "allow"
+
+
 PAGE = """<html><head><title>No</title><style>p{x}</style></head><body><nav><a href=x>Up</a></nav><div class="cookie-bar">We use cookies on all of our pages here.</div>
 <article><h1>The &amp; title</h1><p>First  paragraph of the\n text, with a <a href=x>link</a> in it and some more words to read.</p><script>var a="<p>no</p>";</script><p>Short.</p></article>
 <section class=comments><p>I like this article a lot and would read it again.</p></section><footer>&copy; us</footer></body>"""
@@ -79,6 +89,21 @@ def test_round_trip(spark, text):
     assert [(t["role"], t["text"]) for t in back["turns"]] == [("user", text), ("assistant", text), ("odd<|x|>\n", "y")] and back["loss_texts"] == [text]
 
 
+def test_more_fields_than_a_mapping_names(spark):
+    rows = records(spark, {"instruction": "a", "input": "i", "output": "b", "text": "whole"}, {"prompt": "p", "messages": [{"role": "user", "content": "a"}]}, {"system": "s", "question": "a", "answer": "b"}, {"unknown": 1}, {"role": "user", "text": "t", "answer": "x"})
+    got = {r["conv_id"]: ([(t["role"], t["text"]) for t in r["turns"]], r["layout"]) for r in chat_format.canonical_turns(rows).collect()}
+    assert got[0][0] == [("user", "a\n\ni"), ("assistant", "b")] and got[1][0] == [("user", "a")] and got[2][0] == [("system", "s"), ("user", "a"), ("assistant", "b")]
+    assert got[3] == ([], None) and got[4] == ([("user", "t")], "role+text")
+    assert {r["conv_id"]: r["unread"] for r in chat_format.format_chats(chat_format.canonical_turns(rows)).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0}
+
+
+def test_clashing_columns_stay(spark):
+    rows = records(spark, {"role": "user", "text": "t"}).selectExpr("*", "1 AS v", "2 AS row", "3 AS has", "4 AS turns")
+    got = chat_format.canonical_turns(rows)
+    assert got.columns == ["conv_id", "turn", "record", "v", "row", "has", "fingerprint", "layout", "turns"]
+    assert tuple(got.select("v", "row", "has").first()) == (1, 2, 3)
+
+
 def test_chat_edges(spark):
     rows = spark.createDataFrame([(1, None, '{"role": null, "text": null}'), (1, 5, '{"role": "user", "text": "b"}'), (1, 5, '{"role": "user", "text": "a"}'), (1, 5, '{"role": "user", "text": "a"}'), (None, 1, '{"role": "user", "text": "n"}'), (2, 1, None)], "conv_id long, turn long, record string")
     got = {r["conv_id"]: [t["text"] for t in r["turns"]] for r in chat_format.read_back(chat_format.format_chats(chat_format.canonical_turns(rows))).collect()}
