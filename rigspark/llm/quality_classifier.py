@@ -100,7 +100,7 @@ class ByteConv:
             parts.append(self.responses(piece, np.zeros(1, np.int64))[: (m - k) * GROUPS].reshape(-1, GROUPS, FILTERS).max(1))
         return np.concatenate(parts)
 
-    def train(self, chunks: np.ndarray, labels: np.ndarray, weights: np.ndarray, *, epochs: int = 8, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> ByteConv:
+    def train(self, chunks: np.ndarray, labels: np.ndarray, weights: np.ndarray, *, epochs: int = 5, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> ByteConv:
         """Adam on the weighted cross-entropy of chunks (rows of two blocks)."""
         rng = np.random.default_rng(seed)
         first, second = {n: 0.0 for n in self.NAMES}, {n: 0.0 for n in self.NAMES}
