@@ -22,9 +22,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .byte_bpe import _sliced, coder
+from . import pretokens
+from .byte_bpe import ByteBpe, _sliced, coder
 
 RUN_TOKENS = 1 << 21
+#: Bytes of text encoded at a time.
+SLICE = 1 << 20
+
+_encoders: dict[int, pretokens.Encoder] = {}
+
+
+def _encoder(bpe: ByteBpe, pattern: str) -> ByteBpe | pretokens.Encoder:
+    """The array encoder for the pattern that it stands for, kept as long as the worker's coder; else the coder."""
+    if pattern != pretokens.PATTERN:
+        return bpe
+    if id(bpe) not in _encoders:
+        _encoders.clear()
+        _encoders[id(bpe)] = pretokens.Encoder(bpe)
+    return _encoders[id(bpe)]
 
 
 class CapacityTree:
@@ -138,11 +153,11 @@ def pack_tokens(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str =
     tail = np.array([] if end is None else [end], "<i4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(raw.value, pattern, by_rounds=True)
+        bpe = _encoder(coder(raw.value, pattern, by_rounds=True), pattern)
         packer = None
         for whole in batches:
             packer = packer or Packer(TaskContext.get().partitionId(), length, pad, whole.column(0).type)
-            for batch in _sliced(whole, 1):
+            for batch in _sliced(whole, 1, SLICE):
                 ids = bpe.encode_all([x or "" for x in batch.column(1).to_pylist()])
                 for doc_id, own in zip(batch.column(0).to_pylist(), ids, strict=True):
                     yield from packer.add(doc_id, np.concatenate([own, tail]))

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from rigspark.llm import byte_bpe, decontamination, ngram_join, packing, quality_classifier, quality_rules, queries
+from rigspark.llm import byte_bpe, decontamination, ngram_join, packing, pretokens, quality_classifier, quality_rules, queries
 
 DATA = "/root/testdata/sf0.001"
 VOCABULARY = queries.vocabulary()
@@ -375,3 +375,23 @@ def test_repeated_labelled_ids_are_one(spark):
     labels = spark.createDataFrame([(1, 1)] * 3 + [(2, 0)] * 3, "doc_id long, quality int")
     rows = quality_classifier.score_quality(docs, quality_classifier.train_quality(docs, labels)).collect()
     assert len(rows) == 100
+
+
+def test_array_encoder_is_the_same(docs):
+    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(open(VOCABULARY, "rb").read()), public_tokenizers.PATTERN)
+    fast = pretokens.Encoder(bpe)
+    assert pretokens.PATTERN == public_tokenizers.PATTERN
+    rng = np.random.default_rng(1)
+    odd = ["".join(rng.choice(list("ab's'td're've'll'm  \n\t1٣é日🙂-!. \x1c\x85rl"), rng.integers(0, 40))) for _ in range(5000)]
+    odd += ["", "a" * 3000, " " * 500, "\'\'s", "can't'd've", "'ll", " 's", "\n's", "a" * 257 + " b", "\n \n x"]
+    for texts in (odd, list(docs.text), odd, [], [""]):
+        assert [x.tolist() for x in fast.encode_all(texts)] == [x.tolist() for x in bpe.encode_all(texts)]
+
+
+def test_full_tables_change_nothing(docs, monkeypatch):
+    monkeypatch.setattr(pretokens, "MOST", 1 << 8)
+    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(open(VOCABULARY, "rb").read()), public_tokenizers.PATTERN)
+    fast = pretokens.Encoder(bpe)
+    for k in range(0, len(docs), 10):
+        texts = list(docs.text[k : k + 10])
+        assert [x.tolist() for x in fast.encode_all(texts)] == [x.tolist() for x in bpe.encode_all(texts)]
