@@ -6,10 +6,10 @@ with the pixels ``u, v`` where they are seen.  Sensor 0, a lidar, is the
 reference.  The residuals of a snapshot depend on the sensors'
 poses and on its own board's pose only, so each snapshot is reduced to its
 share of the sensors' normal equations (the board eliminated by its Schur
-complement) where its points are.  The shares are summed by partition; the
-driver gets one small matrix from each, solves for the sensors, and sends the
-poses out again.  What the driver holds grows with sensors and snapshots, not
-with points.
+complement) where its points are.  Shares are summed by Spark; the driver gets
+one small matrix, solves for the sensors, and sends their poses out again.
+Boards are a table keyed by snapshot, and each round's step of a board is taken
+where its points are.  What the driver holds grows with sensors only.
 """
 
 from __future__ import annotations
@@ -25,16 +25,17 @@ from pyspark.sql import functions as F
 
 from ..functions import poses
 from . import links, scans
-from .cameras import Intrinsics, boards_in_cameras, reprojection_and_jacobian
+from ..storage import Scratch
+from .cameras import Intrinsics, boards_in_cameras, project, reprojection_and_jacobian
 from .residuals import REGULAR_R, REGULAR_T, SIGMA_M, SIGMA_PX
 
 
 @dataclass
 class Solution:
-    """Poses of sensors (rows; sensor 0 is zero) and boards by snapshot, and the sensors' covariance without sensor 0."""
+    """Poses of sensors (rows; sensor 0 is zero), boards ``(snapshot, board array<double>)``, and the sensors' covariance without sensor 0."""
 
     sensors: np.ndarray
-    boards: dict[int, np.ndarray]
+    boards: DataFrame
     covariance: np.ndarray
     rms: float
     iterations: int
@@ -78,31 +79,76 @@ def seed_sensors(pairs: list, sensors: int, least: int = links.LEAST_SHARED) ->
     return np.array([found[k] for k in range(sensors)])
 
 
-def seed_boards(planes: DataFrame, sensors: np.ndarray) -> dict[int, np.ndarray]:
+_BOARD = "snapshot long, board array<double>"
+
+
+def _in_reference(row, pose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normal and place of a sensor's plane in the reference frame."""
+    turn = poses.matrix(pose[:3])
+    return turn @ [row.nx, row.ny, row.nz], turn @ [row.px, row.py, row.pz] + pose[3:]
+
+
+def seed_boards(planes: DataFrame, sensors: np.ndarray) -> DataFrame:
     """Board poses from the first sensor that sees each, without turn about the normal."""
     first = planes.groupBy("snapshot").agg(*(F.min_by(c, "sensor").alias(c) for c in ("px", "py", "pz", "nx", "ny", "nz")), F.min("sensor").alias("sensor"))
-    out = {}
-    for row in first.collect():  # one row for each snapshot
-        pose = sensors[row["sensor"]]
-        turn = poses.matrix(pose[:3])
-        n, p = turn @ [row["nx"], row["ny"], row["nz"]], turn @ [row["px"], row["py"], row["pz"]] + pose[3:]
-        out[row["snapshot"]] = np.concatenate([poses.rodrigues(poses.aligning(n)), p])
-    return out
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for row in part.itertuples():
+                n, p = _in_reference(row, sensors[row.sensor])
+                rows.append((row.snapshot, [*poses.rodrigues(poses.aligning(n)), *p]))
+            yield pd.DataFrame(rows, columns=["snapshot", "board"])
+
+    return first.mapInPandas(run, _BOARD)
+
+
+def boards_by_camera(seen: DataFrame, sensors: np.ndarray) -> DataFrame:
+    """Board poses in the reference frame from the last camera that sees each; ``seen`` is of ``boards_in_cameras``."""
+    last = seen.groupBy("snapshot").agg(*(F.max_by(k + c, "sensor").alias(k + c) for k in "rt" for c in "xyz"), F.max("sensor").alias("sensor"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(r.snapshot, poses.compose(sensors[r.sensor], np.array([r.rx, r.ry, r.rz, r.tx, r.ty, r.tz])).tolist()) for r in part.itertuples()]
+            yield pd.DataFrame(rows, columns=["snapshot", "board"])
+
+    return last.mapInPandas(run, _BOARD)
+
+
+def seed_outliers(planes: DataFrame, sensors: np.ndarray, boards: DataFrame, most: float = 0.5, cos_least: float = 0.984807753012208, centred: bool = True) -> DataFrame:
+    """``(snapshot)`` in which some sensor's plane is away from the board by more than a distance or an angle."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            bad = []
+            for row in part.itertuples():
+                board = np.array(row.board)
+                n, p = _in_reference(row, sensors[row.sensor])
+                normal = poses.matrix(board[:3])[:, 2]
+                off = p - board[3:]
+                if not centred:  # the board's frame begins at a corner
+                    off = (off @ normal) * n
+                if np.linalg.norm(off) > most or abs(n @ normal) < cos_least:
+                    bad.append(row.snapshot)
+            yield pd.DataFrame({"snapshot": bad})
+
+    return planes.join(boards, "snapshot").mapInPandas(run, "snapshot long").distinct()
+
+
+def corner_outliers(corners: DataFrame, sensors: np.ndarray, boards: DataFrame, lenses: Intrinsics, most_px: float = 50.0) -> DataFrame:
+    """``(snapshot)`` in which some corner is seen further than ``most_px`` from where the seed puts it, or lies behind its camera."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            bad = []
+            for row in part.itertuples():
+                board, camera = np.array(row.board), sensors[row.sensor]
+                p = (poses.matrix(board[:3]) @ [row.x, row.y, row.z] + board[3:] - camera[3:]) @ poses.matrix(camera[:3])
+                if p[2] <= 0 or np.linalg.norm(project(p[None], lenses[row.sensor])[0] - [row.u, row.v]) > most_px:
+                    bad.append(row.snapshot)
+            yield pd.DataFrame({"snapshot": bad})
 
-def seed_outliers(planes: DataFrame, sensors: np.ndarray, boards: dict[int, np.ndarray], most: float = 0.5, cos_least: float = 0.984807753012208, centred: bool = True) -> set[int]:
-    """Snapshots in which some sensor's plane is away from the board by more than a distance or an angle."""
-    bad = set()
-    for row in planes.collect():  # one row for each snapshot and sensor
-        pose, board = sensors[row["sensor"]], boards[row["snapshot"]]
-        turn = poses.matrix(pose[:3])
-        n, p = turn @ [row["nx"], row["ny"], row["nz"]], turn @ [row["px"], row["py"], row["pz"]] + pose[3:]
-        off = p - board[3:]
-        if not centred:  # the board's frame begins at a corner
-            off = (off @ poses.matrix(board[:3])[:, 2]) * n
-        if np.linalg.norm(off) > most or abs(n @ poses.matrix(board[:3])[:, 2]) < cos_least:
-            bad.add(row["snapshot"])
-    return bad
+    return corners.join(boards, "snapshot").mapInPandas(run, "snapshot long").distinct()
 
 
 def residuals_and_jacobian(p: np.ndarray, sensor: np.ndarray, board: np.ndarray, by_range: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,19 +176,25 @@ def residuals_and_jacobian(p: np.ndarray, sensor: np.ndarray, board: np.ndarray,
     return error / SIGMA_M, by_sensor / SIGMA_M, by_board / SIGMA_M
 
 
-def _reduced(group: pd.DataFrame, sensors: np.ndarray, board: np.ndarray, lenses: Intrinsics, by_range: bool, damping: float):
-    """A snapshot's reduced normal equations, its cost, and what gives the board's step from the sensors'."""
+def _reduced(seen_by: np.ndarray, points: np.ndarray, sensors: np.ndarray, board: np.ndarray, lenses: Intrinsics, by_range: bool, damping: float):
+    """A snapshot's reduced normal equations, its cost, what gives the board's step from the sensors', and the largest errors in metres and pixels.
+
+    ``points`` has a row ``x, y, z, u, v`` for each of ``seen_by``.
+    """
     width = 6 * len(sensors)
     hss, hsb, gs = np.zeros((width, width)), np.zeros((width, 6)), np.zeros(width)
     weights = np.array([REGULAR_R] * 3 + [REGULAR_T] * 3)
     hbb, gb = np.diag(weights**2), weights**2 * board
     cost = float((weights * board) @ (weights * board))
-    for s, own in group.groupby("sensor"):
-        p = own[["x", "y", "z"]].to_numpy()
+    worst = [0.0, 0.0]
+    for s in np.unique(seen_by).tolist():
+        own = points[seen_by == s]
+        p = own[:, :3]
         if s in lenses:
-            e, a, b = reprojection_and_jacobian(p, own[["u", "v"]].to_numpy(), sensors[s], board, lenses[s], SIGMA_PX)
+            e, a, b = reprojection_and_jacobian(p, own[:, 3:], sensors[s], board, lenses[s], SIGMA_PX)
         else:
             e, a, b = residuals_and_jacobian(p, sensors[s], board, by_range)
+        worst[s in lenses] = max(worst[s in lenses], float(np.abs(e).max()) * (SIGMA_PX if s in lenses else SIGMA_M))
         at = slice(6 * s, 6 * s + 6)
         hss[at, at] += a.T @ a
         hsb[at] += a.T @ b
@@ -153,69 +205,117 @@ def _reduced(group: pd.DataFrame, sensors: np.ndarray, board: np.ndarray, lenses
     hss += damping * np.diag(np.diag(hss))
     hbb += damping * np.diag(np.diag(hbb))
     back = np.linalg.solve(hbb, np.concatenate([gb[:, None], hsb.T], 1))
-    return hss - hsb @ back[:, 1:], gs - hsb @ back[:, 0], cost, back
+    return hss - hsb @ back[:, 1:], gs - hsb @ back[:, 0], cost, back, worst
 
 
-def _step(points: DataFrame, sensors: np.ndarray, boards: dict[int, np.ndarray], lenses: Intrinsics, by_range: bool, damping: float):
-    """Summed normal equations and cost, and the boards' back-substitutions."""
-    sent = points.sparkSession.sparkContext.broadcast((sensors, boards))
-    width = 6 * len(sensors)
+_STEPPED = "snapshot long, board array<double>, back array<double>, sums array<double>, worst_m double, worst_px double"
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [p for p in parts if len(p)]
-        if not held:
-            return
-        poses_, boards_ = sent.value
-        h, g, cost, rows = np.zeros((width, width)), np.zeros(width), 0.0, []
-        for k, group in pd.concat(held).groupby("snapshot"):
-            dh, dg, dc, back = _reduced(group, poses_, boards_[k], lenses, by_range, damping)
-            h, g, cost = h + dh, g + dg, cost + dc
-            rows.append((int(k), back.ravel().tolist(), 0.0))
-        yield pd.DataFrame([(-1, [*h.ravel(), *g], cost), *rows], columns=["snapshot", "numbers", "cost"])
-
-    h, g, cost, backs = np.zeros((width, width)), np.zeros(width), 0.0, {}
-    for row in points.mapInPandas(run, "snapshot long, numbers array<double>, cost double").collect():  # one row for each partition and snapshot
-        numbers = np.array(row["numbers"])
-        if row["snapshot"] < 0:
-            h, g, cost = h + numbers[: width * width].reshape(width, width), g + numbers[width * width :], cost + row["cost"]
-        else:
-            backs[row["snapshot"]] = numbers.reshape(6, width + 1)
-    return h[6:, 6:], g[6:], cost, backs
 
+@dataclass
+class _Step:
+    """Normal equations and cost of all snapshots, their largest errors, and the boards with their back-substitutions."""
 
-def solve(points: DataFrame, sensors: np.ndarray, boards: dict[int, np.ndarray], lenses: Intrinsics | None = None, *, rounds: int = 20, tolerance: float = 1e-8) -> Solution:
-    """Levenberg-Marquardt, first by distances to planes, then by ranges along rays."""
-    held = points.where(F.col("snapshot").isin(list(boards))).repartition("snapshot").persist()
-    damping, iterations, lenses = 1e-6, 0, lenses or {}
-    try:
-        n = held.count()
-        for by_range in (False, True):
-            h, g, cost, backs = _step(held, sensors, boards, lenses, by_range, damping)
-            for _ in range(rounds):
-                iterations += 1
-                move = np.concatenate([np.zeros(6), -np.linalg.solve(h, g)])
-                new_sensors = sensors + move.reshape(-1, 6)
-                new_boards = {k: b - backs[k][:, 0] - backs[k][:, 1:] @ move for k, b in boards.items()}
-                trial = _step(held, new_sensors, new_boards, lenses, by_range, damping)
-                if trial[2] > cost:
-                    damping = max(damping, 1e-9) * 10
-                    if damping > 1e6:
+    h: np.ndarray
+    g: np.ndarray
+    cost: float
+    worst_m: float
+    worst_px: float
+    boards: DataFrame
+
+
+def _by_snapshot(points: DataFrame) -> DataFrame:
+    """A row for each snapshot with its points as arrays; a snapshot is what the rig sees of one board at one time."""
+    columns = ["sensor", "x", "y", "z", *("u", "v")]
+    uv = [F.col(c) if c in points.columns else F.lit(None).cast("double").alias(c) for c in columns]
+    return points.select("snapshot", *uv).groupBy("snapshot").agg(F.collect_list(F.struct(*columns)).alias("p")).select("snapshot", *(F.col(f"p.{c}").alias(c) for c in columns))
+
+
+def _step(data: DataFrame, boards: DataFrame, sensors: np.ndarray, move: np.ndarray | None, lenses: Intrinsics, by_range: bool, damping: float, scratch: Scratch, name: str) -> _Step:
+    """Reduce every snapshot; with ``move``, the sensors' last step, its board first takes its own."""
+    width = 6 * len(sensors)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _STEPPED.split(", ")]
+        sums, worst = np.zeros(width * width + width + 1), [0.0, 0.0]
+        for part in parts:
+            rows = []
+            for row in part.itertuples():
+                board = np.array(row.board)
+                if move is not None:
+                    back = np.array(row.back).reshape(6, width + 1)
+                    board = board - back[:, 0] - back[:, 1:] @ move
+                points = np.stack([np.asarray(getattr(row, c), float) for c in "xyzuv"], 1)
+                h, g, cost, back, far = _reduced(np.asarray(row.sensor), points, sensors, board, lenses, by_range, damping)
+                sums += [*h.ravel(), *g, cost]
+                worst = [max(a, b) for a, b in zip(worst, far, strict=True)]
+                rows.append((row.snapshot, board.tolist(), back.ravel().tolist(), None, None, None))
+            yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame([(None, None, None, sums.tolist(), *worst)], columns=names)
+
+    out = scratch.stored(data.join(boards, "snapshot").mapInPandas(run, _STEPPED), name)
+    shares = out.where("snapshot is null")
+    sums = np.zeros(width * width + width + 1)
+    for row in shares.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # as many rows as the sensors' matrix has numbers
+        sums[row["k"]] = row["x"]
+    far = shares.agg(F.max("worst_m").alias("m"), F.max("worst_px").alias("px")).first()
+    h, g = sums[: width * width].reshape(width, width), sums[width * width : -1]
+    return _Step(h[6:, 6:], g[6:], float(sums[-1]), far["m"] or 0.0, far["px"] or 0.0, out.where("snapshot is not null").select("snapshot", "board", "back"))
+
+
+def solve(points: DataFrame, sensors: np.ndarray, boards: DataFrame, lenses: Intrinsics | None = None, *, rounds: int = 20, tolerance: float = 1e-8, most_m: float = 100.0, most_px: float = 1000.0) -> Solution:
+    """Levenberg-Marquardt, first by distances to planes, then by ranges along rays.
+
+    A seed that leaves an error beyond ``most_m`` or ``most_px`` is refused.
+    Points of snapshots without a board are not used.
+    """
+    data = _by_snapshot(points.join(boards.select("snapshot"), "snapshot", "left_semi")).persist()
+    damping, iterations, lenses, now, turn = 1e-6, 0, lenses or {}, boards.withColumn("back", F.lit(None).cast("array<double>")), 0
+    with Scratch(points.sparkSession) as scratch:
+        try:
+            n = data.agg(F.sum(F.size("x"))).first()[0] or 0
+
+            def step(at: DataFrame, where: np.ndarray, move: np.ndarray | None, by_range: bool, damping: float) -> _Step:
+                nonlocal turn
+                turn += 1
+                scratch.drop(f"step{turn - 3}")  # a step reads the last one, or after a refused trial the one before
+                return _step(data, at, where, move, lenses, by_range, damping, scratch, f"step{turn}")
+
+            for by_range in (False, True):
+                last = step(now, sensors, None, by_range, damping)
+                if last.worst_m > most_m or last.worst_px > most_px:
+                    raise ValueError(f"the seed is off by {last.worst_m:.3g} m and {last.worst_px:.3g} pixels")
+                now = last.boards
+                for _ in range(rounds):
+                    iterations += 1
+                    move = np.concatenate([np.zeros(6), -np.linalg.solve(last.h, last.g)])
+                    moved = sensors + move.reshape(-1, 6)
+                    trial = step(now, moved, move, by_range, damping)
+                    if trial.cost > last.cost:
+                        damping = max(damping, 1e-9) * 10
+                        if damping > 1e6:
+                            break
+                        last = step(now, sensors, None, by_range, damping)
+                        now = last.boards
+                        continue
+                    gain = last.cost - trial.cost
+                    sensors, damping, last, now = moved, damping / 10, trial, trial.boards
+                    if gain <= tolerance * max(last.cost, 1e-12) or last.cost < 1e-16 * n:
                         break
-                    h, g, cost, backs = _step(held, sensors, boards, lenses, by_range, damping)
-                    continue
-                gain = cost - trial[2]
-                sensors, boards, damping = new_sensors, new_boards, damping / 10
-                h, g, cost, backs = trial
-                if gain <= tolerance * max(cost, 1e-12) or cost < 1e-16 * n:
-                    break
-        h = _step(held, sensors, boards, lenses, True, 0.0)[0]
-    finally:
-        held.unpersist()
-    return Solution(sensors, boards, np.linalg.inv(h), float(np.sqrt(cost / n)), iterations)
+            whole = step(now, sensors, None, True, 0.0)
+        finally:
+            data.unpersist()
+    return Solution(sensors, whole.boards.select("snapshot", "board"), np.linalg.inv(whole.h), float(np.sqrt(last.cost / n)), iterations)
 
 
-def calibrate(points: DataFrame, lenses: Intrinsics | None = None) -> Solution:
-    """Seed, rejection of snapshots that do not fit it, and solve; ``lenses`` are the cameras' intrinsics by sensor."""
+def calibrate(points: DataFrame, lenses: Intrinsics | None = None, *, seed: np.ndarray | None = None, exclude: DataFrame | None = None) -> Solution:
+    """Seed, rejection of snapshots that do not fit it, and solve.
+
+    ``lenses`` are the cameras' intrinsics by sensor; ``seed`` gives the
+    sensors' poses if they are known about; ``exclude(snapshot)`` lists
+    snapshots that are not to be used.
+    """
+    if exclude is not None:
+        points = points.join(exclude.select("snapshot"), "snapshot", "left_anti")
     seen_by_camera = F.col("sensor").isin(list(lenses or {}))
     planes = board_planes(points.where(~seen_by_camera) if lenses else points)
     cameras = boards_in_cameras(points.where(seen_by_camera), lenses).persist() if lenses else None
@@ -225,20 +325,44 @@ def calibrate(points: DataFrame, lenses: Intrinsics | None = None) -> Solution:
     try:
         seen = links.selected_snapshots(planes.select("snapshot", "sensor"))
         planes_used = planes.join(seen.select("snapshot"), "snapshot", "left_semi")
-        count = int(planes_used.agg(F.max("sensor")).first()[0]) + 1
-        sensors = seed_sensors(links.pair_sums(planes_used).collect(), count)  # one row for each pair of sensors
+        last = planes_used.agg(F.max("sensor")).first()[0]
+        if last is None:
+            raise ValueError("no snapshot in which two sensors see the board")
+        sensors = np.asarray(seed, float) if seed is not None else seed_sensors(links.pair_sums(planes_used).collect(), int(last) + 1)  # one row for each pair of sensors
         boards = seed_boards(planes_used, sensors)
         if cameras is not None:  # a camera also sees how the board is turned
-            for row in cameras.orderBy("sensor").collect():  # one row for each snapshot and camera
-                if row["snapshot"] in boards:
-                    boards[row["snapshot"]] = poses.compose(sensors[row["sensor"]], np.array([row[k + c] for k in "rt" for c in "xyz"]))
-        for k in seed_outliers(planes_used, sensors, boards, centred=cameras is None):
-            del boards[k]
+            turned = boards_by_camera(cameras, sensors).withColumnRenamed("board", "turned")
+            boards = boards.join(turned, "snapshot", "left").select("snapshot", F.coalesce("turned", "board").alias("board"))
+        boards = boards.persist()
+        bad = seed_outliers(planes_used, sensors, boards, centred=cameras is None)
+        if cameras is not None:
+            bad = bad.union(corner_outliers(points.where(seen_by_camera), sensors, boards, lenses))
+        return solve(points, sensors, boards.join(bad, "snapshot", "left_anti"), lenses)
     finally:
         planes.unpersist()
         if cameras is not None:
             cameras.unpersist()
-    return solve(points, sensors, boards, lenses)
+
+
+def in_vehicle(solution: Solution, vehicle: np.ndarray) -> np.ndarray:
+    """Poses of the sensors in the vehicle's frame; ``vehicle`` takes sensor 0's frame to it."""
+    return np.array([poses.compose(vehicle, pose) for pose in solution.sensors])
+
+
+def seed_from_vehicle(in_vehicle: np.ndarray) -> np.ndarray:
+    """Seed poses in sensor 0's frame from poses in the vehicle's."""
+    back = poses.inverted(in_vehicle[0])
+    return np.array([poses.compose(back, pose) for pose in in_vehicle])
+
+
+def position_stdevs(solution: Solution) -> list[tuple[int, float, float, float, float]]:
+    """``(sensor, x, y, z, worst)``: standard deviations of each sensor's place along the axes and in the worst direction; sensor 0 is fixed."""
+    out = [(0, 0.0, 0.0, 0.0, 0.0)]
+    for s in range(1, len(solution.sensors)):
+        at = 6 * (s - 1) + 3
+        own = solution.covariance[at : at + 3, at : at + 3]
+        out.append((s, *np.sqrt(np.maximum(np.diag(own), 0)).tolist(), float(np.sqrt(max(np.linalg.eigvalsh(own)[-1], 0)))))
+    return out
 
 
 def transform_covariance(solution: Solution, sensor0: int, sensor1: int, at: np.ndarray) -> np.ndarray:
