@@ -208,7 +208,7 @@ def _reduced(seen_by: np.ndarray, points: np.ndarray, sensors: np.ndarray, board
     return hss - hsb @ back[:, 1:], gs - hsb @ back[:, 0], cost, back, worst
 
 
-_STEPPED = "snapshot long, board array<double>, back array<double>, sums array<double>, worst_m double, worst_px double"
+_STEPPED = "snapshot long, board array<double>, back array<double>, sums array<double>"
 
 
 @dataclass
@@ -248,18 +248,18 @@ def _step(data: DataFrame, boards: DataFrame, sensors: np.ndarray, move: np.ndar
                 h, g, cost, back, far = _reduced(np.asarray(row.sensor), points, sensors, board, lenses, by_range, damping)
                 sums += [*h.ravel(), *g, cost]
                 worst = [max(a, b) for a, b in zip(worst, far, strict=True)]
-                rows.append((row.snapshot, board.tolist(), back.ravel().tolist(), None, None, None))
+                rows.append((row.snapshot, board.tolist(), back.ravel().tolist(), None))
             yield pd.DataFrame(rows, columns=names)
-        yield pd.DataFrame([(None, None, None, sums.tolist(), *worst)], columns=names)
+        yield pd.DataFrame([(None, None, None, [*sums, *worst])], columns=names)
 
     out = scratch.stored(data.join(boards, "snapshot").mapInPandas(run, _STEPPED), name)
-    shares = out.where("snapshot is null")
-    sums = np.zeros(width * width + width + 1)
-    for row in shares.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # as many rows as the sensors' matrix has numbers
+    sums, most = np.zeros(width * width + width + 3), np.zeros(2)
+    for row in out.where("snapshot is null").select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"), F.max("x").alias("most")).collect():  # as many rows as the sensors' matrix has numbers
         sums[row["k"]] = row["x"]
-    far = shares.agg(F.max("worst_m").alias("m"), F.max("worst_px").alias("px")).first()
-    h, g = sums[: width * width].reshape(width, width), sums[width * width : -1]
-    return _Step(h[6:, 6:], g[6:], float(sums[-1]), far["m"] or 0.0, far["px"] or 0.0, out.where("snapshot is not null").select("snapshot", "board", "back"))
+        if row["k"] >= len(sums) - 2:
+            most[row["k"] - len(sums) + 2] = row["most"]
+    h, g = sums[: width * width].reshape(width, width), sums[width * width : -3]
+    return _Step(h[6:, 6:], g[6:], float(sums[-3]), float(most[0]), float(most[1]), out.where("snapshot is not null").select("snapshot", "board", "back"))
 
 
 def solve(points: DataFrame, sensors: np.ndarray, boards: DataFrame, lenses: Intrinsics | None = None, *, rounds: int = 20, tolerance: float = 1e-8, most_m: float = 100.0, most_px: float = 1000.0) -> Solution:
@@ -311,7 +311,7 @@ def calibrate(points: DataFrame, lenses: Intrinsics | None = None, *, seed: np.n
     """Seed, rejection of snapshots that do not fit it, and solve.
 
     ``lenses`` are the cameras' intrinsics by sensor; ``seed`` gives the
-    sensors' poses if they are known about; ``exclude(snapshot)`` lists
+    sensors' rough poses in any common frame, if they are known; ``exclude(snapshot)`` lists
     snapshots that are not to be used.
     """
     if exclude is not None:
@@ -328,7 +328,7 @@ def calibrate(points: DataFrame, lenses: Intrinsics | None = None, *, seed: np.n
         last = planes_used.agg(F.max("sensor")).first()[0]
         if last is None:
             raise ValueError("no snapshot in which two sensors see the board")
-        sensors = np.asarray(seed, float) if seed is not None else seed_sensors(links.pair_sums(planes_used).collect(), int(last) + 1)  # one row for each pair of sensors
+        sensors = seed_from_vehicle(np.asarray(seed, float)) if seed is not None else seed_sensors(links.pair_sums(planes_used).collect(), int(last) + 1)  # one row for each pair of sensors
         boards = seed_boards(planes_used, sensors)
         if cameras is not None:  # a camera also sees how the board is turned
             turned = boards_by_camera(cameras, sensors).withColumnRenamed("board", "turned")
@@ -381,7 +381,7 @@ def transform_covariance(solution: Solution, sensor0: int, sensor1: int, at: np.
 def sector_stdevs(points: DataFrame, visible: DataFrame, solution: Solution) -> DataFrame:
     """``(sector, sensor0, sensor1, stdev)`` at query ``points(sector, x, y, z)``, for pairs that both see the sector."""
     rows = visible.join(points, "sector")
-    sent = rows.sparkSession.sparkContext.broadcast(solution)
+    sent = rows.sparkSession.sparkContext.broadcast(Solution(solution.sensors, None, solution.covariance, solution.rms, solution.iterations))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -401,3 +401,36 @@ def with_noise(points: DataFrame, seed: int, sigma: float = SIGMA_M) -> DataFram
 def pose_table(solution: Solution, spark) -> DataFrame:
     rows = [(k, *map(float, p)) for k, p in enumerate(solution.sensors)]
     return spark.createDataFrame(rows, "sensor int, rx double, ry double, rz double, tx double, ty double, tz double")
+
+
+def covariance_table(solution: Solution, spark) -> DataFrame:
+    """``(i, j, value)`` of the covariance."""
+    n = len(solution.covariance)
+    return spark.createDataFrame([(i, j, float(solution.covariance[i, j])) for i in range(n) for j in range(n)], "i int, j int, value double")
+
+
+def solution_of(tables: dict[str, DataFrame]) -> Solution:
+    """A solution from its tables ``poses``, ``boards`` and ``covariance``; the first and last hold a few rows a sensor."""
+    rows = tables["poses"].orderBy("sensor").collect()
+    sensors = np.array([[r[k + c] for k in "rt" for c in "xyz"] for r in rows])
+    covariance = np.zeros((6 * len(rows) - 6,) * 2)
+    for r in tables["covariance"].collect():
+        covariance[r["i"], r["j"]] = r["value"]
+    return Solution(sensors, tables["boards"], covariance, float("nan"), 0)
+
+
+def uncertainty_map(grid: DataFrame, solution: Solution, sensor0: int, sensor1: int) -> DataFrame:
+    """``(i, j, x, y, stdev, ax, ay)``: at places of ``grid(i, j, x, y)``, the standard deviation of the two sensors' agreement in the worst direction, and the half axes of its ellipse in the plane."""
+    sent = grid.sparkSession.sparkContext.broadcast((solution.sensors, solution.covariance))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Solution(sent.value[0], None, sent.value[1], 0.0, 0)
+        for part in parts:
+            rows = []
+            for x, y in zip(part.x, part.y, strict=True):
+                m = transform_covariance(own, sensor0, sensor1, np.array([x, y, 0.0]))
+                flat = np.sqrt(np.maximum(np.linalg.eigvalsh(m[:2, :2]), 0))
+                rows.append((float(np.sqrt(max(np.linalg.eigvalsh(m)[-1], 0))), *flat[::-1].tolist()))
+            yield part[["i", "j", "x", "y"]].assign(stdev=[r[0] for r in rows], ax=[r[1] for r in rows], ay=[r[2] for r in rows])
+
+    return grid.select("i", "j", "x", "y").mapInPandas(run, "i int, j int, x double, y double, stdev double, ax double, ay double")
