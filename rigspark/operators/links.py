@@ -5,7 +5,7 @@ Observations are ``(snapshot, sensor)``, lidars numbered before cameras.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
@@ -42,16 +42,24 @@ def observation_counts(observations: DataFrame, kinds: DataFrame, lidar_least: i
 
 
 def reachable(links: DataFrame, root: int = 0) -> DataFrame:
-    """Sensors that links reach from ``root`` with the fewest steps; the number of rounds is the rig's diameter."""
-    both = links.select(F.col("sensor0").alias("a"), F.col("sensor1").alias("b")).unionAll(links.select(F.col("sensor1").alias("a"), F.col("sensor0").alias("b"))).distinct()
-    return both.sparkSession.sql(
-        """WITH RECURSIVE hop(sensor, steps) AS (
-             SELECT CAST({root} AS INT), 0
-             UNION ALL
-             SELECT DISTINCT e.b, h.steps + 1 FROM hop h JOIN {edges} e ON e.a = h.sensor WHERE h.steps < {sensors})
-           SELECT sensor, min(steps) AS steps FROM hop GROUP BY sensor""",
-        root=root, edges=both.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")), sensors=32,
-    )
+    """``(sensor, steps)``: sensors that links reach from ``root``, with the fewest steps.
+
+    A rig's links are at most one row for each pair of its sensors, so they fit
+    one row, in which each round adds the neighbours of what is reached.  There
+    are as many rounds as sensors: a chain of any length is followed to its end.
+    """
+    ends = F.array(*(F.struct(F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b")) for a, b in (("sensor0", "sensor1"), ("sensor1", "sensor0"))))
+    rig = links.select(F.explode(ends).alias("e")).agg(F.collect_set("e").alias("edges"), F.countDistinct("e.a").alias("sensors"))
+
+    def further(reached: Column, step: Column) -> Column:
+        known = F.transform(reached, lambda r: r["sensor"])
+        out = F.filter("edges", lambda e: F.array_contains(known, e["a"]) & ~F.array_contains(known, e["b"]))
+        new = F.array_distinct(F.transform(out, lambda e: e["b"]))
+        return F.concat(reached, F.transform(new, lambda s: F.struct(s.alias("sensor"), step.cast("int").alias("steps"))))
+
+    start = F.array(F.struct(F.lit(root).cast("int").alias("sensor"), F.lit(0).alias("steps")))
+    rounds = F.sequence(F.lit(1), F.greatest("sensors", F.lit(1)))
+    return rig.select(F.explode(F.aggregate(rounds, start, further)).alias("r")).select("r.sensor", "r.steps")
 
 
 def unreachable(sensors: DataFrame, reached: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
 from . import scans
 from .parameters import SegmentationParameters
 
@@ -221,13 +222,17 @@ def segment_planes(points: DataFrame, par: SegmentationParameters = DEFAULT) ->
     """Boards of every scan: ``(scan, plane, n_points, p, n, rms, points)``; a scan without any has no row.
 
     ``points(scan, ring, point_idx, x, y, z)``.  ``par.per_rotation`` 0 infers
-    the spacing from the scans and takes the commonest for all of them.
+    the spacing from the scans and takes the commonest for all of them.  The
+    straight pieces, a few for each ring, are written once: seeds and growth
+    both read them.
     """
     per_rotation = par.per_rotation
     if not per_rotation:
         summary = scans.scan_summary(points).groupBy("per_rotation").count().orderBy(F.desc("count"), "per_rotation").first()
         per_rotation = int(summary["per_rotation"]) if summary and summary["per_rotation"] else par.points_per_segment
-    found = clusters(scans.stage1_segments(points, per_rotation, par), per_rotation, par)
+    with Scratch(points.sparkSession) as scratch:
+        segments = scratch.stored(scans.stage1_segments(points, per_rotation, par), "segments")
+        found = clusters(segments, per_rotation, par)
 
     def run(cloud: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in _PLANE.split(", ")]

@@ -109,3 +109,11 @@ def test_scales_go_back(spark):
     pose = spark.createDataFrame([(0.1, 0.2, 0.3, 1.0, 2.0, 3.0)], "rx double, ry double, rz double, tx double, ty double, tz double")
     for kind in ("sensor", "board"):
         assert np.allclose(pose.select(*assembly.scaled(kind)).select(*assembly.scaled(kind, back=True)).first(), pose.first())
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    chain = spark.range(60).selectExpr("cast(id as int) AS sensor0", "cast(id + 1 as int) AS sensor1")
+    assert {r["sensor"]: r["steps"] for r in links.reachable(chain).collect()} == {k: k for k in range(61)}
+    shortcut = chain.unionAll(spark.sql("SELECT 0 AS sensor0, 50 AS sensor1"))
+    assert {r["sensor"]: r["steps"] for r in links.reachable(shortcut, 50).collect()}[1] == 2
+    assert [tuple(r) for r in links.reachable(chain.where("sensor0 > 99")).collect()] == [(0, 0)]
