@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from . import url_filter
 from .byte_bpe import bpe_encode
 from .chat_format import canonical_turns, format_chats, read_back
+from .cross_tokenizer import align_tokenizers
 from .decontamination import find_contamination, hit_words
+from .hard_negatives import mine_hard_negatives
 from .html_extract import extract_main_text
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_tokens
@@ -101,5 +103,36 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_chat_format, op4_quality_classifier, op5_token_packing, op6_html_extract, op7_decontamination, op8_url_filter, op9_substring_dedup, op10_quality_rules)}
-ORACLES = {"op3_chat_format": OP3_SQL, "op8_url_filter": url_filter.ORACLE}
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH given AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor, a.label AS own, b.id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM given a JOIN given b ON a.id % 50 = 0 AND a.id <> b.id),
+positives AS (
+  SELECT anchor, own, id AS positive, score FROM scored WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.positive AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.id)::INTEGER AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor = p.anchor AND s.label <> p.own AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_chat_format, op4_quality_classifier, op5_token_packing, op6_html_extract, op7_decontamination, op8_url_filter, op9_substring_dedup, op10_quality_rules, op11_cross_tokenizer, op13_hard_negatives)}
+ORACLES = {"op3_chat_format": OP3_SQL, "op8_url_filter": url_filter.ORACLE, "op13_hard_negatives": OP13_SQL}
