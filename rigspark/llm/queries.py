@@ -15,6 +15,7 @@ from .hard_negatives import mine_hard_negatives
 from .html_extract import extract_main_text
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_tokens
+from .personal_data import KINDS, find_personal_data, span_text
 from .quality_classifier import score_quality, train_quality
 from .quality_rules import quality_rules
 from .spill import sized_batches
@@ -107,6 +108,15 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), added)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -134,5 +144,5 @@ QUALIFY rank <= 3
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_chat_format, op4_quality_classifier, op5_token_packing, op6_html_extract, op7_decontamination, op8_url_filter, op9_substring_dedup, op10_quality_rules, op11_cross_tokenizer, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_chat_format, op4_quality_classifier, op5_token_packing, op6_html_extract, op7_decontamination, op8_url_filter, op9_substring_dedup, op10_quality_rules, op11_cross_tokenizer, op12_personal_data, op13_hard_negatives)}
 ORACLES = {"op3_chat_format": OP3_SQL, "op8_url_filter": url_filter.ORACLE, "op13_hard_negatives": OP13_SQL}
