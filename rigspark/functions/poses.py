@@ -51,18 +51,18 @@ def from_quaternion(x: Column, y: Column, z: Column, w: Column) -> Vec:
     return x * k, y * k, z * k
 
 
-def project_pinhole(p: Vec, fx, fy, cx, cy) -> tuple[Column, Column]:
-    return p[0] / p[2] * fx + cx, p[1] / p[2] * fy + cy
+def quaternion_product(p: tuple[Column, ...], q: tuple[Column, ...]) -> tuple[Column, Column, Column, Column]:
+    """Rotation p after rotation q, both (x, y, z, w)."""
+    (x0, y0, z0, w0), (x1, y1, z1, w1) = p, q
+    return w0 * x1 + x0 * w1 + y0 * z1 - z0 * y1, w0 * y1 - x0 * z1 + y0 * w1 + z0 * x1, w0 * z1 + x0 * y1 - y0 * x1 + z0 * w1, w0 * w1 - x0 * x1 - y0 * y1 - z0 * z1
 
 
-def unproject_pinhole(u: Column, v: Column, fx, fy, cx, cy) -> Vec:
-    return (u - cx) / fx, (v - cy) / fy, F.lit(1.0)
-
-
-def in_view(p: Vec, fx, fy, cx, cy, width, height) -> Column:
-    """In front of the camera and inside the image."""
-    u, v = project_pinhole((p[0], p[1], F.when(p[2] > 0, p[2])), fx, fy, cx, cy)
-    return F.coalesce((u >= 0) & (u <= width - 1) & (v >= 0) & (v <= height - 1), F.lit(False))
+def rotation_to(n: Vec) -> Vec:
+    """The rotation that takes z to the unit vector n, without turn about n."""
+    s = F.sqrt(n[0] * n[0] + n[1] * n[1])
+    angle = F.atan2(s, n[2])
+    k = angle / F.when(s > 1e-12, s)
+    return F.coalesce(-n[1] * k, angle), F.coalesce(n[0] * k, F.lit(0.0)), F.lit(0.0)
 
 
 # NumPy twins for the driver's small dense algebra
@@ -72,6 +72,13 @@ def skew(v: np.ndarray) -> np.ndarray:
     return np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
 
 
+def skews(v: np.ndarray) -> np.ndarray:
+    """``skew`` of each row."""
+    out = np.zeros((len(v), 3, 3))
+    out[:, 0, 1], out[:, 0, 2], out[:, 1, 2] = -v[:, 2], v[:, 1], -v[:, 0]
+    return out - out.transpose(0, 2, 1)
+
+
 def matrix(r: np.ndarray) -> np.ndarray:
     theta = float(np.linalg.norm(r))
     if theta < SMALL:

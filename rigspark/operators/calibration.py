@@ -3,13 +3,8 @@
 ``points(snapshot, sensor, x, y, z)`` are board points in lidar frames; for
 cameras, which come after the lidars, they are corners in the board's frame
 with the pixels ``u, v`` where they are seen.  Sensor 0, a lidar, is the
-reference.  The residuals of a snapshot depend on the sensors'
-poses and on its own board's pose only, so each snapshot is reduced to its
-share of the sensors' normal equations (the board eliminated by its Schur
-complement) where its points are.  Shares are summed by Spark; the driver gets
-one small matrix, solves for the sensors, and sends their poses out again.
-Boards are a table keyed by snapshot, and each round's step of a board is taken
-where its points are.  What the driver holds grows with sensors only.
+reference.  Seeds and the rejection of what does not fit them are expressions
+over tables keyed by snapshot; the solve is that of ``adjustment``.
 """
 
 from __future__ import annotations
@@ -23,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lenses as lens_functions
 from ..functions import poses
-from . import links, scans
+from ..functions import vectors as v
 from ..storage import Scratch
-from .cameras import Intrinsics, boards_in_cameras, project, reprojection_and_jacobian
-from .residuals import REGULAR_R, REGULAR_T, SIGMA_M, SIGMA_PX
+from . import adjustment, links, scans, sectors
+from .cameras import Intrinsics, boards_in_cameras
+from .residuals import SIGMA_M, SIGMA_PX
 
 
 @dataclass
@@ -47,20 +44,15 @@ def board_planes(points: DataFrame) -> DataFrame:
     return scans.fitted_planes(sums).select("snapshot", "sensor", *(F.col("m" + c).alias("p" + c) for c in "xyz"), *("n" + c for c in "xyz"))
 
 
-def aligned(row) -> np.ndarray:
-    """Pose that takes sensor1's frame to sensor0's, from the sums of ``links.pair_sums``."""
-    m = np.array([[row[f"m{i}{j}"] for j in "xyz"] for i in "xyz"])
-    r = poses.procrustes(m)
-    a, b = (np.array([row[s + c] for c in "xyz"]) for s in "ab")
-    return np.concatenate([poses.rodrigues(r), a - r @ b])
-
-
 def seed_sensors(pairs: list, sensors: int, least: int = links.LEAST_SHARED) -> np.ndarray:
-    """Poses along the paths of fewest links from sensor 0, of these the best shared; all must be reached."""
+    """Poses along the paths of fewest links from sensor 0, of these the best shared; all must be reached.
+
+    ``pairs`` are the rows of ``links.alignments``.
+    """
     edges: dict[int, list] = {k: [] for k in range(sensors)}
     for row in pairs:
         if row["n"] >= least:
-            pose = aligned(row)
+            pose = np.array([row[k + c] for k in "rt" for c in "xyz"])
             edges[row["sensor0"]].append((row["sensor1"], row["n"], pose))
             edges[row["sensor1"]].append((row["sensor0"], row["n"], poses.inverted(pose)))
     found, todo = {}, [(0, 0, 0, np.zeros(6))]
@@ -79,269 +71,155 @@ def seed_sensors(pairs: list, sensors: int, least: int = links.LEAST_SHARED) ->
     return np.array([found[k] for k in range(sensors)])
 
 
-_BOARD = "snapshot long, board array<double>"
+def _posed(rows: DataFrame, sensors: np.ndarray) -> DataFrame:
+    """``rows`` with their sensor's pose ``sr?, st?``; a rig's poses are a few rows."""
+    table = rows.sparkSession.createDataFrame([(k, *map(float, p)) for k, p in enumerate(sensors)], "sensor int, " + ", ".join(f"s{k}{c} double" for k in "rt" for c in "xyz"))
+    return rows.join(F.broadcast(table), "sensor")
 
 
-def _in_reference(row, pose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Normal and place of a sensor's plane in the reference frame."""
-    turn = poses.matrix(pose[:3])
-    return turn @ [row.nx, row.ny, row.nz], turn @ [row.px, row.py, row.pz] + pose[3:]
+def _sensor() -> tuple[v.Vec, v.Vec]:
+    return v.vec("sr"), v.vec("st")
 
 
-def seed_boards(planes: DataFrame, sensors: np.ndarray) -> DataFrame:
-    """Board poses from the first sensor that sees each, without turn about the normal."""
-    first = planes.groupBy("snapshot").agg(*(F.min_by(c, "sensor").alias(c) for c in ("px", "py", "pz", "nx", "ny", "nz")), F.min("sensor").alias("sensor"))
+def _boards(r: v.Vec, t: v.Vec, centre: v.Vec) -> list:
+    """Columns of a board: its pose, and its centre in the reference frame."""
+    return [F.array(*r, *t).alias("board"), F.array(*centre).alias("centre")]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for row in part.itertuples():
-                n, p = _in_reference(row, sensors[row.sensor])
-                rows.append((row.snapshot, [*poses.rodrigues(poses.aligning(n)), *p]))
-            yield pd.DataFrame(rows, columns=["snapshot", "board"])
 
-    return first.mapInPandas(run, _BOARD)
+def seed_boards(planes: DataFrame, sensors: np.ndarray) -> DataFrame:
+    """``(snapshot, board, centre)`` from the first sensor that sees each board, without turn about the normal."""
+    first = planes.groupBy("snapshot").agg(*(F.min_by(c, "sensor").alias(c) for c in ("px", "py", "pz", "nx", "ny", "nz")), F.min("sensor").alias("sensor"))
+    at = poses.transform(*_sensor(), v.vec("p"))
+    return _posed(first, sensors).select("snapshot", *_boards(poses.rotation_to(poses.rotate(_sensor()[0], v.vec("n"))), at, at))
 
 
 def boards_by_camera(seen: DataFrame, sensors: np.ndarray) -> DataFrame:
-    """Board poses in the reference frame from the last camera that sees each; ``seen`` is of ``boards_in_cameras``."""
-    last = seen.groupBy("snapshot").agg(*(F.max_by(k + c, "sensor").alias(k + c) for k in "rt" for c in "xyz"), F.max("sensor").alias("sensor"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(r.snapshot, poses.compose(sensors[r.sensor], np.array([r.rx, r.ry, r.rz, r.tx, r.ty, r.tz])).tolist()) for r in part.itertuples()]
-            yield pd.DataFrame(rows, columns=["snapshot", "board"])
-
-    return last.mapInPandas(run, _BOARD)
+    """``(snapshot, board, centre)`` from the first camera that sees each board; ``seen`` is of ``boards_in_cameras``."""
+    first = seen.groupBy("snapshot").agg(*(F.min_by(k + c, "sensor").alias(k + c) for k in "rtp" for c in "xyz"), F.min("sensor").alias("sensor"))
+    # each step is a column, so that the next one does not repeat it
+    rows = _posed(first, sensors).withColumns({"q0": F.array(*poses.quaternion(_sensor()[0])), "q1": F.array(*poses.quaternion(v.vec("r")))})
+    four = lambda name: tuple(F.get(name, F.lit(k)) for k in range(4))
+    rows = rows.withColumn("q", F.array(*poses.quaternion_product(four("q0"), four("q1"))))
+    return rows.select("snapshot", *_boards(poses.from_quaternion(*four("q")), poses.transform(*_sensor(), v.vec("t")), poses.transform(*_sensor(), v.vec("p"))))
 
 
-def seed_outliers(planes: DataFrame, sensors: np.ndarray, boards: DataFrame, most: float = 0.5, cos_least: float = 0.984807753012208, centred: bool = True) -> DataFrame:
-    """``(snapshot)`` in which some sensor's plane is away from the board by more than a distance or an angle."""
+def _board() -> tuple[v.Vec, v.Vec, v.Vec]:
+    at = lambda name, k: tuple(F.get(name, F.lit(k + i)) for i in range(3))
+    return at("board", 0), at("board", 3), at("centre", 0)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            bad = []
-            for row in part.itertuples():
-                board = np.array(row.board)
-                n, p = _in_reference(row, sensors[row.sensor])
-                normal = poses.matrix(board[:3])[:, 2]
-                off = p - board[3:]
-                if not centred:  # the board's frame begins at a corner
-                    off = (off @ normal) * n
-                if np.linalg.norm(off) > most or abs(n @ normal) < cos_least:
-                    bad.append(row.snapshot)
-            yield pd.DataFrame({"snapshot": bad})
 
-    return planes.join(boards, "snapshot").mapInPandas(run, "snapshot long").distinct()
+def seed_outliers(planes: DataFrame, sensors: np.ndarray, boards: DataFrame, most: float = 0.5, cos_least: float = 0.984807753012208) -> DataFrame:
+    """``(snapshot)`` in which some sensor's board has its centre further from the board's than ``most``, or its normal at a wider angle."""
+    r, _, centre = _board()
+    n, normal = poses.rotate(_sensor()[0], v.vec("n")), poses.rotate(r, (F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    off = v.sub(poses.transform(*_sensor(), v.vec("p")), centre)
+    away = (v.dot(off, off) > most * most) | (F.abs(v.dot(n, normal)) < cos_least)
+    return _posed(planes.join(boards, "snapshot"), sensors).where(away).select("snapshot").distinct()
 
 
 def corner_outliers(corners: DataFrame, sensors: np.ndarray, boards: DataFrame, lenses: Intrinsics, most_px: float = 50.0) -> DataFrame:
     """``(snapshot)`` in which some corner is seen further than ``most_px`` from where the seed puts it, or lies behind its camera."""
+    r, t, _ = _board()
+    # each step is a column, so that the next one does not repeat it
+    rows = corners.join(boards, "snapshot").select("snapshot", "sensor", "u", "v", *(c.alias("w" + k) for c, k in zip(poses.transform(r, t, v.vec()), "xyz", strict=True)))
+    rows = _posed(rows, sensors).withColumns({"p" + k: c for c, k in zip(poses.transform(*poses.inverse(*_sensor()), v.vec("w")), "xyz", strict=True)})
+    p = v.vec("p")
+    away = F.lit(False)
+    for s, lens in lenses.items():  # a rig's cameras are few
+        x, y = lens_functions.project((p[0], p[1], F.when(p[2] > 0, p[2])), lens)
+        far = (x - F.col("u")) * (x - F.col("u")) + (y - F.col("v")) * (y - F.col("v")) > most_px * most_px
+        away |= (F.col("sensor") == s) & F.coalesce(far, F.lit(True))
+    return rows.where(away).select("snapshot").distinct()
+
+
+def _enough(planes: DataFrame, boards: DataFrame, sensors: int, lenses: Intrinsics, names: dict[int, str]) -> None:
+    """An error that names the sensors with too few boards left."""
+    kinds = planes.sparkSession.createDataFrame([(k, "camera" if k in lenses else "lidar") for k in range(sensors)], "sensor int, kind string")
+    counts = links.observation_counts(planes.join(boards.select("snapshot"), "snapshot", "left_semi"), kinds)
+    few = [f"{r['kind']} {names.get(r['sensor'], r['sensor'])} has {r['n']}" for r in counts.where(~F.col("enough")).orderBy("sensor").collect()]
+    if few:
+        raise ValueError("too few boards that fit: " + ", ".join(few) + "; a lidar needs 3, a camera 1")
+
+
+def calibrate(points: DataFrame, lenses: Intrinsics | None = None, *, seed: np.ndarray | None = None, exclude: DataFrame | None = None, sensors: int | None = None, names: dict[int, str] | None = None) -> Solution:
+    """Seed, rejection of snapshots that do not fit it, and solve.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            bad = []
-            for row in part.itertuples():
-                board, camera = np.array(row.board), sensors[row.sensor]
-                p = (poses.matrix(board[:3]) @ [row.x, row.y, row.z] + board[3:] - camera[3:]) @ poses.matrix(camera[:3])
-                if p[2] <= 0 or np.linalg.norm(project(p[None], lenses[row.sensor])[0] - [row.u, row.v]) > most_px:
-                    bad.append(row.snapshot)
-            yield pd.DataFrame({"snapshot": bad})
-
-    return corners.join(boards, "snapshot").mapInPandas(run, "snapshot long").distinct()
-
-
-def residuals_and_jacobian(p: np.ndarray, sensor: np.ndarray, board: np.ndarray, by_range: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Errors of points in standard deviations, with derivatives by the sensor's and the board's pose."""
-    n = poses.matrix(board[:3])[:, 2]
-    turned = p @ poses.matrix(sensor[:3]).T
-    js, jb = poses.left_jacobian(sensor[:3]), poses.left_jacobian(board[:3])
-    dn = -poses.skew(n) @ jb
-    dturn = np.cross(n, turned) @ -js  # n . (-[Rp]x J)
-    ahead = n @ (board[3:] - sensor[3:])
-    ahead_board = (board[3:] - sensor[3:]) @ dn
-    size = len(p)
-    if by_range:
-        b = turned @ n
-        span = np.linalg.norm(p, axis=1)
-        k = span / b
-        error = span * (1 - ahead / b)
-        to_b = (k * ahead / b)[:, None]
-        by_sensor = np.concatenate([to_b * dturn, k[:, None] * n], 1)
-        by_board = np.concatenate([-k[:, None] * ahead_board + to_b * (turned @ dn), -k[:, None] * n], 1)
-    else:
-        error = ahead - turned @ n
-        by_sensor = np.concatenate([-dturn, np.tile(-n, (size, 1))], 1)
-        by_board = np.concatenate([ahead_board - turned @ dn, np.tile(n, (size, 1))], 1)
-    return error / SIGMA_M, by_sensor / SIGMA_M, by_board / SIGMA_M
-
-
-def _reduced(seen_by: np.ndarray, points: np.ndarray, sensors: np.ndarray, board: np.ndarray, lenses: Intrinsics, by_range: bool, damping: float):
-    """A snapshot's reduced normal equations, its cost, what gives the board's step from the sensors', and the largest errors in metres and pixels.
-
-    ``points`` has a row ``x, y, z, u, v`` for each of ``seen_by``.
+    ``lenses`` are the cameras' intrinsics by sensor; ``seed`` gives the
+    sensors' rough poses in any common frame, if they are known;
+    ``exclude(snapshot)`` lists snapshots that are not to be used; ``sensors``
+    is the rig's number of sensors, without it that of the highest one seen,
+    and ``names`` is what errors call them.
     """
-    width = 6 * len(sensors)
-    hss, hsb, gs = np.zeros((width, width)), np.zeros((width, 6)), np.zeros(width)
-    weights = np.array([REGULAR_R] * 3 + [REGULAR_T] * 3)
-    hbb, gb = np.diag(weights**2), weights**2 * board
-    cost = float((weights * board) @ (weights * board))
-    worst = [0.0, 0.0]
-    for s in np.unique(seen_by).tolist():
-        own = points[seen_by == s]
-        p = own[:, :3]
-        if s in lenses:
-            e, a, b = reprojection_and_jacobian(p, own[:, 3:], sensors[s], board, lenses[s], SIGMA_PX)
-        else:
-            e, a, b = residuals_and_jacobian(p, sensors[s], board, by_range)
-        worst[s in lenses] = max(worst[s in lenses], float(np.abs(e).max()) * (SIGMA_PX if s in lenses else SIGMA_M))
-        at = slice(6 * s, 6 * s + 6)
-        hss[at, at] += a.T @ a
-        hsb[at] += a.T @ b
-        gs[at] += a.T @ e
-        hbb += b.T @ b
-        gb = gb + b.T @ e
-        cost += float(e @ e)
-    hss += damping * np.diag(np.diag(hss))
-    hbb += damping * np.diag(np.diag(hbb))
-    back = np.linalg.solve(hbb, np.concatenate([gb[:, None], hsb.T], 1))
-    return hss - hsb @ back[:, 1:], gs - hsb @ back[:, 0], cost, back, worst
-
-
-_STEPPED = "snapshot long, board array<double>, back array<double>, sums array<double>"
+    spark, lenses = points.sparkSession, lenses or {}
+    if exclude is not None:
+        points = points.join(exclude.select("snapshot"), "snapshot", "left_anti")
+    seen_by_camera = F.col("sensor").isin(list(lenses))
+    with Scratch(spark) as scratch:
+        planes = board_planes(points.where(~seen_by_camera) if lenses else points)
+        cameras = None
+        if lenses:
+            cameras = scratch.stored(boards_in_cameras(points.where(seen_by_camera), lenses), "cameras")
+            planes = planes.unionByName(cameras.select(planes.columns))
+        planes = scratch.stored(planes, "planes")
+        used = planes.join(links.selected_snapshots(planes.select("snapshot", "sensor")).select("snapshot"), "snapshot", "left_semi")
+        if sensors is None:
+            last = used.agg(F.max("sensor")).first()[0]
+            if last is None:
+                raise ValueError("no snapshot in which two sensors see the board")
+            sensors = int(last) + 1
+        at = seed_from_vehicle(np.asarray(seed, float)) if seed is not None else seed_sensors(links.alignments(links.pair_sums(used)).collect(), sensors)  # one row for each pair of sensors
+        boards = seed_boards(used, at)
+        if cameras is not None:  # a camera also sees how the board is turned
+            turned = boards_by_camera(cameras, at).select("snapshot", F.col("board").alias("b"), F.col("centre").alias("c"))
+            boards = boards.join(turned, "snapshot", "left").select("snapshot", F.coalesce("b", "board").alias("board"), F.coalesce("c", "centre").alias("centre"))
+        boards = scratch.stored(boards, "boards")
+        bad = seed_outliers(used, at, boards)
+        if cameras is not None:
+            bad = bad.union(corner_outliers(points.where(seen_by_camera), at, boards, lenses))
+        boards = scratch.stored(boards.join(bad, "snapshot", "left_anti"), "seeds")
+        _enough(planes, boards, sensors, lenses, names or {})
+        data = scratch.stored(adjustment.gathered(points, boards), "data")
+        solution = _solved(data, at, lenses, scratch)
+        scratch.drop("planes", "cameras", "boards", "seeds", "data")
+    return solution
 
 
-@dataclass
-class _Step:
-    """Normal equations and cost of all snapshots, their largest errors, and the boards with their back-substitutions."""
-
-    h: np.ndarray
-    g: np.ndarray
-    cost: float
-    worst_m: float
-    worst_px: float
-    boards: DataFrame
+def _solved(data: DataFrame, sensors: np.ndarray, lenses: Intrinsics, scratch: Scratch, **limits: float) -> Solution:
+    own = adjustment.adjust(data, {0: sensors}, lenses, **limits)[0]
+    boards = scratch.stored(adjustment.boards_at(data, {0: own.sensors}, lenses, adjustment.Noise()).drop("replay"), "solved")
+    return Solution(own.sensors, boards, np.linalg.inv(own.now.h), float(np.sqrt(own.now.cost / own.now.points)), own.steps)
 
 
-def _by_snapshot(points: DataFrame) -> DataFrame:
-    """A row for each snapshot with its points as arrays; a snapshot is what the rig sees of one board at one time."""
-    columns = ["sensor", "x", "y", "z", *("u", "v")]
-    uv = [F.col(c) if c in points.columns else F.lit(None).cast("double").alias(c) for c in columns]
-    return points.select("snapshot", *uv).groupBy("snapshot").agg(F.collect_list(F.struct(*columns)).alias("p")).select("snapshot", *(F.col(f"p.{c}").alias(c) for c in columns))
+def solve(points: DataFrame, sensors: np.ndarray, boards: DataFrame, lenses: Intrinsics | None = None, **limits: float) -> Solution:
+    """Solve from given poses and ``boards(snapshot, board)``; see ``adjustment.adjust``.  Points of snapshots without a board are not used."""
+    with Scratch(points.sparkSession) as scratch:
+        data = scratch.stored(adjustment.gathered(points, boards), "data")
+        solution = _solved(data, sensors, lenses or {}, scratch, **limits)
+        scratch.drop("data")
+    return solution
 
 
-def _step(data: DataFrame, boards: DataFrame, sensors: np.ndarray, move: np.ndarray | None, lenses: Intrinsics, by_range: bool, damping: float, scratch: Scratch, name: str) -> _Step:
-    """Reduce every snapshot; with ``move``, the sensors' last step, its board first takes its own."""
-    width = 6 * len(sensors)
+def replayed(points: DataFrame, solution: Solution, replays: int, lenses: Intrinsics | None = None, *, seed: int = 0, sigma_m: float = SIGMA_M, sigma_px: float = SIGMA_PX) -> DataFrame:
+    """``(replay, sensor, rx..tz)``: poses solved again from a solution, for replays 1 to ``replays`` each with noise of its own.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _STEPPED.split(", ")]
-        sums, worst = np.zeros(width * width + width + 1), [0.0, 0.0]
-        for part in parts:
-            rows = []
-            for row in part.itertuples():
-                board = np.array(row.board)
-                if move is not None:
-                    back = np.array(row.back).reshape(6, width + 1)
-                    board = board - back[:, 0] - back[:, 1:] @ move
-                points = np.stack([np.asarray(getattr(row, c), float) for c in "xyzuv"], 1)
-                h, g, cost, back, far = _reduced(np.asarray(row.sensor), points, sensors, board, lenses, by_range, damping)
-                sums += [*h.ravel(), *g, cost]
-                worst = [max(a, b) for a, b in zip(worst, far, strict=True)]
-                rows.append((row.snapshot, board.tolist(), back.ravel().tolist(), None))
-            yield pd.DataFrame(rows, columns=names)
-        yield pd.DataFrame([(None, None, None, [*sums, *worst])], columns=names)
-
-    out = scratch.stored(data.join(boards, "snapshot").mapInPandas(run, _STEPPED), name)
-    sums, most = np.zeros(width * width + width + 3), np.zeros(2)
-    for row in out.where("snapshot is null").select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"), F.max("x").alias("most")).collect():  # as many rows as the sensors' matrix has numbers
-        sums[row["k"]] = row["x"]
-        if row["k"] >= len(sums) - 2:
-            most[row["k"] - len(sums) + 2] = row["most"]
-    h, g = sums[: width * width].reshape(width, width), sums[width * width : -3]
-    return _Step(h[6:, 6:], g[6:], float(sums[-3]), float(most[0]), float(most[1]), out.where("snapshot is not null").select("snapshot", "board", "back"))
-
-
-def solve(points: DataFrame, sensors: np.ndarray, boards: DataFrame, lenses: Intrinsics | None = None, *, rounds: int = 20, tolerance: float = 1e-8, most_m: float = 100.0, most_px: float = 1000.0) -> Solution:
-    """Levenberg-Marquardt, first by distances to planes, then by ranges along rays.
-
-    A seed that leaves an error beyond ``most_m`` or ``most_px`` is refused.
-    Points of snapshots without a board are not used.
+    All replays take their steps in the same jobs.  The same ``seed`` gives the
+    same noise, wherever the points lie.
     """
-    data = _by_snapshot(points.join(boards.select("snapshot"), "snapshot", "left_semi")).persist()
-    damping, iterations, lenses, now, turn = 1e-6, 0, lenses or {}, boards.withColumn("back", F.lit(None).cast("array<double>")), 0
-    with Scratch(points.sparkSession) as scratch:
-        try:
-            n = data.agg(F.sum(F.size("x"))).first()[0] or 0
-
-            def step(at: DataFrame, where: np.ndarray, move: np.ndarray | None, by_range: bool, damping: float) -> _Step:
-                nonlocal turn
-                turn += 1
-                scratch.drop(f"step{turn - 3}")  # a step reads the last one, or after a refused trial the one before
-                return _step(data, at, where, move, lenses, by_range, damping, scratch, f"step{turn}")
-
-            for by_range in (False, True):
-                last = step(now, sensors, None, by_range, damping)
-                if last.worst_m > most_m or last.worst_px > most_px:
-                    raise ValueError(f"the seed is off by {last.worst_m:.3g} m and {last.worst_px:.3g} pixels")
-                now = last.boards
-                for _ in range(rounds):
-                    iterations += 1
-                    move = np.concatenate([np.zeros(6), -np.linalg.solve(last.h, last.g)])
-                    moved = sensors + move.reshape(-1, 6)
-                    trial = step(now, moved, move, by_range, damping)
-                    if trial.cost > last.cost:
-                        damping = max(damping, 1e-9) * 10
-                        if damping > 1e6:
-                            break
-                        last = step(now, sensors, None, by_range, damping)
-                        now = last.boards
-                        continue
-                    gain = last.cost - trial.cost
-                    sensors, damping, last, now = moved, damping / 10, trial, trial.boards
-                    if gain <= tolerance * max(last.cost, 1e-12) or last.cost < 1e-16 * n:
-                        break
-            whole = step(now, sensors, None, True, 0.0)
-        finally:
-            data.unpersist()
-    return Solution(sensors, whole.boards.select("snapshot", "board"), np.linalg.inv(whole.h), float(np.sqrt(last.cost / n)), iterations)
-
-
-def calibrate(points: DataFrame, lenses: Intrinsics | None = None, *, seed: np.ndarray | None = None, exclude: DataFrame | None = None) -> Solution:
-    """Seed, rejection of snapshots that do not fit it, and solve.
+    spark = points.sparkSession
+    with Scratch(spark) as scratch:
+        data = scratch.stored(adjustment.gathered(points, solution.boards), "data")
+        found = adjustment.adjust(data, {k: solution.sensors for k in range(1, replays + 1)}, lenses or {}, noise=adjustment.Noise(seed, sigma_m, sigma_px))
+        scratch.drop("data")
+    rows = [(k, s, *map(float, pose)) for k, own in found.items() for s, pose in enumerate(own.sensors)]
+    return spark.createDataFrame(rows, "replay int, sensor int, rx double, ry double, rz double, tx double, ty double, tz double")
 
-    ``lenses`` are the cameras' intrinsics by sensor; ``seed`` gives the
-    sensors' rough poses in any common frame, if they are known; ``exclude(snapshot)`` lists
-    snapshots that are not to be used.
-    """
-    if exclude is not None:
-        points = points.join(exclude.select("snapshot"), "snapshot", "left_anti")
-    seen_by_camera = F.col("sensor").isin(list(lenses or {}))
-    planes = board_planes(points.where(~seen_by_camera) if lenses else points)
-    cameras = boards_in_cameras(points.where(seen_by_camera), lenses).persist() if lenses else None
-    if cameras is not None:
-        planes = planes.unionByName(cameras.select(planes.columns))
-    planes = planes.persist()
-    try:
-        seen = links.selected_snapshots(planes.select("snapshot", "sensor"))
-        planes_used = planes.join(seen.select("snapshot"), "snapshot", "left_semi")
-        last = planes_used.agg(F.max("sensor")).first()[0]
-        if last is None:
-            raise ValueError("no snapshot in which two sensors see the board")
-        sensors = seed_from_vehicle(np.asarray(seed, float)) if seed is not None else seed_sensors(links.pair_sums(planes_used).collect(), int(last) + 1)  # one row for each pair of sensors
-        boards = seed_boards(planes_used, sensors)
-        if cameras is not None:  # a camera also sees how the board is turned
-            turned = boards_by_camera(cameras, sensors).withColumnRenamed("board", "turned")
-            boards = boards.join(turned, "snapshot", "left").select("snapshot", F.coalesce("turned", "board").alias("board"))
-        boards = boards.persist()
-        bad = seed_outliers(planes_used, sensors, boards, centred=cameras is None)
-        if cameras is not None:
-            bad = bad.union(corner_outliers(points.where(seen_by_camera), sensors, boards, lenses))
-        return solve(points, sensors, boards.join(bad, "snapshot", "left_anti"), lenses)
-    finally:
-        planes.unpersist()
-        if cameras is not None:
-            cameras.unpersist()
+
+def replay_covariance(replays: DataFrame) -> DataFrame:
+    """``(i, j, value)``: sample covariance over replays of the poses' numbers, without sensor 0; in the order of ``covariance_table``."""
+    numbers = F.array(*(k + c for k in "rt" for c in "xyz"))
+    state = replays.where("sensor > 0").select("replay", "sensor", F.posexplode(numbers).alias("k", "x")).select("replay", (6 * (F.col("sensor") - 1) + F.col("k")).alias("i"), "x")
+    pairs = state.join(state.select("replay", F.col("i").alias("j"), F.col("x").alias("y")), "replay")
+    return pairs.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("value"))
 
 
 def in_vehicle(solution: Solution, vehicle: np.ndarray) -> np.ndarray:
@@ -365,16 +243,19 @@ def position_stdevs(solution: Solution) -> list[tuple[int, float, float, float,
     return out
 
 
-def transform_covariance(solution: Solution, sensor0: int, sensor1: int, at: np.ndarray) -> np.ndarray:
-    """Covariance of a point of the reference frame, seen by sensor0 and taken over by sensor1's pose."""
-    width = 6 * len(solution.sensors)
-    m = np.zeros((3, width))
+def _sensitivity(solution: Solution, sensor0: int, sensor1: int, at: np.ndarray) -> np.ndarray:
+    """How a point of the reference frame, seen by sensor0 and taken over by sensor1's pose, moves with the sensors' numbers."""
+    m = np.zeros((3, 6 * len(solution.sensors)))
     for s, sign in ((sensor0, -1.0), (sensor1, 1.0)):
         if s:
             pose = solution.sensors[s]
-            local = at - pose[3:]
-            m[:, 6 * s : 6 * s + 6] = sign * np.concatenate([-poses.skew(local) @ poses.left_jacobian(pose[:3]), np.eye(3)], 1)
-    m = m[:, 6:]
+            m[:, 6 * s : 6 * s + 6] = sign * np.concatenate([-poses.skew(at - pose[3:]) @ poses.left_jacobian(pose[:3]), np.eye(3)], 1)
+    return m[:, 6:]
+
+
+def transform_covariance(solution: Solution, sensor0: int, sensor1: int, at: np.ndarray) -> np.ndarray:
+    """Covariance of a point of the reference frame, seen by sensor0 and taken over by sensor1's pose."""
+    m = _sensitivity(solution, sensor0, sensor1, at)
     return m @ solution.covariance @ m.T
 
 
@@ -391,6 +272,38 @@ def sector_stdevs(points: DataFrame, visible: DataFrame, solution: Solution) ->
     return rows.select("sector", "sensor0", "sensor1", "x", "y", "z").mapInPandas(run, "sector int, sensor0 int, sensor1 int, stdev double")
 
 
+def sector_report(points: DataFrame, solution: Solution, sectors_: int, at: float, *, vehicle: np.ndarray | None = None, beyond: float = 1.0, at_least: int = 1, lenses: Intrinsics | None = None, sizes: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+    """``(sector, n_boards, sensors, stdev, sensor0, sensor1)`` around the vehicle.
+
+    ``n_boards`` of the solution lie in the sector, ``sensors`` see it: lidars
+    with ``at_least`` points beyond a distance, cameras whose image, of
+    ``sizes`` pixels, holds both of its edges at distance ``at``.  ``stdev`` is
+    the worst disagreement of two of these in the sector's middle, that of
+    ``sensor0`` and ``sensor1``; 0 and null where no two see it.  ``vehicle``
+    takes sensor 0's frame to the vehicle's, in which sectors are.
+    """
+    spark, lenses = points.sparkSession, lenses or {}
+    vehicle = np.zeros(6) if vehicle is None else np.asarray(vehicle, float)
+    r, t = tuple(F.lit(float(x)) for x in vehicle[:3]), tuple(F.lit(float(x)) for x in vehicle[3:])
+    place = tuple(F.get("board", F.lit(k)) for k in (3, 4, 5))
+    boards = solution.boards.select("snapshot", *(c.alias(k) for c, k in zip(poses.transform(r, t, place), "xyz", strict=True)))
+    counts = sectors.observations_per_sector(boards, sectors_)
+    placed = [poses.compose(vehicle, p) for p in solution.sensors]
+    moved = _posed(points.where(~F.col("sensor").isin(list(lenses))), np.array(placed))
+    cloud = moved.select("sensor", *(c.alias(k) for c, k in zip(poses.transform(*_sensor(), v.vec()), "xyz", strict=True)))
+    visible = sectors.lidar_visibility(cloud, "sensor", sectors_, beyond, at_least).select("sensor", "sector", "visible")
+    if lenses:
+        rows = [(s, *map(float, placed[s]), *map(float, (*lens[:4], *lens_functions.coefficients(lens))), *sizes[s]) for s, lens in lenses.items()]
+        kind = "camera int, " + ", ".join(f"{k}{c} double" for k in "rt" for c in "xyz") + ", " + ", ".join(f"{c} double" for c in sectors.LENS) + ", width int, height int"
+        visible = visible.unionByName(sectors.camera_visibility(spark.createDataFrame(rows, kind), sectors_, at).select(F.col("camera").alias("sensor"), "sector", "visible"))
+    visible = visible.where("visible")
+    seers = visible.groupBy("sector").agg(F.array_sort(F.collect_set("sensor")).alias("sensors"))
+    back = poses.inverse(r, t)
+    middles = sectors.query_points(spark, sectors_, at).select("sector", *(c.alias(k) for c, k in zip(poses.transform(*back, v.vec()), "xyz", strict=True)))
+    worst = sectors.worst_pairs(sector_stdevs(middles, sectors.visible_pairs(visible), solution), sectors_)
+    return counts.select("sector", F.col("n").alias("n_boards")).join(seers, "sector", "left").join(worst, "sector", "left").select("sector", "n_boards", F.coalesce("sensors", F.array().cast("array<int>")).alias("sensors"), "stdev", "sensor0", "sensor1")
+
+
 def with_noise(points: DataFrame, seed: int, sigma: float = SIGMA_M) -> DataFrame:
     """Points moved along their rays by normal noise."""
     size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
@@ -419,18 +332,67 @@ def solution_of(tables: dict[str, DataFrame]) -> Solution:
     return Solution(sensors, tables["boards"], covariance, float("nan"), 0)
 
 
-def uncertainty_map(grid: DataFrame, solution: Solution, sensor0: int, sensor1: int) -> DataFrame:
-    """``(i, j, x, y, stdev, ax, ay)``: at places of ``grid(i, j, x, y)``, the standard deviation of the two sensors' agreement in the worst direction, and the half axes of its ellipse in the plane."""
-    sent = grid.sparkSession.sparkContext.broadcast((solution.sensors, solution.covariance))
+def covariances_at(grid: DataFrame, solution: Solution, sensor0: int, sensor1: int) -> DataFrame:
+    """``grid(..., x, y[, z])`` with the covariance ``cxx, cxy, cxz, cyy, cyz, czz`` of the two sensors' agreement there.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Solution(sent.value[0], None, sent.value[1], 0.0, 0)
-        for part in parts:
-            rows = []
-            for x, y in zip(part.x, part.y, strict=True):
-                m = transform_covariance(own, sensor0, sensor1, np.array([x, y, 0.0]))
-                flat = np.sqrt(np.maximum(np.linalg.eigvalsh(m[:2, :2]), 0))
-                rows.append((float(np.sqrt(max(np.linalg.eigvalsh(m)[-1], 0))), *flat[::-1].tolist()))
-            yield part[["i", "j", "x", "y"]].assign(stdev=[r[0] for r in rows], ax=[r[1] for r in rows], ay=[r[2] for r in rows])
-
-    return grid.select("i", "j", "x", "y").mapInPandas(run, "i int, j int, x double, y double, stdev double, ax double, ay double")
+    The map from the poses' errors to a place is linear in the place, so the
+    six numbers are expressions in it with a fixed number of constants.
+    """
+    z = F.col("z") if "z" in grid.columns else F.lit(0.0)
+    basis = [np.zeros(3), *np.eye(3)]
+    maps = [_sensitivity(solution, sensor0, sensor1, b) for b in basis]
+    parts = [maps[0], *(m - maps[0] for m in maps[1:])]
+    place = [F.lit(1.0), F.col("x"), F.col("y"), z]
+    out = grid
+    for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)):
+        terms = [(float((parts[a] @ solution.covariance @ parts[b].T)[i, j]), a, b) for a in range(4) for b in range(4)]
+        out = out.withColumn(f"c{'xyz'[i]}{'xyz'[j]}", sum((F.lit(c) * place[a] * place[b] for c, a, b in terms[1:]), F.lit(terms[0][0])))
+    return out
+
+
+def ellipsoid_axes(rows: DataFrame, prefix: str = "c") -> DataFrame:
+    """``rows`` of symmetric 3 x 3 matrices ``cxx .. czz`` with ``s1 >= s2 >= s3``, standard deviations along the main axes, and the unit axes ``a1x .. a3z``, a right-handed frame.
+
+    Of equal deviations any axes that fit come out; a zero matrix gives the
+    frame's own axes.
+    """
+    m = [F.col(prefix + k) for k in ("xx", "yy", "zz", "xy", "xz", "yz")]
+    vec = lambda name: tuple(F.get(name, F.lit(k)) for k in range(3))
+    low, middle, high = v.eigenvalues3(*m)
+    rows = rows.withColumns({"_low": low, "_middle": middle, "_high": high})
+    # the outer axis that is better told from the middle one comes first
+    top = F.col("_high") - F.col("_middle") >= F.col("_middle") - F.col("_low")
+    rows = rows.withColumn("_top", top).withColumn("_main", F.array(*v.eigenvector3(*m, F.when(top, F.col("_high")).otherwise(F.col("_low")))))
+    rows = rows.withColumn("_other", F.array(*v.eigenvector3(*m, F.when(F.col("_top"), F.col("_low")).otherwise(F.col("_high")))))
+    scale = F.greatest(F.abs("_high"), F.abs("_low"))
+    rows = rows.withColumn("_main", F.array(*_unit(vec("_main"), 1e-9 * scale * scale, tuple(map(F.lit, (1.0, 0.0, 0.0))))))
+    main, other = vec("_main"), vec("_other")
+    along = v.dot(main, other)
+    x, y, _ = main
+    free = v.cross(main, (F.when(F.abs(x) < 0.6, 1.0).otherwise(0.0), F.when((F.abs(x) >= 0.6) & (F.abs(y) < 0.6), 1.0).otherwise(0.0), F.when((F.abs(x) >= 0.6) & (F.abs(y) >= 0.6), 1.0).otherwise(0.0)))
+    across = v.sub(_unit(other, 1e-9 * scale * scale, free), v.scale(main, F.when(F.sqrt(v.dot(other, other)) > 1e-9 * scale * scale, along / F.sqrt(F.when(v.dot(other, other) > 0, v.dot(other, other)).otherwise(1.0))).otherwise(0.0)))
+    rows = rows.withColumn("_other", F.array(*_unit(across, F.lit(1e-6), free))).withColumn("_other", F.array(*_unit(vec("_other"), F.lit(0.0), vec("_other"))))
+    rows = rows.withColumn("_one", F.when(F.col("_top"), F.col("_main")).otherwise(F.col("_other"))).withColumn("_three", F.when(F.col("_top"), F.col("_other")).otherwise(F.col("_main")))
+    two = v.cross(vec("_three"), vec("_one"))
+    named = {f"s{k}": F.sqrt(F.greatest(F.col(c), F.lit(0.0))) for k, c in ((1, "_high"), (2, "_middle"), (3, "_low"))}
+    named |= {f"a{n}{c}": part for n, axis in ((1, vec("_one")), (2, two), (3, vec("_three"))) for c, part in zip("xyz", axis, strict=True)}
+    return rows.withColumns(named).drop("_low", "_middle", "_high", "_top", "_main", "_other", "_one", "_three")
+
+
+def _unit(a: v.Vec, least, otherwise: v.Vec) -> v.Vec:
+    """``a`` at length 1 if it is longer than ``least``."""
+    size = F.sqrt(v.dot(a, a))
+    return tuple(F.when(size > least, c / F.when(size > least, size)).otherwise(o) for c, o in zip(a, otherwise, strict=True))
+
+
+def ellipsoid_points(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """``rows`` of ``ellipsoid_axes`` with a centre ``x, y, z``, each with the places ``ex, ey, ez`` of its ellipsoid of one standard deviation; ``grid(i, j, x, y, z)`` is a sphere's, of a fixed size."""
+    unit = F.broadcast(grid.select(F.col("i").alias("gi"), F.col("j").alias("gj"), *(F.col(c).alias("u" + c) for c in "xyz")))
+    place = {f"e{c}": F.col(c) + sum((F.col(f"s{n}") * F.col(f"u{u}") * F.col(f"a{n}{c}") for n, u in ((2, "y"), (3, "z"))), F.col("s1") * F.col("ux") * F.col(f"a1{c}")) for c in "xyz"}
+    return rows.crossJoin(unit).withColumns(place)  # the sphere has a fixed number of places
+
+
+def uncertainty_map(grid: DataFrame, solution: Solution, sensor0: int, sensor1: int) -> DataFrame:
+    """``grid(i, j, x, y[, z])`` with the standard deviation ``stdev`` of the two sensors' agreement in its worst direction ``dx, dy, dz``, and the half axes ``ax >= ay >= az`` of its ellipsoid."""
+    found = ellipsoid_axes(covariances_at(grid, solution, sensor0, sensor1))
+    return found.select(*grid.columns, F.col("s1").alias("stdev"), *(F.col("a1" + c).alias("d" + c) for c in "xyz"), F.col("s1").alias("ax"), F.col("s2").alias("ay"), F.col("s3").alias("az"))

@@ -1,8 +1,8 @@
 """Board poses in cameras, from the image positions of the board's corners.
 
 ``corners(snapshot, sensor, x, y, z, u, v)``: a corner in the board's frame
-(z = 0) and where the camera sees it.  Lenses are pinholes, given by sensor as
-(fx, fy, cx, cy).
+(z = 0) and where the camera sees it.  Lenses are given by sensor, as
+``functions.lenses`` has them.
 """
 
 from __future__ import annotations
@@ -12,33 +12,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import poses
+from ..functions.lenses import Lens, projection_jacobian, unproject_points
+from ..functions.lenses import project_points as project
 
-Intrinsics = dict[int, tuple[float, float, float, float]]
+Intrinsics = dict[int, Lens]
 
-_POSE = "snapshot int, sensor int, rx double, ry double, rz double, tx double, ty double, tz double, px double, py double, pz double, nx double, ny double, nz double"
+_POSE = "snapshot long, sensor int, rx double, ry double, rz double, tx double, ty double, tz double, px double, py double, pz double, nx double, ny double, nz double, mx double, my double"
 
 
-def project(p: np.ndarray, lens: tuple[float, float, float, float]) -> np.ndarray:
-    fx, fy, cx, cy = lens
-    return p[:, :2] / p[:, 2:] * [fx, fy] + [cx, cy]
-
-
-def projection_jacobian(p: np.ndarray, lens: tuple[float, float, float, float]) -> np.ndarray:
-    """d(u, v)/dp for points in the camera's frame, (n, 2, 3)."""
-    fx, fy, _, _ = lens
-    x, y, z = p.T
-    zero = np.zeros_like(z)
-    return np.stack([np.stack([fx / z, zero, -fx * x / z**2], 1), np.stack([zero, fy / z, -fy * y / z**2], 1)], 1)
-
-
-def board_pose(flat: np.ndarray, seen: np.ndarray, lens: tuple[float, float, float, float], rounds: int = 15) -> np.ndarray:
-    """Pose of a flat board in the camera's frame: a homography, refined by Gauss-Newton on the reprojection."""
-    fx, fy, cx, cy = lens
-    rays = (seen - [cx, cy]) / [fx, fy]
+def _homography(flat: np.ndarray, rays: np.ndarray) -> np.ndarray:
+    """Pose of a flat board from the rays of its points, without regard to how exact each is."""
     middle, size = flat[:, :2].mean(0), max(float(np.abs(flat[:, :2] - flat[:, :2].mean(0)).max()), 1e-12)
     a = np.concatenate([(flat[:, :2] - middle) / size, np.ones((len(flat), 1))], 1)
     zero = np.zeros_like(a)
-    rows = np.concatenate([np.concatenate([a, zero, -a * rays[:, :1]], 1), np.concatenate([zero, a, -a * rays[:, 1:]], 1)])
+    rows = np.concatenate([np.concatenate([a, zero, -a * rays[:, :1]], 1), np.concatenate([zero, a, -a * rays[:, 1:2]], 1)])
     h = np.linalg.svd(rows)[2][-1].reshape(3, 3)
     h = h @ np.array([[1 / size, 0, -middle[0] / size], [0, 1 / size, -middle[1] / size], [0, 0, 1]])
     h = h * (2 / (np.linalg.norm(h[:, 0]) + np.linalg.norm(h[:, 1])))
@@ -46,43 +33,109 @@ def board_pose(flat: np.ndarray, seen: np.ndarray, lens: tuple[float, float, flo
         h = -h
     u, _, vt = np.linalg.svd(np.stack([h[:, 0], h[:, 1], np.cross(h[:, 0], h[:, 1])], 1))
     r = u @ np.diag([1, 1, np.linalg.det(u @ vt)]) @ vt
-    pose = np.concatenate([poses.rodrigues(r), h[:, 2]])
-    for _ in range(rounds):
-        turned = flat @ poses.matrix(pose[:3]).T
-        p = turned + pose[3:]
+    return np.concatenate([poses.rodrigues(r), h[:, 2]])
+
+
+def _mirrored(pose: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The other pose in which a flat board looks much the same from afar: its normal mirrored at the line of sight."""
+    m = poses.matrix(pose[:3])
+    middle = m @ centre + pose[3:]
+    sight = middle / np.linalg.norm(middle)
+    normal = m[:, 2]
+    other = 2 * (normal @ sight) * sight - normal
+    axis = np.cross(normal, other)
+    size = np.linalg.norm(axis)
+    if size < 1e-9:
+        return pose
+    turn = poses.matrix(axis / size * np.arctan2(size, normal @ other))
+    return np.concatenate([poses.rodrigues(turn @ m), middle - turn @ m @ centre])
+
+
+def _ahead(pose: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The pose turned about its centre, if need be, so that all points are before the camera."""
+    p = flat @ poses.matrix(pose[:3]).T + pose[3:]
+    if p[:, 2].min() > 0:
+        return pose
+    return np.concatenate([pose[:3], pose[3:] - 2 * p.mean(0)]) if p[:, 2].mean() < 0 else np.concatenate([pose[:3], pose[3:] + [0, 0, 2 * abs(p[:, 2].min()) + 1e-3]])
+
+
+def _refined(pose: np.ndarray, flat: np.ndarray, seen: np.ndarray, lens: Lens, rounds: int) -> tuple[float, np.ndarray]:
+    """Mean square error in pixels and pose after damped Gauss-Newton steps."""
+
+    def errors(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        turned = flat @ poses.matrix(at[:3]).T
+        p = turned + at[3:]
         e = (project(p, lens) - seen).ravel()
-        move = np.concatenate([-np.stack([poses.skew(t) for t in turned]) @ poses.left_jacobian(pose[:3]), np.tile(np.eye(3), (len(p), 1, 1))], 2)
-        step = np.linalg.lstsq((projection_jacobian(p, lens) @ move).reshape(-1, 6), e, rcond=None)[0]
-        pose = pose - step
-        if np.abs(step).max() < 1e-12:
+        return turned, e, float(e @ e) if p[:, 2].min() > 0 and np.isfinite(e).all() else np.inf
+
+    damping = 1e-6
+    turned, e, cost = errors(pose)
+    for _ in range(rounds):
+        if not np.isfinite(cost):
+            break
+        move = np.concatenate([-poses.skews(turned) @ poses.left_jacobian(pose[:3]), np.tile(np.eye(3), (len(flat), 1, 1))], 2)
+        j = (projection_jacobian(turned + pose[3:], lens) @ move).reshape(-1, 6)
+        h = j.T @ j
+        step = np.linalg.solve(h + damping * np.diag(np.diag(h)) + 1e-12 * np.eye(6), j.T @ e)
+        new = errors(pose - step)
+        if new[2] > cost:
+            damping *= 10
+            if damping > 1e6:
+                break
+            continue
+        gain, pose, damping = cost - new[2], pose - step, damping / 10
+        turned, e, cost = new
+        if np.abs(step).max() < 1e-12 or gain <= 1e-14 * cost:
             break
-    return pose
+    return cost / len(flat), pose
+
+
+#: Focal lengths, as shares of the lens's, from which a board's pose is sought.
+LADDER = (1.0, 0.7, 1.5)
+#: Steps of a candidate before the best one is chosen.
+COARSE = 8
+
+
+def board_pose(flat: np.ndarray, seen: np.ndarray, lens: Lens, rounds: int = 30) -> np.ndarray | None:
+    """Pose of a flat board in the camera's frame.
+
+    Candidates are the homographies for the lens's focal length and for some
+    others, each with its mirror pose, all before the camera; each is refined
+    on the reprojection, and the one that fits best is taken.  Points whose
+    pixel the lens cannot look back from only take part in the refinement.
+    None if fewer than four can be looked back from, or no pose puts the board
+    before the camera.
+    """
+    rays = unproject_points(seen, lens)[:, :2]
+    good = np.isfinite(rays).all(1)
+    if good.sum() < 4:
+        return None
+    centre = (flat.min(0) + flat.max(0)) / 2
+    best = (np.inf, None)
+    for share in LADDER:
+        first = _homography(flat[good], rays[good] / share)
+        for start in (first, _mirrored(first, centre)):
+            found = _refined(_ahead(start, flat), flat, seen, lens, COARSE)
+            if found[0] < best[0]:
+                best = found
+    if best[1] is None:
+        return None
+    return _refined(best[1], flat, seen, lens, rounds)[1]
 
 
 def boards_in_cameras(corners: DataFrame, lenses: Intrinsics) -> DataFrame:
-    """Board pose, centre and normal (away from the camera) for each snapshot and camera."""
+    """Board pose, centre and normal (away from the camera) for each snapshot and camera that sees it, and ``mx, my``, the centre in the board's frame."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         flat = rows[["x", "y", "z"]].to_numpy()
         pose = board_pose(flat, rows[["u", "v"]].to_numpy(), lenses[int(rows.sensor.iloc[0])])
+        names = [c.split()[0] for c in _POSE.split(", ")]
+        if pose is None:
+            return pd.DataFrame(columns=names)
         m = poses.matrix(pose[:3])
-        centre = m @ ((flat.min(0) + flat.max(0)) / 2) + pose[3:]
+        middle = (flat.min(0) + flat.max(0)) / 2
+        centre = m @ middle + pose[3:]
         n = m[:, 2] if m[:, 2] @ centre > 0 else -m[:, 2]
-        names = [c.split()[0] for c in _POSE.split(", ")]
-        return pd.DataFrame([(rows.snapshot.iloc[0], rows.sensor.iloc[0], *pose, *centre, *n)], columns=names)
+        return pd.DataFrame([(rows.snapshot.iloc[0], rows.sensor.iloc[0], *pose, *centre, *n, *middle[:2])], columns=names)
 
     return corners.groupBy("snapshot", "sensor").applyInPandas(run, _POSE)
-
-
-def reprojection_and_jacobian(flat: np.ndarray, seen: np.ndarray, camera: np.ndarray, board: np.ndarray, lens: tuple[float, float, float, float], sigma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Errors of corners in standard deviations, with derivatives by the camera's and the board's pose."""
-    rb, rc = poses.matrix(board[:3]), poses.matrix(camera[:3])
-    turned = flat @ rb.T
-    d = turned + board[3:] - camera[3:]
-    p = d @ rc
-    slope = projection_jacobian(p, lens) @ rc.T / sigma
-    cross = lambda vs: np.stack([poses.skew(x) for x in vs])
-    by_camera = np.concatenate([slope @ (cross(d) @ poses.left_jacobian(camera[:3])), -slope], 2)
-    by_board = np.concatenate([slope @ (-cross(turned) @ poses.left_jacobian(board[:3])), slope], 2)
-    e = (project(p, lens) - seen) / sigma
-    return e.ravel(), by_camera.reshape(-1, 6), by_board.reshape(-1, 6)

@@ -5,9 +5,12 @@ Observations are ``(snapshot, sensor)``, lidars numbered before cameras.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import poses
 from ..functions import vectors as v
 
 LEAST_SHARED = 3
@@ -66,18 +69,74 @@ def unreachable(sensors: DataFrame, reached: DataFrame) -> DataFrame:
     return sensors.join(reached, "sensor", "left_anti")
 
 
-def pair_translation(planes: DataFrame) -> DataFrame:
-    """Mean of p0 - p1 over the snapshots that both sensors of a pair see; ``planes(snapshot, sensor, x, y, z)``."""
-    a, b = planes.alias("a"), planes.alias("b")
-    both = a.join(b, (F.col("a.snapshot") == F.col("b.snapshot")) & (F.col("a.sensor") < F.col("b.sensor")))
-    d = v.sub(v.vec("a."), v.vec("b."))
-    return both.groupBy(F.col("a.sensor").alias("sensor0"), F.col("b.sensor").alias("sensor1")).agg(F.count("*").alias("n"), *(F.avg(x).alias("t" + c) for x, c in zip(d, "xyz", strict=True)))
-
+def pair_sums(planes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """What aligning a pair needs: sums of n0 n1^T, means of p0 and p1; ``planes(*keys, snapshot, sensor, px..pz, nx..nz)``.
 
-def pair_sums(planes: DataFrame) -> DataFrame:
-    """What aligning a pair needs: sums of n0 n1^T, p0 and p1; ``planes(snapshot, sensor, px..pz, nx..nz)``."""
+    ``keys`` tell rigs apart; a snapshot's sensors are paired, at most a few
+    dozen of them, and sums are taken map-side.
+    """
     a, b = planes.alias("a"), planes.alias("b")
-    both = a.join(b, (F.col("a.snapshot") == F.col("b.snapshot")) & (F.col("a.sensor") < F.col("b.sensor")))
+    same = F.col("a.sensor") < F.col("b.sensor")
+    for k in (*keys, "snapshot"):
+        same &= F.col(f"a.{k}") == F.col(f"b.{k}")
     outer = [F.sum(F.col(f"a.n{i}") * F.col(f"b.n{j}")).alias(f"m{i}{j}") for i in "xyz" for j in "xyz"]
     means = [F.avg(F.col(f"{s}.p{c}")).alias(f"{s}{c}") for s in "ab" for c in "xyz"]
-    return both.groupBy(F.col("a.sensor").alias("sensor0"), F.col("b.sensor").alias("sensor1")).agg(F.count("*").alias("n"), *outer, *means)
+    return a.join(b, same).groupBy(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.sensor").alias("sensor0"), F.col("b.sensor").alias("sensor1")).agg(F.count("*").alias("n"), *outer, *means)
+
+
+#: Squarings of a matrix: its power then has 2^40 factors.
+SQUARINGS = 40
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _length(x: Column) -> Column:
+    return F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e))
+
+
+def _scaled(x: Column) -> Column:
+    return _bound(x, lambda y: _bound(_length(y), lambda size: F.transform(y, lambda e: e / F.when(size > 0, size).otherwise(F.lit(1.0)))))
+
+
+def with_leading_vector(rows: DataFrame, m: list[Column], name: str) -> DataFrame:
+    """``rows`` with a unit eigenvector to the largest eigenvalue of a symmetric 4 x 4 matrix, whose 16 numbers are ``m``.
+
+    The matrix, moved so that no eigenvalue is negative, is squared again and
+    again in a fold until only the leading one is left.  Each step is a column,
+    so that the next one does not repeat it.
+    """
+    at = lambda x, i, j: F.get(x, F.lit(4 * i + j))
+
+    def squared(x: Column, _: Column) -> Column:
+        return _scaled(F.array(*(sum((at(x, i, k) * at(x, k, j) for k in range(1, 4)), at(x, i, 0) * at(x, 0, j)) for i in range(4) for j in range(4))))
+
+    rows = rows.withColumn(name, F.array(*m)).withColumn("_size", _length(F.col(name)))
+    rows = rows.withColumn(name, F.transform(name, lambda e, k: F.when(k % 5 == 0, e + F.col("_size")).otherwise(e)))
+    rows = rows.withColumn(name, F.aggregate(F.sequence(F.lit(1), F.lit(SQUARINGS)), _scaled(F.col(name)), squared))
+    rows = rows.withColumn("_diagonal", F.array(*(at(F.col(name), i, i) for i in range(4))))
+    rows = rows.withColumn("_place", (F.array_position("_diagonal", F.array_max("_diagonal")) - 1).cast("int"))
+    column = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(F.col(name), 4 * i + F.col("_place")))
+    return rows.withColumn(name, column).withColumn(name, _scaled(F.col(name))).drop("_size", "_diagonal", "_place")
+
+
+def alignments(sums: DataFrame) -> DataFrame:
+    """``sums`` of ``pair_sums`` as ``(keys..., sensor0, sensor1, n, rx..rz, tx..tz)``: the pose that takes sensor1's frame to sensor0's.
+
+    By Horn's method: the best rotation is the quaternion that a symmetric
+    4 x 4 matrix of the sums has as leading eigenvector, and t = mean(p0 - R p1).
+    """
+    m = lambda i, j: F.col(f"m{j}{i}")  # noqa: E731  sensor1 is turned to sensor0
+    x, y, z = "xyz"
+    a, b, c = m(y, z) - m(z, y), m(z, x) - m(x, z), m(x, y) - m(y, x)
+    d, e, f = m(x, y) + m(y, x), m(z, x) + m(x, z), m(y, z) + m(z, y)
+    xx, yy, zz = m(x, x), m(y, y), m(z, z)
+    rows = [xx + yy + zz, a, b, c, a, xx - yy - zz, d, e, b, d, yy - xx - zz, f, c, e, f, zz - xx - yy]
+    kept = [k for k in sums.columns if not (len(k) == 3 and k[0] == "m") and not (len(k) == 2 and k[0] in "ab" and k[1] in "xyz")]
+    with_q = with_leading_vector(sums, rows, "q")
+    w, qx, qy, qz = (F.get("q", F.lit(k)) for k in range(4))
+    turned = with_q.select(*kept, *(f"{s}{k}" for s in "ab" for k in "xyz"), *(r.alias("r" + k) for r, k in zip(poses.from_quaternion(qx, qy, qz, w), "xyz", strict=True)))
+    t = v.sub(v.vec("a"), poses.rotate(v.vec("r"), v.vec("b")))
+    return turned.select(*kept, "rx", "ry", "rz", *(x.alias("t" + k) for x, k in zip(t, "xyz", strict=True)))

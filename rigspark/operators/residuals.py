@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import poses
+from ..functions import lenses, poses
 from ..functions import vectors as v
 
 SIGMA_M, SIGMA_PX = 0.03, 0.15
@@ -49,12 +49,13 @@ def camera_residuals(rows: DataFrame) -> DataFrame:
     """``rows`` with ``eu``, ``ev`` in standard deviations.
 
     ``rows(x, y, z)`` are board corners, with poses ``cr?, ct?`` of the camera
-    and ``br?, bt?`` of the board, intrinsics ``fx, fy, cx, cy`` and observed
-    ``u, v``.
+    and ``br?, bt?`` of the board, intrinsics ``fx, fy, cx, cy``, those of the
+    distortion's coefficients that are columns, and observed ``u, v``.
     """
     in_reference = poses.transform(v.vec("br"), v.vec("bt"), v.vec())
     r, t = poses.inverse(v.vec("cr"), v.vec("ct"))
-    u, w = poses.project_pinhole(poses.transform(r, t, in_reference), *map(F.col, ("fx", "fy", "cx", "cy")))
+    names = ("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3", "k4", "k5", "k6", "s1", "s2", "s3", "s4")
+    u, w = lenses.project(poses.transform(r, t, in_reference), [F.col(n) if n in rows.columns else 0.0 for n in names])
     return rows.withColumns({"eu": (u - F.col("u")) / SIGMA_PX, "ev": (w - F.col("v")) / SIGMA_PX})
 
 

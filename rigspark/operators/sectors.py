@@ -7,9 +7,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import poses
+from ..functions import lenses, poses
 from ..functions import vectors as v
 
+#: Columns of a lens; the coefficients of a distortion may be missing.
+LENS = ("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3", "k4", "k5", "k6", "s1", "s2", "s3", "s4")
+
 
 def sector_frame(spark: SparkSession, sectors: int) -> DataFrame:
     return spark.range(sectors).select(F.col("id").cast("int").alias("sector"))
@@ -51,7 +54,8 @@ def camera_visibility(cameras: DataFrame, sectors: int, at: float) -> DataFrame:
     edge = (at * F.cos(yaw), at * F.sin(yaw), F.lit(0.0))
     r, t = poses.inverse(v.vec("r"), v.vec("t"))
     rows = cameras.crossJoin(F.broadcast(sector_frame(cameras.sparkSession, sectors)))  # a fixed number of sectors
-    seen = rows.select("camera", "sector", poses.in_view(poses.transform(r, t, edge), *map(F.col, ("fx", "fy", "cx", "cy", "width", "height"))).alias("edge"))
+    rows = rows.withColumns({"_" + c: x for c, x in zip("xyz", poses.transform(r, t, edge), strict=True)})
+    seen = rows.select("camera", "sector", lenses.in_view(v.vec("_"), [F.col(n) if n in cameras.columns else 0.0 for n in LENS], F.col("width"), F.col("height")).alias("edge"))
     after = seen.select("camera", ((F.col("sector") + sectors - 1) % sectors).alias("sector"), F.col("edge").alias("next"))
     return seen.join(after, ["camera", "sector"]).select("camera", "sector", (F.col("edge") & F.col("next")).alias("visible"))
 

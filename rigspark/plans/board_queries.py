@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calibration, sectors, segmentation
+from ..operators import calibration, segmentation
 from ..operators.parameters import SegmentationParameters
+from ..sources import fixtures as fx
 from ..sources import synthetic
 from .catalogue import query
 
@@ -26,32 +27,28 @@ def rig_points(spark: SparkSession, **options) -> DataFrame:
 
 @query("calibrate")
 def calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration.pose_table(calibration.calibrate(rig_points(spark, sigma=0.01)), spark)
+    """Poses of a rig that saw a board for each vector."""
+    return calibration.pose_table(calibration.calibrate(fx.rig_points(spark, sf_dir), sensors=len(fx.LIDARS)), spark)
 
 
 @query("sector_uncertainty")
 def sector_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    solution = calibration.calibrate(rig_points(spark, sigma=0.01))
-    frame = sectors.sector_frame(spark, 36)
-    pairs = frame.select("sector", F.explode(F.array(F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(2).alias("b")), F.struct(F.lit(1).alias("a"), F.lit(2).alias("b")))).alias("p")).select("sector", F.col("p.a").alias("sensor0"), F.col("p.b").alias("sensor1"))
-    stdevs = calibration.sector_stdevs(sectors.query_points(spark, 36, 10.0), pairs, solution)
-    return sectors.worst_pairs(stdevs, 36)
+    """By direction: boards seen, the lidars that see it, the worst pair of these and its deviation."""
+    points = fx.rig_points(spark, sf_dir)
+    return calibration.sector_report(points, calibration.calibrate(points, sensors=len(fx.LIDARS)), 36, 10.0)
 
 
 @query("calibrate_cameras")
 def calibrate_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = synthetic.camera_rig(sigma_px=0.1)
-    table = spark.createDataFrame(rows, "snapshot int, sensor int, x double, y double, z double, u double, v double")
-    return calibration.pose_table(calibration.calibrate(table, synthetic.LENSES), spark)
+    """Poses of two lidars and two cameras, one with a distorting lens."""
+    return calibration.pose_table(calibration.calibrate(fx.mixed_rig(spark, sf_dir), fx.LENSES, sensors=len(fx.MIXED)), spark)
 
 
 @query("replay_monte_carlo")
 def replay_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Poses of a solve and of replays of it with fresh noise."""
-    points = rig_points(spark, snapshots=8, points=20)
-    first = calibration.calibrate(points)
-    out = calibration.pose_table(first, spark).withColumn("replay", F.lit(0))
-    for k in (1, 2):
-        again = calibration.solve(calibration.with_noise(points, k, 0.01), first.sensors, first.boards)
-        out = out.unionAll(calibration.pose_table(again, spark).withColumn("replay", F.lit(k)))
-    return out
+    """Standard deviations of the poses' numbers over 20 replays with fresh noise, beside those of the solve."""
+    points = fx.rig_points(spark, sf_dir)
+    first = calibration.calibrate(points, sensors=len(fx.LIDARS))
+    sampled = calibration.replay_covariance(calibration.replayed(points, first, 20, sigma_m=0.01)).where("i = j")
+    told = calibration.covariance_table(first, spark).where("i = j").select("i", F.sqrt("value").alias("solve_stdev"))
+    return sampled.select("i", F.sqrt("value").alias("replay_stdev")).join(told, "i")

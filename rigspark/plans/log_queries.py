@@ -142,10 +142,21 @@ def reachable_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.reachable(links.pruned(links.co_observations(fx.observations(spark, sf_dir)), 26))
 
 
-@query("pair_translation_mean", f"WITH {fx.POINTS_SQL}, seen AS (SELECT scan AS sensor, point_idx % 37 AS snapshot, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM points GROUP BY ALL) SELECT a.sensor AS sensor0, b.sensor AS sensor1, count(*) AS n, round(avg(a.x - b.x), 6) AS tx, round(avg(a.y - b.y), 6) AS ty, round(avg(a.z - b.z), 6) AS tz FROM seen a JOIN seen b ON a.snapshot = b.snapshot AND a.sensor < b.sensor GROUP BY ALL")
-def pair_translation_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = fx.points(spark, sf_dir).groupBy(F.col("scan").alias("sensor"), (F.col("point_idx") % 37).alias("snapshot")).agg(*(F.avg(c).alias(c) for c in "xyz"))
-    return links.pair_translation(seen).select("sensor0", "sensor1", "n", *(F.round("t" + c, 6).alias("t" + c) for c in "xyz"))
+@query("rig_alignments", f"""WITH {fx.POINTS_SQL}, planes AS (SELECT scan AS rig, point_idx AS snapshot, ring AS sensor, x, y, z FROM points WHERE ring < 3)
+SELECT rig, 0 AS sensor0, k AS sensor1, count(*) AS n, 0.0::DOUBLE AS rx, 0.0::DOUBLE AS ry, round(k * {PI} / 6, 5) AS rz, round(1.5::DOUBLE * k, 4) AS tx, round(-0.5::DOUBLE, 4) AS ty, round(2.0::DOUBLE, 4) AS tz
+FROM planes, range(1, 3) r(k) WHERE sensor = 0 GROUP BY ALL""")
+def rig_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rig for each scan: sensor k sees what sensor 0 sees, from a frame turned by k times 30 degrees about z and shifted."""
+    p = fx.points(spark, sf_dir).where("ring IN (0, 1)")
+    own = p.groupBy(F.col("scan").alias("rig"), F.col("point_idx").alias("snapshot")).pivot("ring", [0, 1]).agg(F.struct(F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z")).alias("p"))
+    size = F.sqrt(F.col("`1`.x") * F.col("`1`.x") + F.col("`1`.y") * F.col("`1`.y") + F.col("`1`.z") * F.col("`1`.z"))
+    first = own.select("rig", "snapshot", *(F.col(f"`0`.{c}").alias("p" + c) for c in "xyz"), *((F.col(f"`1`.{c}") / size).alias("n" + c) for c in "xyz"))
+    seen = first.select("rig", "snapshot", F.lit(0).alias("sensor"), *(a + c for a in "pn" for c in "xyz"))
+    for k, (c, s) in ((1, (math.sqrt(3) / 2, 0.5)), (2, (0.5, math.sqrt(3) / 2))):
+        x, y, z = F.col("px") - 1.5 * k, F.col("py") + 0.5, F.col("pz") - 2
+        seen = seen.unionByName(first.select("rig", "snapshot", F.lit(k).alias("sensor"), (c * x + s * y).alias("px"), (c * y - s * x).alias("py"), z.alias("pz"), (c * F.col("nx") + s * F.col("ny")).alias("nx"), (c * F.col("ny") - s * F.col("nx")).alias("ny"), "nz"))
+    found = links.alignments(links.pair_sums(seen, ("rig",))).where("sensor0 = 0")
+    return found.select("rig", "sensor0", "sensor1", "n", *((F.round(k, 5) + 0.0).alias(k) for k in ("rx", "ry", "rz")), *(F.round(k, 4).alias(k) for k in ("tx", "ty", "tz")))
 
 
 _YAW = "least(floor((CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * {pi} ELSE atan2(y, x) END) / (2 * {pi} / 36)), 35)::INT".format(pi=PI)
