@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import NOT_ALNUM, slices, text_buffers
+from .words import NOT_ALNUM, U64, mix, slices, text_buffers
 
 SHARD_WORDS = 1 << 20
 BLOCK_BYTES = 8 << 20
@@ -118,6 +118,37 @@ def _numbered(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return names, words, ends - counts
 
 
+class Matches:
+    """How long words agree from two places on, by halving over hashes of runs: a match's length costs its logarithm."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        n = len(words)
+        up, down = np.full(n + 1, _RUN_BASE, np.uint64), np.full(n + 1, _RUN_BACK, np.uint64)
+        up[0] = down[0] = 1
+        with np.errstate(over="ignore"):
+            np.cumprod(up, out=up)
+            self.down = np.cumprod(down)
+            self.sums = np.r_[U64(0), np.cumsum(mix(words.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) * up[:n])]
+        stops = np.where(words <= 1, np.arange(n), n)  # breaks and unknown words agree with nothing
+        self.room = np.minimum.accumulate(stops[::-1])[::-1] - np.arange(n)
+
+    def _hash(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[at + size] - self.sums[at]) * self.down[at]
+
+    def length(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(a), np.int64), np.minimum(self.room[a], self.room[b])
+        while (open_ := low < high).any():
+            middle = (low + high + 1) // 2
+            same = self._hash(a, middle) == self._hash(b, middle)
+            low, high = np.where(open_ & same, middle, low), np.where(open_ & ~same, middle - 1, high)
+        return low
+
+
+_RUN_BASE = 0xD1342543DE82EF95
+_RUN_BACK = pow(_RUN_BASE, -1, 1 << 64)
+
+
 @dataclass
 class Found:
     """What a shard's document has of the benchmark: hit word ranges, names of items, and its longest match.
@@ -145,8 +176,8 @@ class Shard:
         spots = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
         return np.where(self.names[spots] == hashes, spots + 1, -1)
 
-    def search(self, block: Block) -> dict[int, Found]:
-        """The documents, by number, in which windows of the block occur."""
+    def search(self, block: Block, longest: bool = True) -> dict[int, Found]:
+        """The documents, by number, in which windows of the block occur; without ``longest``, their longest matches are left out."""
         numbers = self.numbered(block.hashes)
         starts, lengths = block.windows(self.width)
         lacking = np.r_[0, np.cumsum(numbers < 0)]
@@ -173,7 +204,7 @@ class Shard:
         docs = np.searchsorted(self.firsts, at, "right") - 1
         parts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1], True])
         held = np.unique(item_of[sizes[of] > 0])
-        longest = self._longest(block, numbers, held, docs, at)
+        best = self._longest(block, numbers, held, docs, at) if longest else {}
         out = {}
         for a, b in zip(parts[:-1], parts[1:], strict=True):
             doc = int(docs[a])
@@ -181,7 +212,7 @@ class Shard:
             end = np.maximum.accumulate(begin + lengths[which[a:b]])
             new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
             names = {block.names[i] for w in np.unique(which[a:b]) for i in np.unique(owners[cuts[w] : cuts[w + 1]])}
-            out[doc] = Found(np.stack([begin[new], end[np.r_[new[1:], len(end)] - 1]]), names, longest[doc])
+            out[doc] = Found(np.stack([begin[new], end[np.r_[new[1:], len(end)] - 1]]), names, best.get(doc))
         return out
 
     def _longest(self, block: Block, numbers: np.ndarray, held: np.ndarray, docs: np.ndarray, at: np.ndarray) -> dict[int, tuple[int, int, str, int]]:
@@ -207,15 +238,11 @@ class Shard:
         spot[order] = places
         mine = firsts[np.searchsorted(hit, docs)] + at - self.firsts[docs]
         best, partner = np.zeros(len(mine), np.int64), np.zeros(len(mine), np.int64)
+        matches = Matches(words)
         for near in (before[spot[mine]], behind[spot[mine]]):
             real = (near >= 0) & (near < len(order))
             other = order[np.where(real, near, 0)]
-            size = np.zeros(len(mine), np.int64)
-            going = np.flatnonzero(real)
-            while len(going):
-                x = words[mine[going] + size[going]]
-                going = going[(x > 1) & (x == words[other[going] + size[going]])]
-                size[going] += 1
+            size = np.where(real, matches.length(mine, other), 0)
             better = size > best
             best, partner = np.where(better, size, best), np.where(better, other, partner)
         out = {}
@@ -235,16 +262,16 @@ def _joined(a: Found | None, b: Found) -> Found:
     o = np.argsort(begin, kind="stable")
     begin, end = begin[o], np.maximum.accumulate(end[o])
     new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
-    return Found(np.stack([begin[new], end[np.r_[new[1:], len(end)] - 1]]), a.items | b.items, max(a.longest, b.longest, key=lambda m: (m[0], -m[1])))
+    return Found(np.stack([begin[new], end[np.r_[new[1:], len(end)] - 1]]), a.items | b.items, max((m for m in (a.longest, b.longest) if m), key=lambda m: (m[0], -m[1]), default=None))
 
 
-def search_blocks(hashes: np.ndarray, counts: np.ndarray, blocks: Iterator[Block], width: int) -> dict[int, Found]:
+def search_blocks(hashes: np.ndarray, counts: np.ndarray, blocks: Iterator[Block], width: int, *, longest: bool = True) -> dict[int, Found]:
     """Findings by document of one shard; its suffix array is made once for all blocks."""
     out: dict[int, Found] = {}
     if len(hashes):
         shard = Shard(hashes, counts, width)
         for block in blocks:
-            for doc, found in shard.search(block).items():
+            for doc, found in shard.search(block, longest).items():
                 out[doc] = _joined(out.get(doc), found)
     return out
 
@@ -349,7 +376,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for own, hashes, counts in _shards(batches, at):
                 kept = np.ones(len(counts), bool)
-                kept[list(search_blocks(hashes, counts, (b.value for b in sent), width))] = False
+                kept[list(search_blocks(hashes, counts, (b.value for b in sent), width, longest=False))] = False
                 first = 0
                 for part in own:
                     yield part.filter(pa.array(kept[first : first + len(part)]))

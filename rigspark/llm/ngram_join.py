@@ -507,23 +507,51 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with their own size and the id's component.  A null id is kept, with size
     from its text and a null component.  Ids are cast to long; others than
     numbers are an error.  Texts of any length are read whole; an empty table
-    gives an empty one.  Other columns are ignored.
+    gives an empty one.  Other columns are ignored.  Different texts of one id
+    are compared each by itself, and what any of them reaches is the id's.
     """
     num, den = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        found = _set_table(rows, n, num, den, bucket_bytes, step_bits, scratch)
-        reps = scratch.stored(found.where("tokens is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("minima").alias("minima")), "reps")
-        sets = found.where("tokens is not null").select(F.col("doc_id").alias("rep"), "n", "tokens")
-        classes = _classes(reps, sets, num, den, block, scratch)
-        named = reps.select("d1", "d2", "n", "rep").join(classes, "rep", "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("component", "rep").alias("c"))
-        out = found.select("doc_id", "n", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en")), "left")
-        out = scratch.stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id")), "components")
-        scratch.drop("sets", "reps", "labels", "ends", "star", "large", "sized", "blocks", "known", "delegates", "rest", "left", "right", "across")
+        texts = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+        if texts.where("a <> b").isEmpty():
+            out = _joined_rows(rows, n, num, den, block, bucket_bytes, step_bits, scratch)
+        else:
+            keyed = rows.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+            found = _joined_rows(keyed.select(F.col("key").alias("doc_id"), "text"), n, num, den, block, bucket_bytes, step_bits, scratch)
+            out = _by_id(keyed.select("doc_id", "key"), found, scratch)
     lost = rows.where("doc_id is null").mapInArrow(_sizes_only(n), "doc_id long, n_shingles long, component_id long")
     return out.unionAll(lost)
 
 
+def _joined_rows(rows: DataFrame, n: int, num: int, den: int, block: int, bucket_bytes: int, step_bits: int, scratch: Scratch) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` where rows of one id have one text."""
+    found = _set_table(rows, n, num, den, bucket_bytes, step_bits, scratch)
+    reps = scratch.stored(found.where("tokens is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("minima").alias("minima")), "reps")
+    sets = found.where("tokens is not null").select(F.col("doc_id").alias("rep"), "n", "tokens")
+    classes = _classes(reps, sets, num, den, block, scratch)
+    named = reps.select("d1", "d2", "n", "rep").join(classes, "rep", "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("component", "rep").alias("c"))
+    out = found.select("doc_id", "n", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en")), "left")
+    out = scratch.stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id")), "components")
+    scratch.drop("sets", "reps", "labels", "ends", "star", "large", "sized", "blocks", "known", "delegates", "rest", "left", "right", "across")
+    return out
+
+
+def _by_id(rows: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """From classes of ``rows(doc_id, key)`` by key to components of ids: the texts of an id are apart in every comparison, and its classes are one."""
+    by_key = found.select(F.col("doc_id").alias("k"), "n_shingles", F.col("component_id").alias("c")).dropDuplicates(["k"])
+    members = scratch.stored(rows.join(by_key, F.col("key") == F.col("k")).select("doc_id", "n_shingles", "c"), "members")
+    per_id = members.groupBy("doc_id").agg(F.min("c").alias("low"), F.collect_set("c").alias("all")).where(F.size("all") > 1)  # as many as the id has different texts
+    links = scratch.stored(per_id.select(F.explode("all").alias("a"), F.col("low").alias("b")), "same_id")
+    moved = components(links, scratch).select(F.col("node").alias("a"), F.col("label").alias("b"))
+    whole = members.join(moved, F.col("c") == F.col("a"), "left").select("doc_id", "n_shingles", F.coalesce("b", "c").alias("c"))
+    whole = scratch.stored(whole, "whole")
+    least = whole.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).select(F.col("c").alias("e"), "component_id", "n")
+    out = scratch.stored(joined(whole, least, "c", "e", "n", whole.count()).select("doc_id", "n_shingles", "component_id"), "by_id")
+    scratch.drop("members", "same_id", "whole", "ends", "star", "large", "components")
+    return out
+
+
 def _bucket_or_pass(answer):
     """Postings are answered; what is already keyed by document passes."""
 

@@ -395,3 +395,42 @@ def test_full_tables_change_nothing(docs, monkeypatch):
     for k in range(0, len(docs), 10):
         texts = list(docs.text[k : k + 10])
         assert [x.tolist() for x in fast.encode_all(texts)] == [x.tolist() for x in bpe.encode_all(texts)]
+
+
+def brute_rows(rows, n=5):
+    """As ``brute_classes``, for rows of which several may have one id."""
+    keyed = brute_classes([((k,), t) for k, (_, t) in enumerate(rows)], n)
+    up = {("row", k): ("row", keyed[(k,)][1][0]) for k in range(len(rows))}
+    group = {}
+    edges = [(("row", k), up["row", k]) for k in range(len(rows))] + [(("row", k), ("id", i)) for k, (i, _) in enumerate(rows)]
+    for a, b in edges:
+        x, y = group.get(a, {a}), group.get(b, {b})
+        both = x | y
+        for z in both:
+            group[z] = both
+    return sorted((i, keyed[(k,)][0], min(z[1] for z in group["row", k] if z[0] == "id")) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 2}, {"block": 8, "bucket_bytes": 2000, "step_bits": 2}])
+def test_ngram_join_of_repeated_ids_with_different_texts(spark, options):
+    a, b = [f"a{k}" for k in range(100)], [f"b{k}" for k in range(100)]
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (9, " ".join(a[:52] + b[:52])), (3, " ".join(a + ["end"])), (5, " ".join(b + ["end"])), (5, None), (4, ""), (4, "lone words here"), (8, " ".join(a[:52] + b[:52])), (8, "x y z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.ngram_jaccard_join(table, **options).collect())) == brute_rows(rows)
+    few = rows[:3]
+    got = sorted(map(tuple, ngram_join.ngram_jaccard_join(spark.createDataFrame(few, "doc_id long, text string"), **options).collect()))
+    assert [(i, c) for i, _, c in got] == [(7, 7), (7, 7), (9, 9)] and got == brute_rows(few)
+
+
+def test_copied_items_of_any_length_take_linear_time():
+    import time
+
+    words = " ".join(f"w{k}" for k in range(200_000))
+    for text in (words, "same " * 100_000):
+        block = decontamination.Block.of([("item", text)])
+        docs = decontamination.Block.of([("doc", "before it " + text)])
+        began = time.perf_counter()
+        found = decontamination.search_blocks(docs.hashes, docs.counts, [block], 10)[0]
+        assert found.longest[0] >= len(text.split()) and found.ranges[:, -1].tolist()[1] == len(text.split()) + 2
+        assert time.perf_counter() - began < 30
+        assert decontamination.search_blocks(docs.hashes, docs.counts, [block], 10, longest=False)[0].longest is None

@@ -62,3 +62,11 @@ def test_a_failing_run_leaves_no_tables(spark, tmp_path):
 
     with pytest.raises(Exception):
         corpus_pipeline.run(spark, str(tmp_path / "missing"))
+
+
+def test_near_duplicates_keep_what_overlaps_two_texts_of_one_id(spark):
+    a, b = [f"a{k}" for k in range(100)], [f"b{k}" for k in range(100)]
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (9, " ".join(a[:52] + b[:52]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert sorted(map(tuple, kept.collect())) == sorted(rows)
