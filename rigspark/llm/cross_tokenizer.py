@@ -39,6 +39,8 @@ from .spill import Scratch
 MOST_PAIRS = 1 << 20
 #: Rows of partial counts for one shard.
 SHARD_ROWS = 1 << 20
+#: Bytes of text aligned at a time.
+SLICE_BYTES = 1 << 20
 #: Links looked up, or tokens made to text, at a time.
 STEP = 1 << 20
 #: Code points that the array encoder may see, if it and the library split around them alike; texts with others go to the library.
@@ -210,7 +212,7 @@ def token_groups(docs: DataFrame, first: str, second: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(one.value, two.value)
         for whole in batches:
-            for batch in _sliced(whole, 1):
+            for batch in _sliced(whole, 1, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0), aligner.slice(batch.column(1).to_pylist()).groups()], names=["doc_id", "groups"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -227,7 +229,7 @@ def _linked(docs: DataFrame, first: str, second: str, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(one.value, two.value)
         for whole in batches:
-            for batch in _sliced(whole, 1):
+            for batch in _sliced(whole, 1, SLICE_BYTES):
                 found = aligner.slice(batch.column(1).to_pylist())
                 links, n = _packed(found.keys, max(map(len, aligner.sizes))), np.diff(found.cuts)
                 width = links.itemsize
