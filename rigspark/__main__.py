@@ -1,4 +1,4 @@
-"""Command-line tools: ``python -m rigspark TOOL ...``; logs and results are Parquet."""
+"""Command-line tools: ``python -m rigspark TOOL ...``; logs are Parquet or chunked, results are Parquet."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .operators import assembly, calibration, sectors, segmentation, snapshots, views
 from .operators import scans as scan_ops
 from .operators.parameters import SegmentationParameters
-from .sources import bundles
+from .sources import bundles, logs
 
 
 def _log(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -44,24 +44,50 @@ def segment(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return assembly.fixture_lines(planes) if a.fixtures else planes
 
 
-def _solved(spark: SparkSession, a: argparse.Namespace, points: DataFrame, seed: np.ndarray | None = None) -> DataFrame:
+def _numbers(text: str | None):
+    return json.loads(text) if text else None
+
+
+def _lenses(a: argparse.Namespace) -> dict[int, tuple[float, ...]] | None:
+    return {int(k): tuple(x) for k, x in json.loads(a.lenses).items()} if a.lenses else None
+
+
+def _solved(spark: SparkSession, a: argparse.Namespace, points: DataFrame, sensors: int | None = None, names: dict[int, str] | None = None) -> DataFrame:
     exclude = spark.createDataFrame([(k,) for k in a.exclude], "snapshot long") if a.exclude else None
-    lenses = {int(k): tuple(x) for k, x in json.loads(a.lenses).items()} if a.lenses else None
-    found = calibration.calibrate(points, lenses, seed=seed, exclude=exclude)
+    seed, vehicle = _numbers(a.seed), _numbers(a.vehicle)
+    lenses = _lenses(a)
+    found = calibration.calibrate(points, lenses, seed=None if seed is None else np.array(seed, float), exclude=exclude, sensors=sensors, names=names)
     if a.dump:
-        names = "sensor int, x double, y double, z double, worst double"
-        bundles.write_bundle(a.dump, observations=points, poses=calibration.pose_table(found, spark), boards=found.boards, covariance=calibration.covariance_table(found, spark), stdevs=spark.createDataFrame(calibration.position_stdevs(found), names))
-    return calibration.pose_table(found, spark)
+        kind = "sensor int, x double, y double, z double, worst double"
+        sizes = {int(k): tuple(x) for k, x in (_numbers(a.sizes) or {}).items()}
+        report = calibration.sector_report(points, found, a.sectors, a.reach, vehicle=None if vehicle is None else np.array(vehicle, float), lenses={k: x for k, x in (lenses or {}).items() if k in sizes}, sizes=sizes)
+        bundles.write_bundle(a.dump, observations=points, poses=calibration.pose_table(found, spark), boards=found.boards, covariance=calibration.covariance_table(found, spark), stdevs=spark.createDataFrame(calibration.position_stdevs(found), kind), sectors=report)
+        if a.replays:
+            bundles.write_bundle(a.dump, replays=calibration.replayed(points, found, a.replays, lenses))
+    if vehicle is not None:
+        found = calibration.Solution(calibration.in_vehicle(found, np.array(vehicle, float)), found.boards, found.covariance, found.rms, found.iterations)
+    table = calibration.pose_table(found, spark)
+    if a.pose_files:
+        bundles.write_pose_files(table, a.pose_files, names or {k: f"sensor{k}" for k in range(len(found.sensors))})
+    return table
 
 
 def fit(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """Poses of the sensors from a log, its points and a table ``(topic, sensor, kind)``."""
+    """Poses of the sensors from logs and a table ``(topic, sensor, kind)``; chunked logs hold their points, Parquet logs have them beside them."""
     sensors = spark.read.parquet(a.sensors)
-    lenses = {int(k): tuple(x) for k, x in json.loads(a.lenses).items()} if a.lenses else None
-    assembly.check_arguments(sensors, lenses, None)
-    messages = assembly.assembled(_log(spark, a).join(sensors.select("topic"), "topic", "left_semi"), a.period_us, a.start_us)
-    seen = assembly.boards_seen(messages, spark.read.parquet(*a.points), sensors, SegmentationParameters(per_rotation=a.per_rotation), static_least=a.static_least)
-    return _solved(spark, a, seen)
+    seed = _numbers(a.seed)
+    number = assembly.check_arguments(sensors, _lenses(a), None if seed is None else np.array(seed, float))
+    corners = spark.read.parquet(a.corners) if a.corners else None
+    if a.logs:
+        raw = logs.read_logs(spark, a.logs, a.exclude_bags)
+        log, points = logs.as_messages(raw), logs.points_of(raw)
+    elif a.bag and a.points:
+        log, points = _log(spark, a), spark.read.parquet(*a.points)
+    else:
+        raise ValueError("fit needs --logs, or --bag and --points")
+    periods = spark.createDataFrame([tuple(p) for p in _numbers(a.periods)], "t0 long, t1 long") if a.periods else None
+    seen = assembly.observed(log, points, sensors, SegmentationParameters(per_rotation=a.per_rotation), period_us=a.period_us, start_us=a.start_us, corners=corners, periods=periods, spread_us=a.spread_us, static_least=a.static_least)
+    return _solved(spark, a, seen, number, assembly.topic_names(sensors))
 
 
 def fit_again(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -103,8 +129,8 @@ def parser() -> argparse.ArgumentParser:
         own.add_argument("--out", help="Parquet folder for the result; else it is printed")
         return own
 
-    def of_log(own: argparse.ArgumentParser) -> None:
-        own.add_argument("--bag", nargs="+", required=True)
+    def of_log(own: argparse.ArgumentParser, required: bool = True) -> None:
+        own.add_argument("--bag", nargs="+", required=required)
         own.add_argument("--topics")
         own.add_argument("--after", type=int)
         own.add_argument("--before", type=int)
@@ -112,7 +138,14 @@ def parser() -> argparse.ArgumentParser:
     def of_solve(own: argparse.ArgumentParser) -> None:
         own.add_argument("--dump", help="folder for observations and results")
         own.add_argument("--exclude", type=int, nargs="*", default=[])
-        own.add_argument("--lenses", help="JSON: sensor to fx, fy, cx, cy")
+        own.add_argument("--lenses", help="JSON: sensor to fx, fy, cx, cy and distortion")
+        own.add_argument("--sizes", help="JSON: camera to width, height, for the report by sector")
+        own.add_argument("--seed", help="JSON: a rough pose in any one frame for each sensor")
+        own.add_argument("--vehicle", help="JSON: the pose that takes sensor 0's frame to the vehicle's")
+        own.add_argument("--sectors", type=int, default=36)
+        own.add_argument("--reach", type=float, default=10.0)
+        own.add_argument("--replays", type=int, default=0, help="solves with fresh noise to add to the dump")
+        own.add_argument("--pose-files", help="folder for a file with each sensor's pose")
 
     own = tool("show-log", show_log)
     of_log(own)
@@ -125,12 +158,17 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("--dump", action="store_true")
     own.add_argument("--fixtures", action="store_true")
     own = tool("fit", fit)
-    of_log(own)
+    of_log(own, required=False)
     of_solve(own)
-    own.add_argument("--points", nargs="+", required=True)
+    own.add_argument("--logs", help="glob of chunked logs, each a snapshot unless there is a period")
+    own.add_argument("--exclude-bags", nargs="*", default=[], help="expressions found in the paths of logs to leave out")
+    own.add_argument("--points", nargs="+")
+    own.add_argument("--corners", help="Parquet (msg_id, x, y, z, u, v) of the cameras' messages")
     own.add_argument("--sensors", required=True)
-    own.add_argument("--period-us", type=int, required=True)
+    own.add_argument("--period-us", type=int)
     own.add_argument("--start-us", type=int, default=0)
+    own.add_argument("--periods", help="JSON: spans of time to leave out")
+    own.add_argument("--spread-us", type=int)
     own.add_argument("--per-rotation", type=int, default=2048)
     own.add_argument("--static-least", type=int, default=0)
     own = tool("fit-again", fit_again)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import poses
 from ..functions import vectors as v
+from ..storage import Scratch
 from . import background, calibration, segmentation, snapshots
 from .cameras import Intrinsics
 from .parameters import SegmentationParameters
@@ -143,7 +144,9 @@ def boards_seen(messages: DataFrame, points: DataFrame, sensors: DataFrame, par:
     cloud = points.withColumnRenamed("msg_id", "scan").join(own, "scan")
     if static_least:
         cloud = moving_points(cloud, static_least)
-    cloud = cloud.select("snapshot", "sensor", F.col("scan").cast("long").alias("scan"), "ring", "point_idx", *"xyz").persist()
+    cloud = cloud.select("snapshot", "sensor", F.col("scan").cast("long").alias("scan"), "ring", "point_idx", *"xyz")
+    with Scratch(points.sparkSession) as scratch:
+        cloud = scratch.stored(cloud, "cloud")  # what the boards are found in, and taken from
     planes = segmentation.observed_boards(segmentation.segment_planes(cloud.drop("snapshot", "sensor"), par))
     return gathered(cloud, planes.select("scan", "plane", "points")).select("snapshot", "sensor", *"xyz")
 
@@ -166,20 +169,53 @@ def check_arguments(sensors: DataFrame, lenses: Intrinsics | None, seed: np.ndar
     return len(rows)
 
 
-def calibrate_log(log: DataFrame, points: DataFrame, sensors: DataFrame, period_us: int, start_us: int, par: SegmentationParameters, *, corners: DataFrame | None = None, lenses: Intrinsics | None = None, seed: np.ndarray | None = None, exclude: DataFrame | None = None, periods: DataFrame | None = None, spread_us: int | None = None, static_least: int = 0) -> calibration.Solution:
+def assembled_by_bag(log: DataFrame, *, periods: DataFrame | None = None, spread_us: int | None = None, at_least: int = 2) -> DataFrame:
+    """As ``assembled``, where each bag of ``log(bag, topic, time_us, msg_id, value)`` is a snapshot; a snapshot's number is a hash of its bag's name."""
+    if periods is not None:
+        log = snapshots.without_periods(log, periods)
+    rows = snapshots.first_messages(log, ["bag", "topic"]).withColumn("segment", F.xxhash64("bag"))
+    if spread_us is not None:
+        rows = snapshots.tight(rows, spread_us)
+    rows = rows.join(snapshots.usable(rows, at_least).select("segment"), "segment", "left_semi")
+    return rows.select(F.col("segment").alias("snapshot"), "topic", "time_us", "msg_id")
+
+
+def observed(log: DataFrame, points: DataFrame, sensors: DataFrame, par: SegmentationParameters, *, period_us: int | None = None, start_us: int = 0, corners: DataFrame | None = None, periods: DataFrame | None = None, spread_us: int | None = None, static_least: int = 0) -> DataFrame:
+    """What the sensors see of boards, ``(snapshot, sensor, x, y, z[, u, v])``.
+
+    Without ``period_us`` each bag of the log is a snapshot.  Cameras among
+    ``sensors`` need ``corners(msg_id, x, y, z, u, v)``.
+    """
+    if corners is None and not sensors.where("kind = 'camera'").isEmpty():
+        raise ValueError("cameras need a table of corners")
+    log = log.join(sensors.select("topic"), "topic", "left_semi")
+    if period_us is None:
+        messages = assembled_by_bag(log, periods=periods, spread_us=spread_us)
+    else:
+        messages = assembled(log, period_us, start_us, periods=periods, spread_us=spread_us)
+    seen = boards_seen(messages, points, sensors.where("kind = 'lidar'"), par, static_least=static_least)
+    with Scratch(log.sparkSession) as scratch:
+        seen = scratch.stored(seen, "observed")  # the solve reads it several times
+    if corners is None:
+        return seen
+    own = messages.join(sensors.select("topic", "sensor"), "topic").select("snapshot", "sensor", "msg_id")
+    return one_schema(board_points=seen, corners=corners.join(own, "msg_id").select("snapshot", "sensor", *"xyzuv")).drop("source")
+
+
+def calibrate_log(log: DataFrame, points: DataFrame, sensors: DataFrame, period_us: int | None, start_us: int, par: SegmentationParameters, *, lenses: Intrinsics | None = None, seed: np.ndarray | None = None, exclude: DataFrame | None = None, **selection) -> calibration.Solution:
     """Poses of the sensors from a log of messages.
 
-    ``log(topic, time_us, msg_id, value)``, ``points`` of the lidars' messages,
-    ``corners(msg_id, x, y, z, u, v)`` of the cameras'; see ``assembled``,
-    ``boards_seen`` and ``calibration.calibrate``.
+    ``log(topic, time_us, msg_id, value)``, ``points`` of the lidars' messages;
+    ``selection`` is that of ``observed``.  A sensor of ``sensors`` with too
+    few boards is an error that names its topic.
     """
-    check_arguments(sensors, lenses, seed)
-    messages = assembled(log.join(sensors.select("topic"), "topic", "left_semi"), period_us, start_us, periods=periods, spread_us=spread_us)
-    seen = boards_seen(messages, points, sensors, par, static_least=static_least)
-    if corners is not None:
-        own = messages.join(sensors.select("topic", "sensor"), "topic").select("snapshot", "sensor", "msg_id")
-        seen = one_schema(board_points=seen, corners=corners.join(own, "msg_id").select("snapshot", "sensor", *"xyzuv")).drop("source")
-    return calibration.calibrate(seen, lenses, seed=seed, exclude=exclude)
+    number = check_arguments(sensors, lenses, seed)
+    seen = observed(log, points, sensors, par, period_us=period_us, start_us=start_us, **selection)
+    return calibration.calibrate(seen, lenses, seed=seed, exclude=exclude, sensors=number, names=topic_names(sensors))
+
+
+def topic_names(sensors: DataFrame) -> dict[int, str]:
+    return {r["sensor"]: r["topic"] for r in sensors.select("sensor", "topic").collect()}  # one row for each sensor of the rig
 
 
 def diagnostics(points: DataFrame, par: SegmentationParameters, per_rotation: int) -> DataFrame:

@@ -272,6 +272,12 @@ def sector_stdevs(points: DataFrame, visible: DataFrame, solution: Solution) ->
     return rows.select("sector", "sensor0", "sensor1", "x", "y", "z").mapInPandas(run, "sector int, sensor0 int, sensor1 int, stdev double")
 
 
+def _placed(p: v.Vec, pose: np.ndarray) -> v.Vec:
+    """A place moved by a known pose: nine constants."""
+    m = poses.matrix(pose[:3])
+    return tuple(sum((float(m[i, j]) * p[j] for j in range(3)), F.lit(float(pose[3 + i]))) for i in range(3))
+
+
 def sector_report(points: DataFrame, solution: Solution, sectors_: int, at: float, *, vehicle: np.ndarray | None = None, beyond: float = 1.0, at_least: int = 1, lenses: Intrinsics | None = None, sizes: dict[int, tuple[int, int]] | None = None) -> DataFrame:
     """``(sector, n_boards, sensors, stdev, sensor0, sensor1)`` around the vehicle.
 
@@ -284,9 +290,8 @@ def sector_report(points: DataFrame, solution: Solution, sectors_: int, at: floa
     """
     spark, lenses = points.sparkSession, lenses or {}
     vehicle = np.zeros(6) if vehicle is None else np.asarray(vehicle, float)
-    r, t = tuple(F.lit(float(x)) for x in vehicle[:3]), tuple(F.lit(float(x)) for x in vehicle[3:])
     place = tuple(F.get("board", F.lit(k)) for k in (3, 4, 5))
-    boards = solution.boards.select("snapshot", *(c.alias(k) for c, k in zip(poses.transform(r, t, place), "xyz", strict=True)))
+    boards = solution.boards.select("snapshot", *(c.alias(k) for c, k in zip(_placed(place, vehicle), "xyz", strict=True)))
     counts = sectors.observations_per_sector(boards, sectors_)
     placed = [poses.compose(vehicle, p) for p in solution.sensors]
     moved = _posed(points.where(~F.col("sensor").isin(list(lenses))), np.array(placed))
@@ -298,8 +303,7 @@ def sector_report(points: DataFrame, solution: Solution, sectors_: int, at: floa
         visible = visible.unionByName(sectors.camera_visibility(spark.createDataFrame(rows, kind), sectors_, at).select(F.col("camera").alias("sensor"), "sector", "visible"))
     visible = visible.where("visible")
     seers = visible.groupBy("sector").agg(F.array_sort(F.collect_set("sensor")).alias("sensors"))
-    back = poses.inverse(r, t)
-    middles = sectors.query_points(spark, sectors_, at).select("sector", *(c.alias(k) for c, k in zip(poses.transform(*back, v.vec()), "xyz", strict=True)))
+    middles = sectors.query_points(spark, sectors_, at).select("sector", *(c.alias(k) for c, k in zip(_placed(v.vec(), poses.inverted(vehicle)), "xyz", strict=True)))
     worst = sectors.worst_pairs(sector_stdevs(middles, sectors.visible_pairs(visible), solution), sectors_)
     return counts.select("sector", F.col("n").alias("n_boards")).join(seers, "sector", "left").join(worst, "sector", "left").select("sector", "n_boards", F.coalesce("sensors", F.array().cast("array<int>")).alias("sensors"), "stdev", "sensor0", "sensor1")
 

@@ -3,30 +3,22 @@
 from __future__ import annotations
 
 import ast
-import glob
-import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import poses
+from ..functions.lenses import MODELS
 from ..functions import vectors as v
 
 POINTS = T.StructType([T.StructField("scan", T.LongType()), T.StructField("ring", T.IntegerType()), T.StructField("point_idx", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in "xyz")])
 
 
-def log_paths(pattern: str, exclude: list[str] = ()) -> list[str]:
-    """Paths that match, sorted, without those in which an ``exclude`` expression is found; none is an error."""
-    found = sorted(p for p in glob.glob(pattern) if not any(re.search(e, p) for e in exclude))
-    if not found:
-        raise FileNotFoundError(f"nothing matches {pattern!r}")
-    return found
-
-
 def read_log(spark: SparkSession, paths: list[str], topics: list[str] | None = None, start_us: int | None = None, stop_us: int | None = None) -> DataFrame:
-    """Messages of Parquet logs with their ``bag`` (place in ``paths``); filters reach the scan."""
+    """Messages of Parquet logs with their ``bag``, the name of a log's folder, or of its file where it is not a part of one; filters reach the scan."""
     log = spark.read.parquet(*paths)
     if topics is not None:
         log = log.where(F.col("topic").isin(topics))
@@ -34,28 +26,46 @@ def read_log(spark: SparkSession, paths: list[str], topics: list[str] | None = N
         log = log.where(F.col("time_us") >= start_us)
     if stop_us is not None:
         log = log.where(F.col("time_us") < stop_us)
-    return log.withColumn("bag", F.input_file_name())
+    return log.withColumn("bag", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:/part-[^/]*|\.parquet)?$", 1))
 
 
-def scan_from_arrays(spark: SparkSession, points: np.ndarray, rings: np.ndarray, scan: int = 0) -> DataFrame:
-    """A scan table from an (N, 3) and an (N,) array, which are checked."""
-    points, rings = np.asarray(points), np.asarray(rings)
-    if points.ndim != 2 or points.shape[1] != 3 or not np.issubdtype(points.dtype, np.floating):
-        raise ValueError(f"points must be (N, 3) floats, not {points.shape} {points.dtype}")
-    if rings.shape != points.shape[:1] or not np.issubdtype(rings.dtype, np.integer) or (len(rings) and rings.min() < 0):
-        raise ValueError(f"rings must be {len(points)} integers from 0")
-    rows = [(scan, int(r), i, *map(float, p)) for i, (p, r) in enumerate(zip(points, rings, strict=True))]
-    return spark.createDataFrame(rows, POINTS)
+def scans_from_arrays(spark: SparkSession, scans: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """A scan table from an (N, 3) array of points and an (N,) array of rings for each scan, checked, as columns all the way."""
+    parts = []
+    for scan, (points, rings) in scans.items():
+        points, rings = np.asarray(points), np.asarray(rings)
+        if points.ndim != 2 or points.shape[1] != 3 or not np.issubdtype(points.dtype, np.floating):
+            raise ValueError(f"scan {scan}: points must be (N, 3) floats, not {points.shape} {points.dtype}")
+        if rings.shape != points.shape[:1] or not np.issubdtype(rings.dtype, np.integer) or (len(rings) and rings.min() < 0):
+            raise ValueError(f"scan {scan}: rings must be {len(points)} integers from 0, not {rings.shape} {rings.dtype}")
+        parts.append(pa.table({"scan": np.full(len(points), scan, np.int64), "ring": rings.astype(np.int32), "point_idx": np.arange(len(points)), **{c: points[:, k].astype(np.float64) for k, c in enumerate("xyz")}}))
+    return spark.createDataFrame(pa.concat_tables(parts), POINTS) if parts else spark.createDataFrame([], POINTS)
 
 
 def camera_model(text: str) -> dict:
-    """A camera model written as a Python literal with intrinsics, image size and pose; only pinhole lenses are known."""
+    """A camera model written as a Python literal: its lens, image size, and its pose if it has one; pinholes and their distortions are known."""
     model = ast.literal_eval(text)
-    if model.get("lensmodel") != "LENSMODEL_PINHOLE":
-        raise ValueError(f"lens model {model.get('lensmodel')!r} is not known")
-    fx, fy, cx, cy = model["intrinsics"]
-    width, height = model["imagersize"]
-    return {"fx": fx, "fy": fy, "cx": cx, "cy": cy, "width": width, "height": height}
+    kind, values = model.get("lensmodel"), tuple(map(float, model["intrinsics"]))
+    if kind not in MODELS:
+        raise ValueError(f"lens model {kind!r} is not known")
+    if len(values) != 4 + MODELS[kind]:
+        raise ValueError(f"{kind} has {4 + MODELS[kind]} intrinsics, not {len(values)}")
+    pose = model.get("extrinsics")
+    return {"lens": values, "size": tuple(map(int, model["imagersize"])), "pose": None if pose is None else tuple(map(float, pose))}
+
+
+def write_pose_files(pose_table: DataFrame, folder: str, names: dict[int, str]) -> None:
+    """A small text file for each sensor with its pose, under the sensor's name; a failed write leaves none.
+
+    Each sensor's line is a partition of its own, and Spark's committer moves
+    the files when all are written.
+    """
+    name = F.create_map(*(F.lit(k) for item in names.items() for k in item))[F.col("sensor")]
+    numbers = F.concat_ws(", ", *(F.col(k + c).cast("string") for k in "rt" for c in "xyz"))
+    lines = pose_table.select(name.alias("name"), F.concat(F.lit("rt = ["), numbers, F.lit("]")).alias("value"))
+    if lines.where("name is null").count():
+        raise ValueError("a sensor has no name")
+    lines.repartition("name").write.partitionBy("name").text(folder)
 
 
 def agreed(values: DataFrame, column: str):

@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -425,6 +426,15 @@ def write_logs(messages: DataFrame, folder: str) -> None:
     messages.write.format("rig_log").mode("append").option("path", folder).save()
 
 
+def as_messages(log: DataFrame) -> DataFrame:
+    """A log as the operators on messages take it, ``(bag, topic, time_us, msg_id, value)``."""
+    return log.select("bag", "topic", F.floor(F.col("time_ns") / 1000).alias("time_us"), _message_id().alias("msg_id"), F.lit(None).cast("double").alias("value"))
+
+
+def _message_id():
+    return F.xxhash64("bag", "topic", "time_ns")
+
+
 # ---- point clouds in messages
 
 #: Type numbers of a point field, as NumPy kinds.
@@ -469,7 +479,7 @@ def cloud(payload: bytes) -> tuple[int, dict[str, np.ndarray]]:
 
 
 def points_of(log: DataFrame) -> DataFrame:
-    """``(bag, topic, time_ns, header_ns, ring, point_idx, x, y, z)`` of the point clouds in a log; other messages have no points.
+    """``(bag, topic, time_ns, header_ns, msg_id, ring, point_idx, x, y, z)`` of the point clouds in a log; other messages have no points.
 
     Clouds without rings have ring 0 throughout; a cloud is decoded where its
     message is read.
@@ -485,7 +495,7 @@ def points_of(log: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["bag", "topic", "time_ns", "header_ns", "ring", "point_idx", *"xyz"])
 
     clouds = log.where(log["type"].isin(*POINT_TYPES)).select("bag", "topic", "time_ns", "payload")
-    return clouds.mapInArrow(run, "bag string, topic string, time_ns long, header_ns long, ring int, point_idx long, x double, y double, z double")
+    return clouds.mapInArrow(run, "bag string, topic string, time_ns long, header_ns long, ring int, point_idx long, x double, y double, z double").withColumn("msg_id", _message_id())
 
 
 def cloud_payload(stamp_ns: int, frame: str, xyz: np.ndarray, ring: np.ndarray) -> bytes:

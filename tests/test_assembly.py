@@ -117,3 +117,41 @@ def test_long_chains_are_followed_to_their_end(spark):
     shortcut = chain.unionAll(spark.sql("SELECT 0 AS sensor0, 50 AS sensor1"))
     assert {r["sensor"]: r["steps"] for r in links.reachable(shortcut, 50).collect()}[1] == 2
     assert [tuple(r) for r in links.reachable(chain.where("sensor0 > 99")).collect()] == [(0, 0)]
+
+
+def test_fit_from_chunked_logs_with_a_camera(spark, tmp_path):
+    """A bag for each board, in chunks; the camera ahead sees two of the boards; poses come out in the vehicle's frame."""
+    from rigspark.functions import lenses
+    from rigspark.sources import logs
+
+    boards = [((3.0, 0.4, 0.2), (1.0, 0.3, 0.2)), ((0.2, 3.2, 0.0), (0.1, 1.0, 0.3)), ((-3.1, 0.3, 0.1), (-1.0, 0.2, -0.2)), ((0.1, -3.0, 0.3), (0.2, -1.0, 0.25))]
+    lens = (800.0, 800.0, 640.0, 480.0, -0.1, 0.02)
+    look = poses.rodrigues(np.array([[0, 0, 1.0], [-1, 0, 0], [0, -1, 0]]))
+    camera = np.array([*look, 0.1, 0.2, -0.1])
+    turn, i, j = poses.matrix(SENSOR1[:3]), *np.divmod(np.arange(36), 6)
+    flat = np.stack([j * 0.1, i * 0.1, np.zeros(36)], 1)
+    messages, corners = [], []
+    for k, (c, n) in enumerate(boards):
+        for sensor in (0, 1):
+            at, ahead = (np.array(c), np.array(n)) if sensor == 0 else (turn.T @ (np.array(c) - SENSOR1[3:]), turn.T @ np.array(n))
+            scan = synthetic.board_scan(tuple(at), tuple(ahead), columns=1024, wall=None)
+            messages.append((f"bag{k}", f"lidar{sensor}", 1_000_000 * k + sensor, logs.POINT_TYPES[0], bytearray(logs.cloud_payload(k, "f", scan[["x", "y", "z"]].to_numpy(), scan.ring.to_numpy()))))
+        if k == 0:
+            seen = (flat - [0.25, 0.25, 0]) @ poses.aligning(np.array(n)).T + c
+            uv = lenses.project_points((seen - camera[3:]) @ poses.matrix(camera[:3]), lens)
+            messages.append((f"bag{k}", "camera", 1_000_000 * k + 5, "image", bytearray(b"")))
+            corners += [(f"bag{k}", "camera", 1_000_000 * k + 5, *map(float, f), *map(float, q)) for f, q in zip(flat, uv, strict=True)]
+    logs.write_logs(spark.createDataFrame(messages, "bag string, topic string, time_ns long, type string, payload binary"), str(tmp_path / "logs"))
+    spark.createDataFrame(corners, "bag string, topic string, time_ns long, x double, y double, z double, u double, v double").selectExpr("xxhash64(bag, topic, time_ns) AS msg_id", *"xyzuv").write.parquet(str(tmp_path / "corners"))
+    spark.createDataFrame([("lidar0", 0, "lidar"), ("lidar1", 1, "lidar"), ("camera", 2, "camera")], "topic string, sensor int, kind string").write.parquet(str(tmp_path / "sensors"))
+    vehicle = [0.0, 0.0, 0.0, 1.0, 2.0, 3.0]
+    seed = [poses.compose(np.array(vehicle), p).tolist() for p in (np.zeros(6), SENSOR1 + 0.01, camera + 0.01)]
+    arguments = ["fit", "--logs", str(tmp_path / "logs" / "bag*"), "--sensors", str(tmp_path / "sensors"), "--lenses", f'{{"2": {list(lens)}}}', "--seed", str(seed), "--vehicle", str(vehicle), "--per-rotation", "1024"]
+    with pytest.raises(ValueError, match="corners"):
+        main(arguments, spark)
+    got = {r["sensor"]: r for r in main([*arguments, "--corners", str(tmp_path / "corners"), "--pose-files", str(tmp_path / "poses"), "--sizes", '{"2": [1280, 960]}', "--dump", str(tmp_path / "dump")], spark).collect()}
+    for k, pose in enumerate((np.zeros(6), SENSOR1, camera)):
+        assert np.abs(np.array([got[k]["t" + c] for c in "xyz"]) - pose[3:] - [1, 2, 3]).max() < 0.05
+    assert sorted(p.name for p in (tmp_path / "poses").glob("name=*")) == ["name=camera", "name=lidar0", "name=lidar1"]
+    report = spark.read.parquet(str(tmp_path / "dump" / "sectors"))
+    assert report.count() == 36 and report.agg({"n_boards": "sum"}).first()[0] == 4

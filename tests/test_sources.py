@@ -22,18 +22,41 @@ def test_bundle_replays(spark, tmp_path):
 
 
 def test_arrays_are_checked(spark):
-    good = bundles.scan_from_arrays(spark, np.zeros((2, 3), np.float32), np.array([0, 1], np.uint16))
-    assert good.count() == 2
-    with pytest.raises(ValueError):
-        bundles.scan_from_arrays(spark, np.zeros((2, 2)), np.array([0, 1]))
-    with pytest.raises(ValueError):
-        bundles.scan_from_arrays(spark, np.zeros((2, 3)), np.array([0.0, 1.0]))
-    with pytest.raises(FileNotFoundError):
-        bundles.log_paths("/nonexistent/*.parquet")
-    assert bundles.agreed(good, "scan") == 0
+    good = bundles.scans_from_arrays(spark, {0: (np.zeros((2, 3), np.float32), np.array([0, 1], np.uint16)), 4: (np.ones((3, 3)), np.array([2, 2, 2]))})
+    assert good.count() == 5 and good.where("scan = 4").agg(F.sum("x")).first()[0] == 3.0 and good.schema == bundles.POINTS
+    assert bundles.scans_from_arrays(spark, {}).count() == 0
+    for points, rings in ((np.zeros((2, 2)), np.array([0, 1])), (np.zeros((2, 3)), np.array([0.0, 1.0])), (np.zeros((2, 3)), np.array([0])), (np.zeros((2, 3)), np.array([0, -1])), (np.zeros((2, 3), int), np.array([0, 1]))):
+        with pytest.raises(ValueError, match="scan 7"):
+            bundles.scans_from_arrays(spark, {7: (points, rings)})
+    assert bundles.agreed(good.where("scan = 0"), "scan") == 0
     with pytest.raises(ValueError):
         bundles.agreed(good, "ring")
-    assert bundles.camera_model("{'lensmodel': 'LENSMODEL_PINHOLE', 'intrinsics': [1., 2., 3., 4.], 'imagersize': [5, 6]}")["cy"] == 4
+
+
+def test_camera_models():
+    plain = bundles.camera_model("{'lensmodel': 'LENSMODEL_PINHOLE', 'intrinsics': [1., 2., 3., 4.], 'imagersize': [5, 6]}")
+    assert plain == {"lens": (1.0, 2.0, 3.0, 4.0), "size": (5, 6), "pose": None}
+    bent = bundles.camera_model("{'lensmodel': 'LENSMODEL_OPENCV4', 'intrinsics': [1, 2, 3, 4, .1, .2, .3, .4], 'imagersize': [5, 6], 'extrinsics': [0, 0, 0, 1, 2, 3]}")
+    assert len(bent["lens"]) == 8 and bent["pose"][5] == 3.0
+    for text in ("{'lensmodel': 'LENSMODEL_OTHER', 'intrinsics': [1, 2, 3, 4], 'imagersize': [5, 6]}", "{'lensmodel': 'LENSMODEL_OPENCV5', 'intrinsics': [1, 2, 3, 4], 'imagersize': [5, 6]}"):
+        with pytest.raises(ValueError):
+            bundles.camera_model(text)
+
+
+def test_bags_of_several_part_files(spark, tmp_path):
+    for name in ("one", "two"):
+        spark.range(100).selectExpr("'t' AS topic", "id AS time_us", "id AS msg_id", "0.0D AS value").repartition(3).write.parquet(str(tmp_path / name))
+    log = bundles.read_log(spark, [str(tmp_path / "one"), str(tmp_path / "two")], stop_us=50)
+    assert sorted(map(tuple, log.groupBy("bag").count().collect())) == [("one", 50), ("two", 50)]
+
+
+def test_pose_files(spark, tmp_path):
+    table = spark.createDataFrame([(k, 0.1, 0.2, 0.3, 1.0, 2.0, 3.0 + k) for k in range(2)], "sensor int, rx double, ry double, rz double, tx double, ty double, tz double")
+    bundles.write_pose_files(table, str(tmp_path / "poses"), {0: "front", 1: "rear"})
+    texts = {p.parent.name: p.read_text() for p in (tmp_path / "poses").rglob("part-*.txt")}
+    assert texts == {"name=front": "rt = [0.1, 0.2, 0.3, 1.0, 2.0, 3.0]\n", "name=rear": "rt = [0.1, 0.2, 0.3, 1.0, 2.0, 4.0]\n"}
+    with pytest.raises(ValueError):
+        bundles.write_pose_files(table, str(tmp_path / "other"), {0: "front"})
 
 
 def test_stream_decimates(spark, tmp_path):
