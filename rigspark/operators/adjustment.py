@@ -34,7 +34,7 @@ from .residuals import REGULAR_R, REGULAR_T, SIGMA_M, SIGMA_PX
 #: Points that a task holds as arrays at a time.
 BATCH_POINTS = 1 << 16
 #: Steps of a board's own solve.
-INNER = 30
+INNER = 10
 WEIGHTS = np.array([REGULAR_R] * 3 + [REGULAR_T] * 3)
 
 
@@ -156,7 +156,7 @@ class Model:
             better = going & (cost_ <= cost)
             gain = cost - cost_
             damping = np.where(better, damping / 10, damping * 10)
-            going &= ~(better & (gain <= 1e-10 * np.maximum(cost, 1e-9))) & (damping < 1e8)
+            going &= ~(better & (gain <= 1e-8 * np.maximum(cost, 1e-6))) & (damping < 1e8)
             boards, cost = np.where(better[:, None], trial, boards), np.where(better, cost_, cost)
             h, g = np.where(better[:, None, None], h_, h), np.where(better[:, None], g_, g)
             if not going.any():

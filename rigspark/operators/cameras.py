@@ -93,7 +93,9 @@ def _refined(pose: np.ndarray, flat: np.ndarray, seen: np.ndarray, lens: Lens, r
 #: Focal lengths, as shares of the lens's, from which a board's pose is sought.
 LADDER = (1.0, 0.7, 1.5)
 #: Steps of a candidate before the best one is chosen.
-COARSE = 8
+COARSE = 5
+#: Mean square error in pixels below which no further candidate is tried.
+FITS = 1.0
 
 
 def board_pose(flat: np.ndarray, seen: np.ndarray, lens: Lens, rounds: int = 30) -> np.ndarray | None:
@@ -101,7 +103,8 @@ def board_pose(flat: np.ndarray, seen: np.ndarray, lens: Lens, rounds: int = 30)
 
     Candidates are the homographies for the lens's focal length and for some
     others, each with its mirror pose, all before the camera; each is refined
-    on the reprojection, and the one that fits best is taken.  Points whose
+    on the reprojection, and the one that fits best is taken, the first pair's
+    if it fits well.  Points whose
     pixel the lens cannot look back from only take part in the refinement.
     None if fewer than four can be looked back from, or no pose puts the board
     before the camera.
@@ -113,6 +116,8 @@ def board_pose(flat: np.ndarray, seen: np.ndarray, lens: Lens, rounds: int = 30)
     centre = (flat.min(0) + flat.max(0)) / 2
     best = (np.inf, None)
     for share in LADDER:
+        if best[0] < FITS:
+            break
         first = _homography(flat[good], rays[good] / share)
         for start in (first, _mirrored(first, centre)):
             found = _refined(_ahead(start, flat), flat, seen, lens, COARSE)
