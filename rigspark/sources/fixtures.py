@@ -90,13 +90,13 @@ def rig_points(spark: SparkSession, sf_dir: str, sigma: float = 0.01) -> DataFra
 
 
 def mixed_rig(spark: SparkSession, sf_dir: str, sigma: float = 0.01, sigma_px: float = 0.1) -> DataFrame:
-    """``(snapshot, sensor, x, y, z, u, v)``: a board of 6 x 6 corners for each vector ahead of the rig ``MIXED``, for cameras the corners in the board's frame and their pixels."""
+    """``(snapshot, sensor, x, y, z, u, v)``: a board of 4 x 4 corners for each vector ahead of the rig ``MIXED``, for cameras the corners in the board's frame and their pixels."""
     e = table(spark, sf_dir, "embeddings").where("embedding is not null and vec_id is not null")
     centre = {"cx": 3.2 + 2 * _numbers(0), "cy": 2 * _numbers(1), "cz": 2 * _numbers(2)}
     normal = {"nx": F.lit(1.0), "ny": 2 * _numbers(3), "nz": 2 * _numbers(4)}
     boards = _frames(e.select(F.col("vec_id").alias("snapshot"), *(x.alias(k) for k, x in (centre | normal).items())))
-    rows = boards.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(35)))).withColumns({"i": F.col("k") % 6 * 0.1, "j": F.floor(F.col("k") / 6) * 0.1})
-    rows = rows.withColumns({f"w{c}": F.col(f"c{c}") + (F.col("i") - 0.25) * F.col(f"a{c}") + (F.col("j") - 0.25) * F.col(f"b{c}") for c in "xyz"})
+    rows = boards.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumns({"i": F.col("k") % 4 * 0.15, "j": F.floor(F.col("k") / 4) * 0.15})
+    rows = rows.withColumns({f"w{c}": F.col(f"c{c}") + (F.col("i") - 0.225) * F.col(f"a{c}") + (F.col("j") - 0.225) * F.col(f"b{c}") for c in "xyz"})
     rows = _seen_from(rows, MIXED)
     lidars = rows.where("sensor < 2").withColumn("far", 1 + _noise(sigma, "snapshot", "sensor", "k") / v.norm(v.vec()))
     none = F.lit(None).cast("double")
