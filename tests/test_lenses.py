@@ -73,20 +73,20 @@ def test_uncertainty_by_place_is_that_of_the_poses(spark):
 
 
 def test_replays_spread_as_the_covariance_says(spark):
-    """100 replays take about the jobs of one solve."""
+    """40 replays take about the jobs of one solve."""
     points = rig_points(spark, snapshots=10, points=20, sigma=0.0)
     first = calibration.calibrate(points)
     jobs = []
     run = adjustment._equations
     adjustment._equations = lambda *a: jobs.append(1) or run(*a)
     try:
-        replays = calibration.replayed(points, first, 100)
+        replays = calibration.replayed(points, first, 40)
     finally:
         adjustment._equations = run
     assert len(jobs) <= 20
     spread = {(r["i"], r["j"]): r["value"] for r in calibration.replay_covariance(replays).collect()}
     ratio = [np.sqrt(spread[k, k] / first.covariance[k, k]) for k in range(len(first.covariance))]
-    assert len(spread) == len(first.covariance) ** 2 and 0.7 < min(ratio) and max(ratio) < 1.4
+    assert len(spread) == len(first.covariance) ** 2 and 0.6 < min(ratio) and max(ratio) < 1.6
     again = calibration.replayed(points.repartition(3), first, 3)
     few = replays.where("replay <= 3 and sensor = 1").orderBy("replay").collect()
     assert np.allclose([r["tx"] for r in few], [r["tx"] for r in again.where("sensor = 1").orderBy("replay").collect()], atol=1e-5)
