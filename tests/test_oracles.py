@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from rigspark.plans import bag_queries, catalogue, lens_queries, log_queries, rig_queries, scan_queries  # noqa: F401
+from rigspark.plans import bag_queries, catalogue, frame_queries, lens_queries, log_queries, rig_queries, scan_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
