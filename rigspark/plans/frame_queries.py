@@ -11,8 +11,9 @@ from .catalogue import query
 
 _FRAMES = """raw AS (SELECT doc_id AS frame, hex(encode(coalesce(text, ''))) AS bytes, 1 + doc_id % 3 AS depth FROM documents),
 frames AS (SELECT frame, depth, greatest(1, CAST(ceil(length(bytes) / (96.0 * depth)) AS INT)) AS h, bytes FROM raw)"""
-_GREY = f"""{_FRAMES}, pixels AS (SELECT frame, h, depth, unnest(range(h * 48)) AS i, rpad(bytes, CAST(h * 96 * depth AS INT), '0') AS bytes FROM frames WHERE depth < 3),
-levels AS (SELECT frame, h, depth, i // 48 AS line, i % 48 AS c, CAST('0x' || CASE WHEN depth = 1 THEN substr(bytes, 2 * i + 1, 2) ELSE substr(bytes, 4 * i + 3, 2) || substr(bytes, 4 * i + 1, 2) END AS INT) AS v FROM pixels),
+_GREY = f"""{_FRAMES}, filled AS MATERIALIZED (SELECT frame, h, depth, rpad(bytes, CAST(h * 96 * depth AS INT), '0') AS bytes FROM frames WHERE depth < 3),
+rows AS MATERIALIZED (SELECT frame, h, depth, line, substr(bytes, line * 96 * depth + 1, 96 * depth) AS bytes FROM (SELECT *, unnest(range(h)) AS line FROM filled)),
+levels AS (SELECT frame, h, depth, line, c, CAST('0x' || CASE WHEN depth = 1 THEN substr(bytes, 2 * c + 1, 2) ELSE substr(bytes, 4 * c + 3, 2) || substr(bytes, 4 * c + 1, 2) END AS INT) AS v FROM (SELECT *, unnest(range(48)) AS c FROM rows)),
 placed AS (SELECT *, least(h, 8) AS tall, line * least(h, 8) // h AS down, c // 6 AS across FROM levels),
 tiles AS (SELECT frame, depth, CAST(down AS INT) AS down, CAST(across AS INT) AS across, min(v) AS lowest, max(v) AS highest FROM placed GROUP BY ALL)"""
 _AROUND = "SELECT a.frame, a.down, a.across, any_value(a.lowest) AS lowest, any_value(a.highest) AS highest, coalesce(CAST(sum(b.lowest) AS BIGINT) // count(b.frame), any_value(a.lowest)) AS ml, coalesce(CAST(sum(b.highest) AS BIGINT) // count(b.frame), any_value(a.highest)) AS mh FROM {0} a LEFT JOIN {0} b ON a.frame = b.frame AND abs(a.down - b.down) <= 1 AND abs(a.across - b.across) <= 1 AND (a.down != b.down OR a.across != b.across) GROUP BY a.frame, a.down, a.across"
