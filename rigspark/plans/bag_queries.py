@@ -61,7 +61,7 @@ def log_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
                 for k in range(0, len(mine), 1000):
                     some = mine[k : k + 1000]
                     stamp = int(at[some].min())
-                    payload = logs.cloud_payload(stamp, "lidar", xyz[some], ring[some])
+                    payload = logs.cloud_payload(stamp, "lidar", xyz[some], ring[some], wide=True)
                     yield pa.RecordBatch.from_arrays([pa.array([f"scan-{own}"]), pa.array(["/lidar"]), pa.array([stamp]), pa.array([logs.POINT_TYPES[0]]), pa.array([payload], pa.binary())], names=["bag", "topic", "time_ns", "type", "payload"])
 
     rows = fx.points(spark, sf_dir).select("scan", "ring", "point_idx", *"xyz").mapInArrow(clouds, "bag string, topic string, time_ns long, type string, payload binary")

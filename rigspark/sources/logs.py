@@ -498,11 +498,12 @@ def points_of(log: DataFrame) -> DataFrame:
     return clouds.mapInArrow(run, "bag string, topic string, time_ns long, header_ns long, ring int, point_idx long, x double, y double, z double").withColumn("msg_id", _message_id())
 
 
-def cloud_payload(stamp_ns: int, frame: str, xyz: np.ndarray, ring: np.ndarray) -> bytes:
-    """A serialised point cloud with fields x, y, z and ring."""
-    kind = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("ring", "<u2")])
+def cloud_payload(stamp_ns: int, frame: str, xyz: np.ndarray, ring: np.ndarray, *, wide: bool = False) -> bytes:
+    """A serialised point cloud with fields x, y, z and ring; ``wide`` places have eight bytes a number and come back as they are, others are rounded to four."""
+    size, code = (8, 8) if wide else (4, 7)
+    kind = np.dtype([("x", f"<f{size}"), ("y", f"<f{size}"), ("z", f"<f{size}"), ("ring", "<u2")])
     points = np.zeros(len(xyz), kind)
-    points["x"], points["y"], points["z"], points["ring"] = *np.asarray(xyz, np.float32).T, ring
+    points["x"], points["y"], points["z"], points["ring"] = *np.asarray(xyz, f"f{size}").T, ring
     out = bytearray(b"\0\1\0\0")
 
     def put(code: str, value: int) -> None:
@@ -520,10 +521,10 @@ def cloud_payload(stamp_ns: int, frame: str, xyz: np.ndarray, ring: np.ndarray)
     put("I", 1)
     put("I", len(points))
     put("I", 4)
-    for name, offset, code in (("x", 0, 7), ("y", 4, 7), ("z", 8, 7), ("ring", 12, 4)):
+    for name, offset, number in (("x", 0, code), ("y", size, code), ("z", 2 * size, code), ("ring", 3 * size, 4)):
         text(name)
         put("I", offset)
-        put("B", code)
+        put("B", number)
         put("I", 1)
     put("B", 0)
     put("I", kind.itemsize)
