@@ -31,8 +31,8 @@ from ..functions.lenses import Lens, project_points, projection_jacobian
 from ..functions.poses import skews
 from .residuals import REGULAR_R, REGULAR_T, SIGMA_M, SIGMA_PX
 
-#: Points that a task holds as arrays at a time.
-BATCH_POINTS = 1 << 16
+#: Points that a task holds as arrays at a time; its memory follows from these, not from the table.
+BATCH_POINTS = 1 << 15
 #: Steps of a board's own solve.
 INNER = 10
 WEIGHTS = np.array([REGULAR_R] * 3 + [REGULAR_T] * 3)
@@ -90,102 +90,160 @@ class Snapshots:
         return Snapshots(self.names, self.of, self.sensor, self.p * k[:, None], self.uv + sigma_px * draws[:, 1:], self.seeds, self.sizes)
 
 
+@dataclass
+class Part:
+    """Points of one kind of sensor: which rows, where each run of one snapshot and sensor begins, and the run's snapshot and sensor."""
+
+    rows: np.ndarray
+    begin: np.ndarray
+    of: np.ndarray
+    own: np.ndarray
+    run: np.ndarray
+
+
+def _part(data: Snapshots, rows: np.ndarray) -> Part:
+    of, own = data.of[rows], data.sensor[rows]
+    begin = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (own[1:] != own[:-1])])
+    return Part(rows, begin, of[begin], own[begin], np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(rows)])))
+
+
 class Model:
-    """Residuals of a batch and their derivatives, in standard deviations."""
+    """Residuals of a batch and their derivatives, in standard deviations.
+
+    A lidar's points see of the poses only the board's plane in its frame, four
+    numbers, and a camera's corners only the board's pose in its frame, six.
+    Sums over points are of derivatives by these, and each run of points of one
+    snapshot and sensor takes its sums on to the derivatives by both poses.
+    """
 
     def __init__(self, data: Snapshots, sensors: np.ndarray, lenses: dict[int, Lens], by_range: bool) -> None:
         self.data, self.sensors, self.lenses, self.by_range = data, sensors, lenses, by_range
         self.turns, self.jacobians = matrices(sensors[:, :3]), left_jacobians(sensors[:, :3])
         camera = np.isin(data.sensor, list(lenses))
-        self.lidar, self.camera = np.flatnonzero(~camera), np.flatnonzero(camera)
-        own = data.sensor[self.lidar]
-        self.turned = _times(self.turns[own], data.p[self.lidar])
-        self.span = np.linalg.norm(data.p[self.lidar], axis=1)
+        self.parts: list[tuple[int | None, Part]] = []
+        for s, rows in [(None, np.flatnonzero(~camera)), *((s, np.flatnonzero(data.sensor == s)) for s in np.unique(data.sensor[camera]).tolist())]:
+            if len(rows):
+                self.parts.append((s, _part(data, rows)))
+        self.places = [np.ascontiguousarray(data.p[part.rows].T) for _, part in self.parts]
+        self.spans = [np.sqrt((p * p).sum(0)) if s is None else None for (s, _), p in zip(self.parts, self.places, strict=True)]
+
+    def _lidars(self, k: int, boards: np.ndarray, turn: np.ndarray, jb: np.ndarray) -> tuple:
+        """Errors and their derivatives by the plane in the lidar's frame, and that plane's by both poses."""
+        part, p, span = self.parts[k][1], self.places[k], self.spans[k]
+        n, dn = turn[:, :, 2][part.of], (-(skews(turn[:, :, 2]) @ jb))[part.of]
+        back, apart = self.turns[part.own].transpose(0, 2, 1), boards[part.of, 3:] - self.sensors[part.own, 3:]
+        m, ahead = _times(back, n), (n * apart).sum(1)
+        by_sensor, by_board = np.zeros((len(n), 4, 6)), np.zeros((len(n), 4, 6))
+        by_sensor[:, :3, :3], by_sensor[:, 3, 3:] = skews(m) @ back @ self.jacobians[part.own], -n
+        by_board[:, :3, :3], by_board[:, 3, :3], by_board[:, 3, 3:] = back @ dn, np.einsum("ni,nij->nj", apart, dn), n
+        x, y, z = (m.T)[:, part.run]
+        b, far = x * p[0] + y * p[1] + z * p[2], ahead[part.run]
+        if self.by_range:
+            b = np.where(np.abs(b) > 1e-9, b, 1e-9)
+            gain = span / (b * SIGMA_M)
+            e, w, by_far = span / SIGMA_M - gain * far, gain * far / b, -gain
+        else:
+            e, w, by_far = (far - b) / SIGMA_M, np.full(len(b), -1 / SIGMA_M), np.full(len(b), 1 / SIGMA_M)
+        return [(e, [w * p[0], w * p[1], w * p[2], by_far])], by_sensor, by_board
+
+    def _camera(self, k: int, boards: np.ndarray, turn: np.ndarray, jb: np.ndarray) -> tuple:
+        """Errors and their derivatives by a small move of the board in the camera's frame, and that move's by both poses."""
+        s, part = self.parts[k]
+        back = self.turns[s].T
+        shift = (boards[part.of, 3:] - self.sensors[s, 3:]) @ self.turns[s]
+        turned = _times((back @ turn[part.of])[part.run], self.data.p[part.rows])
+        p = turned + shift[part.run]
+        p = np.where((p[:, 2:] > 1e-3), p, p * [1, 1, 0] + [0, 0, 1e-3])  # behind the camera: a great error
+        slope = projection_jacobian(p, self.lenses[s]) / SIGMA_PX
+        e = (project_points(p, self.lenses[s]) - self.data.uv[part.rows]) / SIGMA_PX
+        by_turn = back @ self.jacobians[s]
+        by_sensor, by_board = np.zeros((len(shift), 6, 6)), np.zeros((len(shift), 6, 6))
+        by_sensor[:, :3, :3], by_sensor[:, 3:, :3], by_sensor[:, 3:, 3:] = -by_turn, skews(shift) @ by_turn, -back
+        by_board[:, :3, :3], by_board[:, 3:, 3:] = back @ jb[part.of], back
+        return [(e[:, i], [*np.cross(turned, slope[:, i]).T, *slope[:, i].T]) for i in (0, 1)], by_sensor, by_board
+
+    def _found(self, boards: np.ndarray) -> Iterator[tuple]:
+        turn, jb = matrices(boards[:, :3]), left_jacobians(boards[:, :3])
+        for k, (s, part) in enumerate(self.parts):
+            yield part, *(self._lidars if s is None else self._camera)(k, boards, turn, jb)
 
     def at(self, boards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Errors, the point each belongs to, and derivatives by the sensor's and the board's pose."""
-        d = self.data
-        turn, jb = matrices(boards[:, :3]), left_jacobians(boards[:, :3])
-        rows, parts = self.lidar, []
-        if len(rows):
-            of, own = d.of[rows], d.sensor[rows]
-            n, turned, js = turn[of, :, 2], self.turned, self.jacobians[own]
-            dn = -(skews(turn[:, :, 2]) @ jb)[of]
-            dturn = -np.einsum("ni,nij->nj", np.cross(n, turned), js)
-            apart = boards[of, 3:] - self.sensors[own, 3:]
-            ahead, ahead_board = (n * apart).sum(1), np.einsum("ni,nij->nj", apart, dn)
-            across = np.einsum("ni,nij->nj", turned, dn)
-            if self.by_range:
-                b = (turned * n).sum(1)
-                b = np.where(np.abs(b) > 1e-9, b, 1e-9)
-                k = (self.span / b)[:, None]
-                e = self.span * (1 - ahead / b)
-                to_b = k * (ahead / b)[:, None]
-                js_, jb_ = np.concatenate([to_b * dturn, k * n], 1), np.concatenate([to_b * across - k * ahead_board, -k * n], 1)
-            else:
-                e = ahead - (turned * n).sum(1)
-                js_, jb_ = np.concatenate([-dturn, -n], 1), np.concatenate([ahead_board - across, n], 1)
-            parts.append((e / SIGMA_M, rows, js_ / SIGMA_M, jb_ / SIGMA_M))
-        for s in np.unique(d.sensor[self.camera]).tolist():
-            rows = self.camera[d.sensor[self.camera] == s]
-            of = d.of[rows]
-            turned = _times(turn[of], d.p[rows])
-            apart = turned + boards[of, 3:] - self.sensors[s, 3:]
-            p = apart @ self.turns[s]
-            p = np.where((p[:, 2:] > 1e-3), p, p * [1, 1, 0] + [0, 0, 1e-3])  # behind the camera: a great error
-            slope = projection_jacobian(p, self.lenses[s]) @ self.turns[s].T / SIGMA_PX
-            e = (project_points(p, self.lenses[s]) - d.uv[rows]) / SIGMA_PX
-            js_ = np.concatenate([slope @ (skews(apart) @ self.jacobians[s]), -slope], 2)
-            jb_ = np.concatenate([slope @ (-skews(turned) @ jb[of]), slope], 2)
-            parts.append((e.ravel(), np.repeat(rows, 2), js_.reshape(-1, 6), jb_.reshape(-1, 6)))
+        parts = []
+        for part, errors, by_sensor, by_board in self._found(boards):
+            for e, slope in errors:
+                own = np.stack(slope, 1)
+                parts.append((e, part.rows, np.einsum("nk,nkj->nj", own, by_sensor[part.run]), np.einsum("nk,nkj->nj", own, by_board[part.run])))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0, int), np.zeros((0, 6)), np.zeros((0, 6)))
 
-    def solved(self, boards: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """The best board of each snapshot from ``boards`` on, and ``at`` there."""
+    def summed(self, boards: np.ndarray) -> list[tuple]:
+        """For each kind of sensor, sums over each run of points: squared errors, and normal equations; the derivatives by both poses; the largest error."""
+        out = []
+        for part, errors, by_sensor, by_board in self._found(boards):
+            size = by_board.shape[1]
+            cost, g, h = np.zeros(len(part.of)), np.zeros((len(part.of), size)), np.zeros((len(part.of), size, size))
+            for e, slope in errors:
+                cost += np.add.reduceat(e * e, part.begin)
+                for i in range(size):
+                    g[:, i] += np.add.reduceat(e * slope[i], part.begin)
+                    for j in range(i + 1):
+                        h[:, i, j] += np.add.reduceat(slope[i] * slope[j], part.begin)
+            for i in range(size):
+                h[:, :i, i] = h[:, i, :i]
+            out.append((part, cost, g, h, by_sensor, by_board, max(float(np.abs(e).max()) for e, _ in errors)))
+        return out
+
+    def solved(self, boards: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """The best board of each snapshot from ``boards`` on, and ``summed`` there."""
         damping = np.full(len(boards), 1e-6)
-        found = self.at(boards)
-        cost, h, g = self._own(found, boards)
+        cost, h, g = self._own(self.summed(boards), boards)
         going = np.ones(len(boards), bool)
         for _ in range(INNER):
             diagonal = np.einsum("nii->ni", h)
             damped = h + (damping[:, None] * diagonal)[:, :, None] * np.eye(6)
             step = np.where(going[:, None], np.linalg.solve(damped, g[:, :, None])[:, :, 0], 0.0)
             trial = boards - step
-            new = self.at(trial)
-            cost_, h_, g_ = self._own(new, trial)
+            cost_, h_, g_ = self._own(self.summed(trial), trial)
             better = going & (cost_ <= cost)
             gain = cost - cost_
             damping = np.where(better, damping / 10, damping * 10)
-            going &= ~(better & (gain <= 1e-8 * np.maximum(cost, 1e-6))) & (damping < 1e8)
+            going &= (np.abs(gain) > 1e-8 * np.maximum(cost, 1e-6)) & (damping < 1e8)  # a step that rounding makes worse is an end too
             boards, cost = np.where(better[:, None], trial, boards), np.where(better, cost_, cost)
             h, g = np.where(better[:, None, None], h_, h), np.where(better[:, None], g_, g)
             if not going.any():
                 break
-        return boards, self.at(boards)
+        return boards, self.summed(boards)
 
-    def _own(self, found: tuple, boards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _own(self, found: list[tuple], boards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each snapshot's cost, and normal equations of its board."""
-        e, rows, _, b = found
-        of, n = self.data.of[rows], len(boards)
-        sums = _by(of, np.concatenate([(e * e)[:, None], b * e[:, None], (b[:, :, None] * b[:, None, :]).reshape(-1, 36)], 1), n)
-        held = WEIGHTS * boards
-        return sums[:, 0] + (held * held).sum(1), sums[:, 7:].reshape(-1, 6, 6) + np.diag(WEIGHTS**2), sums[:, 1:7] + WEIGHTS * held
-
-    def reduced(self, boards: np.ndarray, found: tuple) -> np.ndarray:
+        held, n = WEIGHTS * boards, len(boards)
+        cost, h, g = (held * held).sum(1), np.tile(np.diag(WEIGHTS**2), (n, 1, 1)), WEIGHTS * held
+        for part, c, gp, hp, _, by_board, _ in found:
+            back = by_board.transpose(0, 2, 1)
+            sums = _by(part.of, np.concatenate([c[:, None], (back @ gp[:, :, None])[:, :, 0], (back @ hp @ by_board).reshape(-1, 36)], 1), n)
+            cost, g, h = cost + sums[:, 0], g + sums[:, 1:7], h + sums[:, 7:].reshape(-1, 6, 6)
+        return cost, h, g
+
+    def reduced(self, boards: np.ndarray, found: list[tuple]) -> np.ndarray:
         """The batch's share: equations of the sensors, cost, and the largest errors in metres and pixels, as one row of numbers."""
-        e, rows, a, b = found
-        of, own, s, n = self.data.of[rows], self.data.sensor[rows], len(self.sensors), len(boards)
+        s, n = len(self.sensors), len(boards)
         cost, hbb, gb = self._own(found, boards)
         width = 6 * s
-        both = _by(of * s + own, (a[:, :, None] * b[:, None, :]).reshape(-1, 36), n * s).reshape(n, s, 6, 6).reshape(n, width, 6)
+        both, own, g = np.zeros((n * s, 36)), np.zeros((s, 36)), np.zeros((s, 6))
+        worst = [0.0, 0.0]
+        for (kind, _), (part, _, gp, hp, by_sensor, by_board, most) in zip(self.parts, found, strict=True):
+            back = by_sensor.transpose(0, 2, 1)
+            half = back @ hp
+            both += _by(part.of * s + part.own, (half @ by_board).reshape(-1, 36), n * s)
+            own += _by(part.own, (half @ by_sensor).reshape(-1, 36), s)
+            g += _by(part.own, (back @ gp[:, :, None])[:, :, 0], s)
+            worst[kind is not None] = max(worst[kind is not None], most * (SIGMA_M if kind is None else SIGMA_PX))
+        both = both.reshape(n, s, 6, 6).reshape(n, width, 6)
         back = np.linalg.solve(hbb, np.concatenate([gb[:, :, None], both.transpose(0, 2, 1)], 2))
         h = -np.tensordot(both, back[:, :, 1:], ((0, 2), (0, 1)))
-        g = -np.einsum("nij,nj->i", both, back[:, :, 0])
-        for k, (aa, ae) in enumerate(zip(_by(own, (a[:, :, None] * a[:, None, :]).reshape(-1, 36), s), _by(own, a * e[:, None], s), strict=True)):
-            h[6 * k : 6 * k + 6, 6 * k : 6 * k + 6] += aa.reshape(6, 6)
-            g[6 * k : 6 * k + 6] += ae
-        camera = np.isin(own, list(self.lenses))
-        worst = [float(np.abs(e[~camera]).max(initial=0)) * SIGMA_M, float(np.abs(e[camera]).max(initial=0)) * SIGMA_PX]
+        for k in range(s):
+            h[6 * k : 6 * k + 6, 6 * k : 6 * k + 6] += own[k].reshape(6, 6)
+        g = g.ravel() - np.einsum("nij,nj->i", both, back[:, :, 0])
         return np.array([*h.ravel(), *g, cost.sum(), float(len(self.data.p)), *worst])
 
 
@@ -332,15 +390,16 @@ class Replay:
         self.done = small or self.radius < 1e-12
 
 
-def adjust(data: DataFrame, seeds: dict[int, np.ndarray], lenses: dict[int, Lens], *, noise: Noise | None = None, rounds: int = 30, tolerance: float = 1e-8, most_m: float = 100.0, most_px: float = 1000.0) -> dict[int, Replay]:
+def adjust(data: DataFrame, seeds: dict[int, np.ndarray], lenses: dict[int, Lens], *, noise: Noise | None = None, rounds: int = 30, tolerance: float = 1e-8, most_m: float = 100.0, most_px: float = 1000.0, solved: bool = False) -> dict[int, Replay]:
     """Solve every replay from its seed poses, first by distances to planes, then by ranges along rays; ``data`` is a stored table of ``gathered``.
 
+    Seeds that are a solution already (``solved``) are near enough for ranges at once.
     All replays still open share a job.  A seed that leaves an error beyond
     ``most_m`` or ``most_px`` is refused.
     """
     noise = noise or Noise()
     replays = {r: Replay(np.asarray(x, float)) for r, x in seeds.items()}
-    for by_range in (False, True):
+    for by_range in (True,) if solved else (False, True):
         found = _equations(data, {r: x.sensors for r, x in replays.items()}, lenses, by_range, noise)
         for r, own in replays.items():
             if r not in found or not found[r].points:

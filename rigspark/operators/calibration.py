@@ -208,7 +208,7 @@ def replayed(points: DataFrame, solution: Solution, replays: int, lenses: Intrin
     spark = points.sparkSession
     with Scratch(spark) as scratch:
         data = scratch.stored(adjustment.gathered(points, solution.boards), "data")
-        found = adjustment.adjust(data, {k: solution.sensors for k in range(1, replays + 1)}, lenses or {}, noise=adjustment.Noise(seed, sigma_m, sigma_px))
+        found = adjustment.adjust(data, {k: solution.sensors for k in range(1, replays + 1)}, lenses or {}, noise=adjustment.Noise(seed, sigma_m, sigma_px), solved=True)
         scratch.drop("data")
     rows = [(k, s, *map(float, pose)) for k, own in found.items() for s, pose in enumerate(own.sensors)]
     return spark.createDataFrame(rows, "replay int, sensor int, rx double, ry double, rz double, tx double, ty double, tz double")
