@@ -72,13 +72,30 @@ def seed_sensors(pairs: list, sensors: int, least: int = links.LEAST_SHARED) ->
 
 
 def _posed(rows: DataFrame, sensors: np.ndarray) -> DataFrame:
-    """``rows`` with their sensor's pose ``sr?, st?``; a rig's poses are a few rows."""
-    table = rows.sparkSession.createDataFrame([(k, *map(float, p)) for k, p in enumerate(sensors)], "sensor int, " + ", ".join(f"s{k}{c} double" for k in "rt" for c in "xyz"))
+    """``rows`` with their sensor's pose, as a matrix ``sm??``, a quaternion ``sq?`` and a shift ``st?``; a rig's poses are a few rows."""
+    found = []
+    for k, pose in enumerate(sensors):
+        angle = float(np.linalg.norm(pose[:3]))
+        around = np.asarray(pose[:3]) * (np.sin(angle / 2) / angle if angle > poses.SMALL else 0.5)
+        found.append((k, *map(float, poses.matrix(pose[:3]).ravel()), *map(float, around), float(np.cos(angle / 2)), *map(float, pose[3:])))
+    names = [f"sm{i}{j}" for i in range(3) for j in range(3)] + ["sq" + c for c in "xyzw"] + ["st" + c for c in "xyz"]
+    table = rows.sparkSession.createDataFrame(found, "sensor int, " + ", ".join(f"{n} double" for n in names))
     return rows.join(F.broadcast(table), "sensor")
 
 
-def _sensor() -> tuple[v.Vec, v.Vec]:
-    return v.vec("sr"), v.vec("st")
+def _turned(p: v.Vec, matrix: str = "sm") -> v.Vec:
+    return tuple(v.dot(tuple(F.col(f"{matrix}{i}{j}") for j in range(3)), p) for i in range(3))
+
+
+def _moved(p: v.Vec) -> v.Vec:
+    """From the sensor's frame to the reference's."""
+    return v.add(_turned(p), v.vec("st"))
+
+
+def _seen(p: v.Vec) -> v.Vec:
+    """From the reference frame to the sensor's."""
+    apart = v.sub(p, v.vec("st"))
+    return tuple(v.dot(tuple(F.col(f"sm{j}{i}") for j in range(3)), apart) for i in range(3))
 
 
 def _boards(r: v.Vec, t: v.Vec, centre: v.Vec) -> list:
@@ -89,18 +106,20 @@ def _boards(r: v.Vec, t: v.Vec, centre: v.Vec) -> list:
 def seed_boards(planes: DataFrame, sensors: np.ndarray) -> DataFrame:
     """``(snapshot, board, centre)`` from the first sensor that sees each board, without turn about the normal."""
     first = planes.groupBy("snapshot").agg(*(F.min_by(c, "sensor").alias(c) for c in ("px", "py", "pz", "nx", "ny", "nz")), F.min("sensor").alias("sensor"))
-    at = poses.transform(*_sensor(), v.vec("p"))
-    return _posed(first, sensors).select("snapshot", *_boards(poses.rotation_to(poses.rotate(_sensor()[0], v.vec("n"))), at, at))
+    at = _moved(v.vec("p"))
+    # each step is a column, so that the next one does not repeat it
+    rows = _posed(first, sensors).select("snapshot", *(c.alias("w" + k) for k, c in zip("xyz", _turned(v.vec("n")), strict=True)), *(c.alias("at" + k) for k, c in zip("xyz", at, strict=True)))
+    return rows.select("snapshot", *_boards(poses.rotation_to(v.vec("w")), v.vec("at"), v.vec("at")))
 
 
 def boards_by_camera(seen: DataFrame, sensors: np.ndarray) -> DataFrame:
     """``(snapshot, board, centre)`` from the first camera that sees each board; ``seen`` is of ``boards_in_cameras``."""
     first = seen.groupBy("snapshot").agg(*(F.min_by(k + c, "sensor").alias(k + c) for k in "rtp" for c in "xyz"), F.min("sensor").alias("sensor"))
     # each step is a column, so that the next one does not repeat it
-    rows = _posed(first, sensors).withColumns({"q0": F.array(*poses.quaternion(_sensor()[0])), "q1": F.array(*poses.quaternion(v.vec("r")))})
+    rows = _posed(first, sensors).withColumn("q1", F.array(*poses.quaternion(v.vec("r"))))
     four = lambda name: tuple(F.get(name, F.lit(k)) for k in range(4))
-    rows = rows.withColumn("q", F.array(*poses.quaternion_product(four("q0"), four("q1"))))
-    return rows.select("snapshot", *_boards(poses.from_quaternion(*four("q")), poses.transform(*_sensor(), v.vec("t")), poses.transform(*_sensor(), v.vec("p"))))
+    rows = rows.withColumn("q", F.array(*poses.quaternion_product(v.vec("sq", "xyzw"), four("q1"))))
+    return rows.select("snapshot", *_boards(poses.from_quaternion(*four("q")), _moved(v.vec("t")), _moved(v.vec("p"))))
 
 
 def _board() -> tuple[v.Vec, v.Vec, v.Vec]:
@@ -111,8 +130,8 @@ def _board() -> tuple[v.Vec, v.Vec, v.Vec]:
 def seed_outliers(planes: DataFrame, sensors: np.ndarray, boards: DataFrame, most: float = 0.5, cos_least: float = 0.984807753012208) -> DataFrame:
     """``(snapshot)`` in which some sensor's board has its centre further from the board's than ``most``, or its normal at a wider angle."""
     r, _, centre = _board()
-    n, normal = poses.rotate(_sensor()[0], v.vec("n")), poses.rotate(r, (F.lit(0.0), F.lit(0.0), F.lit(1.0)))
-    off = v.sub(poses.transform(*_sensor(), v.vec("p")), centre)
+    n, normal = _turned(v.vec("n")), poses.rotate(r, (F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    off = v.sub(_moved(v.vec("p")), centre)
     away = (v.dot(off, off) > most * most) | (F.abs(v.dot(n, normal)) < cos_least)
     return _posed(planes.join(boards, "snapshot"), sensors).where(away).select("snapshot").distinct()
 
@@ -120,15 +139,16 @@ def seed_outliers(planes: DataFrame, sensors: np.ndarray, boards: DataFrame, mos
 def corner_outliers(corners: DataFrame, sensors: np.ndarray, boards: DataFrame, lenses: Intrinsics, most_px: float = 50.0) -> DataFrame:
     """``(snapshot)`` in which some corner is seen further than ``most_px`` from where the seed puts it, or lies behind its camera."""
     r, t, _ = _board()
-    # each step is a column, so that the next one does not repeat it
-    rows = corners.join(boards, "snapshot").select("snapshot", "sensor", "u", "v", *(c.alias("w" + k) for c, k in zip(poses.transform(r, t, v.vec()), "xyz", strict=True)))
-    rows = _posed(rows, sensors).withColumns({"p" + k: c for c, k in zip(poses.transform(*poses.inverse(*_sensor()), v.vec("w")), "xyz", strict=True)})
-    p = v.vec("p")
+    axes = [poses.rotate(r, tuple(F.lit(float(i == k)) for i in range(3))) for k in range(3)]
+    # a board's matrix is made before its corners meet it, so that no corner repeats it
+    placed = boards.select("snapshot", *(axes[j][i].alias(f"bm{i}{j}") for i in range(3) for j in range(3)), *(c.alias("bt" + k) for k, c in zip("xyz", t, strict=True)))
+    rows = _posed(corners.join(placed, "snapshot"), sensors)
+    p = _seen(v.add(_turned(v.vec(), "bm"), v.vec("bt")))
     away = F.lit(False)
     for s, lens in lenses.items():  # a rig's cameras are few
-        x, y = lens_functions.project((p[0], p[1], F.when(p[2] > 0, p[2])), lens)
-        far = (x - F.col("u")) * (x - F.col("u")) + (y - F.col("v")) * (y - F.col("v")) > most_px * most_px
+        far = F.hypot(*(a - F.col(c) for a, c in zip(lens_functions.project((F.col("p.x"), F.col("p.y"), F.when(F.col("p.z") > 0, F.col("p.z"))), lens), "uv", strict=True))) > most_px
         away |= (F.col("sensor") == s) & F.coalesce(far, F.lit(True))
+    rows = rows.select("snapshot", "sensor", "u", "v", F.struct(*(c.alias(k) for c, k in zip(p, "xyz", strict=True))).alias("p"))
     return rows.where(away).select("snapshot").distinct()
 
 
@@ -295,7 +315,7 @@ def sector_report(points: DataFrame, solution: Solution, sectors_: int, at: floa
     counts = sectors.observations_per_sector(boards, sectors_)
     placed = [poses.compose(vehicle, p) for p in solution.sensors]
     moved = _posed(points.where(~F.col("sensor").isin(list(lenses))), np.array(placed))
-    cloud = moved.select("sensor", *(c.alias(k) for c, k in zip(poses.transform(*_sensor(), v.vec()), "xyz", strict=True)))
+    cloud = moved.select("sensor", *(c.alias(k) for c, k in zip(_moved(v.vec()), "xyz", strict=True)))
     visible = sectors.lidar_visibility(cloud, "sensor", sectors_, beyond, at_least).select("sensor", "sector", "visible")
     if lenses:
         rows = [(s, *map(float, placed[s]), *map(float, (*lens[:4], *lens_functions.coefficients(lens))), *sizes[s]) for s, lens in lenses.items()]
