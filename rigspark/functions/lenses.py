@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def _plain(k: Sequence) -> bool:
 
 
 def unproject(u: Column, v: Column, lens: Sequence) -> Vec:
-    """The point at depth 1 that is seen at a pixel: Newton steps in a fold.
+    """The point at depth 1 that is seen at a pixel: Newton steps over many pixels at once.
 
     Where the lens folds over, no such point may exist; what comes out then
     does not project back to the pixel.
@@ -77,18 +78,34 @@ def unproject(u: Column, v: Column, lens: Sequence) -> Vec:
     a, b = (u - lens[2]) / lens[0], (v - lens[3]) / lens[1]
     if _plain(k):
         return a, b, F.lit(1.0)
-
-    def step(at: Column, _: Column) -> Column:
-        x, y = at["x"], at["y"]
+    by_row = [i for i, c in enumerate(k) if isinstance(c, Column)]
+    fixed = [0.0 if isinstance(c, Column) else c for c in k]
+
+    def rays(a: pd.Series, b: pd.Series, *own: pd.Series) -> pd.DataFrame:
+        bend = list(fixed)
+        for i, c in zip(by_row, own, strict=True):
+            bend[i] = c.to_numpy(float)
+        with np.errstate(all="ignore"):
+            x, y = _unbent(a.to_numpy(float), b.to_numpy(float), bend)
+        return pd.DataFrame({"x": x, "y": y})
+
+    found = F.pandas_udf(rays, "x double, y double")(a.cast("double"), b.cast("double"), *(k[i].cast("double") for i in by_row))
+    # a null pixel or coefficient has no ray
+    there = a.isNotNull() & b.isNotNull()
+    for i in by_row:
+        there &= k[i].isNotNull()
+    return F.when(there, found["x"]), F.when(there, found["y"]), F.lit(1.0)
+
+
+def _unbent(a: np.ndarray, b: np.ndarray, k: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """Where Newton's steps come to from ``a, b`` for the point that is bent to there."""
+    x, y = a, b
+    for _ in range(STEPS):
         eu, ev, ux, uy, vx, vy = _bent(x, y, k)
-        eu, ev = eu - a, ev - b
-        whole = ux * vy - uy * vx
-        whole = F.when(F.abs(whole) > 1e-12, whole).otherwise(F.lit(1e-12))
-        return F.struct((x - (vy * eu - uy * ev) / whole).alias("x"), (y - (ux * ev - vx * eu) / whole).alias("y"))
-
-    start = F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)
-    return found["x"], found["y"], F.lit(1.0)
+        eu, ev, whole = eu - a, ev - b, ux * vy - uy * vx
+        whole = np.where(np.abs(whole) > 1e-12, whole, 1e-12)
+        x, y = x - (vy * eu - uy * ev) / whole, y - (ux * ev - vx * eu) / whole
+    return x, y
 
 
 def in_view(p: Vec, lens: Sequence, width, height) -> Column:
@@ -123,12 +140,7 @@ def unproject_points(seen: np.ndarray, lens: Lens) -> np.ndarray:
     """Points at depth 1; not a number where Newton's steps do not come back to the pixel."""
     k = coefficients(lens)
     goal = (seen - [lens[2], lens[3]]) / [lens[0], lens[1]]
-    x, y = goal.T.copy()
-    for _ in range(STEPS):
-        u, v, ux, uy, vx, vy = _bent(x, y, k)
-        eu, ev, whole = u - goal[:, 0], v - goal[:, 1], ux * vy - uy * vx
-        whole = np.where(np.abs(whole) > 1e-12, whole, 1e-12)
-        x, y = x - (vy * eu - uy * ev) / whole, y - (ux * ev - vx * eu) / whole
+    x, y = _unbent(goal[:, 0], goal[:, 1], k)
     u, v, *_ = _bent(x, y, k)
     good = np.hypot(u - goal[:, 0], v - goal[:, 1]) < 1e-9
     return np.stack([np.where(good, x, np.nan), np.where(good, y, np.nan), np.ones(len(x))], 1)
