@@ -35,6 +35,8 @@ from .residuals import REGULAR_R, REGULAR_T, SIGMA_M, SIGMA_PX
 BATCH_POINTS = 1 << 15
 #: Steps of a board's own solve.
 INNER = 10
+#: Least damping of these steps; equations that rounding leaves without full rank can still be solved with it.
+LEAST_DAMPING = 1e-12
 WEIGHTS = np.array([REGULAR_R] * 3 + [REGULAR_T] * 3)
 
 
@@ -206,7 +208,7 @@ class Model:
             cost_, h_, g_ = self._own(self.summed(trial), trial)
             better = going & (cost_ <= cost)
             gain = cost - cost_
-            damping = np.where(better, damping / 10, damping * 10)
+            damping = np.where(better, np.maximum(damping / 10, LEAST_DAMPING), damping * 10)
             going &= (np.abs(gain) > 1e-8 * np.maximum(cost, 1e-6)) & (damping < 1e8)  # a step that rounding makes worse is an end too
             boards, cost = np.where(better[:, None], trial, boards), np.where(better, cost_, cost)
             h, g = np.where(better[:, None, None], h_, h), np.where(better[:, None], g_, g)
@@ -239,7 +241,7 @@ class Model:
             g += _by(part.own, (back @ gp[:, :, None])[:, :, 0], s)
             worst[kind is not None] = max(worst[kind is not None], most * (SIGMA_M if kind is None else SIGMA_PX))
         both = both.reshape(n, s, 6, 6).reshape(n, width, 6)
-        back = np.linalg.solve(hbb, np.concatenate([gb[:, :, None], both.transpose(0, 2, 1)], 2))
+        back = _solve_held(hbb, np.concatenate([gb[:, :, None], both.transpose(0, 2, 1)], 2))
         h = -np.tensordot(both, back[:, :, 1:], ((0, 2), (0, 1)))
         for k in range(s):
             h[6 * k : 6 * k + 6, 6 * k : 6 * k + 6] += own[k].reshape(6, 6)
@@ -247,6 +249,16 @@ class Model:
         return np.array([*h.ravel(), *g, cost.sum(), float(len(self.data.p)), *worst])
 
 
+def _solve_held(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Solutions for boards' equations, of which no eigenvalue lies below the least weight's square.
+
+    A lidar that sees a board edge on gives sums beside which rounding loses
+    those weights; eigenvalues that came out lower are put back.
+    """
+    values, vectors = np.linalg.eigh(h)
+    return vectors @ ((vectors.transpose(0, 2, 1) @ x) / np.maximum(values, WEIGHTS.min() ** 2)[:, :, None])
+
+
 def _by(key: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by key."""
     order = np.argsort(key, kind="stable")
